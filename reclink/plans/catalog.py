@@ -51,3 +51,115 @@ def _hit_rates(spark, sf, ks, **kw):
 def hit_rate_at_k(spark, sf):
     _, hr = _hit_rates(spark, sf, ev.K_GRID_LONG)
     return hr.select("k", "n_queries", "hits", F.round("hit_rate", 6).alias("hit_rate"))
+
+
+# ---------------------------------------------------------------- text functions
+
+from reclink.functions import text as tx  # noqa: E402
+from reclink.functions.templates import TEMPLATES, compose_text  # noqa: E402
+from reclink.plans.tables import records  # noqa: E402
+
+
+def participants_raw(c="text"):
+    """Proxy multi-value field: the sentences of the text, joined by ', '."""
+    return F.regexp_replace(F.col(c), r"[.][ \n]*", ", ")
+
+
+def disciplines_raw(c="text"):
+    """Proxy coded-discipline field: the lines of the text, joined by ';'."""
+    return F.replace(F.col(c), F.lit("\n"), F.lit(";"))
+
+
+@register("html_to_text")
+def html_to_text(spark, sf):
+    p = table(spark, sf, "pages")
+    return p.select("page_id", tx.html_to_text("html").alias("text"))
+
+
+@register("clean_participants")
+def clean_participants(spark, sf):
+    d = table(spark, sf, "documents")
+    return d.select("doc_id", tx.clean_participants(participants_raw()).alias("participants"))
+
+
+@register("clean_disciplines")
+def clean_disciplines(spark, sf):
+    d = table(spark, sf, "documents")
+    return d.select("doc_id", tx.clean_disciplines(disciplines_raw()).alias("disciplines"))
+
+
+@register("compose_text")
+def compose_text_q(spark, sf):
+    r = records(spark, sf).withColumn("disciplines", tx.clean_disciplines(disciplines_raw()))
+    names = list(TEMPLATES)
+    rendered = F.array(*[F.struct(F.lit(n).alias("template"),
+                                  compose_text(n, title="title", abstract="abstract",
+                                               disciplines="disciplines").alias("doc")) for n in names])
+    return (r.select(F.col("id").alias("doc_id"), F.explode(rendered).alias("t"))
+             .select("doc_id", F.col("t.template").alias("template"), F.md5(F.col("t.doc")).alias("text_md5"),
+                     F.length("t.doc").alias("n_chars")))
+
+
+@register("stopword_clean")
+def stopword_clean(spark, sf):
+    r = records(spark, sf)
+    return r.select(F.col("id").alias("doc_id"),
+                    tx.stopword_clean(compose_text("plain", title="title", abstract="abstract")).alias("cleaned"))
+
+
+@register("break_abstract")
+def break_abstract(spark, sf):
+    r = records(spark, sf)
+    doc = compose_text("labelled", title="title", abstract="abstract")
+    return r.select(F.col("id").alias("doc_id"), tx.break_before_abstract(doc).alias("result"))
+
+
+# ---------------------------------------------------------------- curation
+
+from reclink.operators import curate as cu  # noqa: E402
+
+
+@register("min_length_filter")
+def min_length_filter(spark, sf):
+    return cu.min_length(records(spark, sf), cu.PROJECT_MIN).select(F.col("id").alias("doc_id"))
+
+
+@register("boilerplate_filter")
+def boilerplate_filter(spark, sf):
+    r = records(spark, sf)
+    kept = cu.drop_boilerplate(r, "abstract", cu.BOILERPLATE_ABSTRACTS)
+    kept = cu.drop_boilerplate(kept, "text", table(spark, sf, "benchmark").select("text"))
+    return kept.select(F.col("id").alias("doc_id"))
+
+
+@register("linked_only")
+def linked_only(spark, sf):
+    c = table(spark, sf, "customer")
+    o = table(spark, sf, "orders")
+    return (c.join(o.select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_semi")
+             .select("c_custkey"))
+
+
+@register("dedup_keep_first")
+def dedup_keep_first(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", "text", "source")
+    return cu.dedup_first(d, "text", "doc_id").select("doc_id", "source")
+
+
+@register("merge_by_title")
+def merge_by_title(spark, sf):
+    r = (records(spark, sf)
+         .select(F.col("title"), F.col("id"), F.col("abstract"),
+                 participants_raw().alias("participants"),
+                 F.col("lang").alias("disciplines"),
+                 F.col("dataProvider")))
+    m = cu.merge_by_title(r, "id", first_cols=("id", "abstract"), split_cols=("participants", "disciplines"),
+                          whole_cols=("dataProvider",))
+    return m.select("title", "id", F.md5("abstract").alias("abstract_md5"),
+                    F.md5("participants").alias("participants_md5"), "disciplines", "dataProvider")
+
+
+@register("title_search")
+def title_search(spark, sf):
+    from reclink.operators.search import title_search as ts
+    return ts(records(spark, sf), "the", 10).select(F.col("id").alias("doc_id"), "title")

@@ -47,3 +47,133 @@ FROM fr CROSS JOIN g GROUP BY g.k
 
 
 ORACLE["hit_rate_at_k"] = _hit_rate_sql([1, 2, 3, 5, 10, 20, 30, 40, 50, 60, 70, 80, 90, 100])
+
+
+# ---------------------------------------------------------------- shared SQL pieces
+
+from reclink.functions import text as _tx  # noqa: E402
+from reclink.functions.stopwords import ENGLISH_STOPWORDS  # noqa: E402
+from reclink.functions.templates import INSTRUCT_PROJ, INSTRUCT_PUB  # noqa: E402
+from reclink.operators.curate import BOILERPLATE_ABSTRACTS  # noqa: E402
+
+
+def lit(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+RECS = """recs AS (
+    SELECT doc_id AS id,
+           CASE WHEN instr(text, chr(10)) > 0 THEN substr(text, 1, instr(text, chr(10)) - 1) ELSE text END AS title,
+           CASE WHEN instr(text, chr(10)) > 0 THEN substr(text, instr(text, chr(10)) + 1) ELSE '' END AS abstract,
+           source AS dataProvider, lang, text
+    FROM documents)"""
+
+
+def html_to_text_sql(c: str) -> str:
+    x = f"coalesce({c}, '')"
+    for pat in _tx.HTML_DROP:
+        x = f"regexp_replace({x}, {lit(pat)}, ' ', 'g')"
+    x = f"regexp_replace({x}, '<[^>]*>', ' ', 'g')"
+    for ent, ch in _tx.HTML_ENTITIES:
+        x = f"replace({x}, {lit(ent)}, {lit(ch)})"
+    return squash_sql(x)
+
+
+def squash_sql(x: str) -> str:
+    return f"trim(regexp_replace({x}, {lit(_tx.WS_CLASS + '+')}, ' ', 'g'))"
+
+
+def participants_raw_sql(c: str = "text") -> str:
+    return f"regexp_replace({c}, '[.][ \\n]*', ', ', 'g')"
+
+
+def disciplines_raw_sql(c: str = "text") -> str:
+    return f"replace({c}, chr(10), ';')"
+
+
+def clean_participants_sql(c: str) -> str:
+    return f"array_to_string(list_sort(list_distinct(string_split(coalesce({c}, ''), ', '))), ', ')"
+
+
+def clean_disciplines_sql(c: str) -> str:
+    return (f"array_to_string(list_sort(list_distinct(list_transform(string_split(coalesce({c}, ''), ';'), "
+            f"lambda x: substr(x, 8)))), ', ')")
+
+
+SW_SQL = "[" + ", ".join(lit(w) for w in ENGLISH_STOPWORDS) + "]"
+
+
+def stopword_clean_sql(c: str) -> str:
+    return (f"array_to_string(list_filter(list_transform(string_split(coalesce({c}, ''), ' '), lambda x: lower(x)), "
+            f"lambda x: NOT list_contains({SW_SQL}, x)), ' ')")
+
+
+TEMPLATES_SQL = {
+    "plain": "title || ' ' || abstract",
+    "labelled": "'Title: ' || title || ' Abstract: ' || abstract",
+    "labelled_tight": "'Title: ' || title || ' Abstract:' || abstract",
+    "labelled_disc": "'Title: ' || title || ' Abstract: ' || abstract || ' Disciplines: ' || disciplines",
+    "instruct_pub": f"{lit(INSTRUCT_PUB)} || title || ' ' || abstract",
+    "instruct_pub_labelled": f"{lit(INSTRUCT_PUB + ' Title: ')} || title || ' Abstract: ' || abstract",
+    "instruct_proj": (f"{lit(INSTRUCT_PROJ + ' Title: ')} || title || ' Abstract: ' || abstract "
+                      "|| ' Disciplines: ' || disciplines"),
+}
+
+
+def break_abstract_sql(c: str) -> str:
+    ws = _tx.WS_CLASS
+    return f"regexp_replace({c}, {lit(ws + '*Abstract:' + ws + '*')}, chr(10) || 'Abstract: ')"
+
+
+# ---------------------------------------------------------------- text functions
+
+ORACLE["html_to_text"] = f"SELECT page_id, {html_to_text_sql('html')} AS text FROM pages"
+
+ORACLE["clean_participants"] = (f"SELECT doc_id, {clean_participants_sql(participants_raw_sql())} AS participants "
+                                "FROM documents")
+
+ORACLE["clean_disciplines"] = (f"SELECT doc_id, {clean_disciplines_sql(disciplines_raw_sql())} AS disciplines "
+                               "FROM documents")
+
+ORACLE["compose_text"] = f"WITH {RECS}, r AS (SELECT *, {clean_disciplines_sql(disciplines_raw_sql())} AS disciplines FROM recs)\n" + \
+    "\nUNION ALL\n".join(
+        f"SELECT id AS doc_id, {lit(n)} AS template, md5({e}) AS text_md5, CAST(length({e}) AS INTEGER) AS n_chars FROM r"
+        for n, e in TEMPLATES_SQL.items())
+
+ORACLE["stopword_clean"] = (f"WITH {RECS} SELECT id AS doc_id, {stopword_clean_sql(TEMPLATES_SQL['plain'])} AS cleaned "
+                            "FROM recs")
+
+ORACLE["break_abstract"] = (f"WITH {RECS} SELECT id AS doc_id, {break_abstract_sql(TEMPLATES_SQL['labelled'])} "
+                            "AS result FROM recs")
+
+# ---------------------------------------------------------------- curation
+
+ORACLE["min_length_filter"] = f"WITH {RECS} SELECT id AS doc_id FROM recs WHERE length(abstract) >= 150 AND length(title) >= 5"
+
+ORACLE["boilerplate_filter"] = f"""WITH {RECS}
+SELECT id AS doc_id FROM recs
+WHERE abstract NOT IN ({', '.join(lit(t) for t in BOILERPLATE_ABSTRACTS)})
+  AND NOT EXISTS (SELECT 1 FROM benchmark b WHERE b.text = recs.text)"""
+
+ORACLE["linked_only"] = "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)"
+
+ORACLE["dedup_keep_first"] = """SELECT doc_id, source FROM (
+    SELECT doc_id, source, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS rn FROM documents)
+WHERE rn = 1"""
+
+ORACLE["merge_by_title"] = f"""WITH {RECS},
+  r AS (SELECT title, id, abstract, {participants_raw_sql()} AS participants, lang AS disciplines, dataProvider FROM recs)
+SELECT title, min(id) AS id,
+       md5(arg_min(abstract, id) FILTER (WHERE abstract IS NOT NULL)) AS abstract_md5,
+       md5(array_to_string(list_sort(list_distinct(flatten(list(string_split(participants, ', '))
+           FILTER (WHERE participants IS NOT NULL)))), ', ')) AS participants_md5,
+       array_to_string(list_sort(list_distinct(flatten(list(string_split(disciplines, ', '))
+           FILTER (WHERE disciplines IS NOT NULL)))), ', ') AS disciplines,
+       array_to_string(list_sort(list_distinct(list(dataProvider) FILTER (WHERE dataProvider IS NOT NULL))), ', ')
+           AS dataProvider
+FROM r WHERE title IS NOT NULL GROUP BY title"""
+
+ORACLE["title_search"] = f"""WITH {RECS}
+SELECT id AS doc_id, title FROM recs
+WHERE title IS NOT NULL AND contains(lower(title), 'the')
+ORDER BY title, id LIMIT 10"""
