@@ -153,21 +153,30 @@ def _grid_cells(spark, q: DataFrame, s: DataFrame, on: list, q_block_rows: int,
         s = (s.withColumn("_sb", F.pmod(F.xxhash64("_sid"), F.lit(sb)))
               .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(qb - 1)))))
         return q, s, sb > 1
-    # per-key block counts, so a hot key is split and a small key is not fanned out
-    qc = q.groupBy(*on).agg(F.count(F.lit(1)).alias("_nq"))
-    sc = s.groupBy(*on).agg(F.count(F.lit(1)).alias("_ns"))
-    stats = (qc.join(sc, on, "inner")
-               .select(*on,
+    # per-key block counts, so a hot key is split and a small key is not fanned out.
+    # Keys are renamed on the count side: query and store often share lineage.
+    ks = [f"_k{i}" for i in range(len(on))]
+    qc = q.groupBy(*on).agg(F.count(F.lit(1)).alias("_nq")).select(
+        *[F.col(c).alias(k) for c, k in zip(on, ks)], "_nq")
+    sc = s.groupBy(*on).agg(F.count(F.lit(1)).alias("_ns")).select(
+        *[F.col(c).alias(k + "s") for c, k in zip(on, ks)], "_ns")
+    cond = [F.col(k) == F.col(k + "s") for k in ks]
+    stats = (qc.join(sc, cond, "inner")
+               .select(*ks,
                        F.greatest(F.lit(1), F.ceil(F.col("_nq") / F.lit(q_block_rows))).cast("int").alias("_qbn"),
                        F.greatest(F.lit(1), F.ceil(F.col("_ns") / F.lit(s_block_rows))).cast("int").alias("_sbn")))
     agg = stats.agg(F.count(F.lit(1)).alias("n"), F.max("_sbn").alias("m")).first()
     n_keys, max_sb = agg["n"], (agg["m"] or 1)
     side = F.broadcast(stats) if n_keys <= _BROADCAST_KEYS else stats
-    q = (q.join(side, on, "inner")
+
+    def attach(df):
+        return df.join(side, [F.col(c) == F.col(k) for c, k in zip(on, ks)], "inner").drop(*ks)
+
+    q = (attach(q)
           .withColumn("_qb", F.pmod(F.xxhash64("_qid"), F.col("_qbn")))
           .withColumn("_sb", F.explode(F.sequence(F.lit(0), F.col("_sbn") - 1)))
           .drop("_qbn", "_sbn"))
-    s = (s.join(side, on, "inner")
+    s = (attach(s)
           .withColumn("_sb", F.pmod(F.xxhash64("_sid"), F.col("_sbn")))
           .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.col("_qbn") - 1)))
           .drop("_qbn", "_sbn"))
@@ -215,8 +224,11 @@ def knn_join(queries: DataFrame, store: DataFrame, k: int, *, q_id: str = "id",
     spark = queries.sparkSession
     if where is not None:
         store = store.where(where)
-    q = queries.select(F.col(q_id).alias("_qid"), F.col(q_vec).alias("_qvec"), *on, *q_carry)
-    s = store.select(F.col(s_id).alias("_sid"), F.col(s_vec).alias("_svec"), *on, *s_carry)
+    # re-alias keys so the two sides never share attribute ids (self joins)
+    q = queries.select(F.col(q_id).alias("_qid"), F.col(q_vec).alias("_qvec"),
+                       *[F.col(c).alias(c) for c in on + q_carry])
+    s = store.select(F.col(s_id).alias("_sid"), F.col(s_vec).alias("_svec"),
+                     *[F.col(c).alias(c) for c in on + s_carry])
     schema = _out_schema(q, s, q_carry, s_carry)
     min_cells = min_cells or spark.sparkContext.defaultParallelism
     qg, sg, needs_merge = _grid_cells(spark, q, s, on, q_block_rows, s_block_rows, min_cells)
@@ -229,20 +241,27 @@ def knn_join(queries: DataFrame, store: DataFrame, k: int, *, q_id: str = "id",
     return local
 
 
-def nearest(store: DataFrame, vec: Column, k: int, *, s_id: str = "id", s_vec: str = "vec",
+def nearest(store: DataFrame, vec, k: int, *, s_id: str = "id", s_vec: str = "vec",
             metric: str = "l2sq", decimals: int = 9) -> DataFrame:
-    """Single-query kNN (K3): distance to one vector column, then ordered limit.
+    """Single-query kNN (K3): distance of every stored vector to one query vector.
 
-    ``vec`` is a Column that evaluates to the query vector on every store row
-    (typically a literal array or a scalar subquery).  Plans as
-    TakeOrderedAndProject: each partition keeps k rows, one task merges them.
+    ``vec`` is the query vector (a list of floats, looked up beforehand -- one
+    row) or a Column.  The distance is a JVM-side higher-order expression and
+    the ordered limit plans as TakeOrderedAndProject: every partition keeps k
+    rows and one task merges them, so the store is scanned once, unshuffled.
     """
+    if vec is None:
+        return store.sparkSession.createDataFrame([], "rank int, sid long, dist double")
+    if not isinstance(vec, Column):
+        vec = F.array(*[F.lit(float(x)) for x in vec])
     d = vector_distance(F.col(s_vec), vec, metric)
-    return (store.select(F.col(s_id).alias("sid"), d.alias("dist"), *[c for c in store.columns
-                                                                       if c not in (s_id, s_vec)])
-                 .orderBy(F.round("dist", decimals), F.col("sid"))
-                 .limit(k)
-                 .withColumn("rank", F.row_number().over(Window.orderBy(F.round("dist", decimals), "sid"))))
+    order = [F.round("dist", decimals), F.col("sid")]
+    top = (store.select(F.col(s_id).alias("sid"), d.alias("dist"))
+                .where(F.col("dist").isNotNull())
+                .orderBy(*order)
+                .limit(k))
+    # k rows after the limit: a single small window partition is fine
+    return top.select(F.row_number().over(Window.orderBy(*order)).alias("rank"), "sid", "dist")
 
 
 def vector_distance(a: Column, b: Column, metric: str = "l2sq") -> Column:

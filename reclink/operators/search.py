@@ -40,11 +40,11 @@ def correlated(query_vec: DataFrame, store: DataFrame, docs: DataFrame, k: int =
     formatted as '<doc> \\n Similarity Score: <dist>' with the Abstract label on
     its own line.  ``query_vec`` holds zero or one row; zero rows -> no result.
 
-    The query vector enters as a scalar subquery (evaluated once), the store is
-    scanned in parallel and only k rows per partition reach the final merge.
+    The store is scanned in parallel with a JVM-side distance expression and
+    only k rows per partition reach the final merge.
     """
-    qv = query_vec.select(F.col(vec)).scalar()
-    hits = nearest(store, qv, k, s_id=s_id, s_vec=s_vec, metric=metric).where(F.col("dist").isNotNull())
+    row = query_vec.select(F.col(vec)).first()  # one looked-up row (P5), never the data
+    hits = nearest(store, None if row is None else row[0], k, s_id=s_id, s_vec=s_vec, metric=metric)
     # k rows: a size-bounded broadcast side
     text = docs.select(F.col(doc_id).alias("sid"), F.col(doc).alias("_doc"))
     j = F.broadcast(hits.select("sid", "rank", "dist")).join(text, "sid", "inner")

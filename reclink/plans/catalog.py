@@ -163,3 +163,190 @@ def merge_by_title(spark, sf):
 def title_search(spark, sf):
     from reclink.operators.search import title_search as ts
     return ts(records(spark, sf), "the", 10).select(F.col("id").alias("doc_id"), "title")
+
+
+# ---------------------------------------------------------------- sampling and linkage joins
+
+from reclink.operators import sample as sm  # noqa: E402
+
+# fixed values: evaluation sample size and seeds
+SAMPLE_N = 100
+SEED = 42
+REPLICATE_SEEDS = list(range(20))
+ELIGIBLE_PRICE = 200000.0  # proxy for "project abstract longer than 200 characters"
+
+
+def _link_tables(spark, sf):
+    pubs = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"))
+    o = table(spark, sf, "orders")
+    links = o.select(F.col("o_custkey").alias("pub_id"), F.col("o_orderkey").alias("proj_id"))
+    projects = o.where(F.col("o_totalprice") > ELIGIBLE_PRICE).select(F.col("o_orderkey").alias("id"))
+    return pubs, links, projects
+
+
+@register("left_join_participants")
+def left_join_participants(spark, sf):
+    o = table(spark, sf, "orders")
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("participants"))
+    return sm.attach_participants(o, c, legacy_id="o_custkey").select("o_orderkey", "o_custkey", "participants")
+
+
+@register("sample_linked")
+def sample_linked(spark, sf):
+    pubs, links, projects = _link_tables(spark, sf)
+    kp, kj = sm.linked_sample(pubs, links, projects, SAMPLE_N, SEED)
+    return (kp.select(F.lit("pub").alias("role"), "id")
+              .unionByName(kj.select(F.lit("proj").alias("role"), "id")))
+
+
+@register("replicate_samples")
+def replicate_samples(spark, sf):
+    pubs, links, projects = _link_tables(spark, sf)
+    kp, kj = sm.linked_replicates(pubs, links, projects, SAMPLE_N, REPLICATE_SEEDS)
+    return (kp.select(F.lit("pub").alias("role"), F.col("replicate_id").cast("int").alias("replicate_id"), "id")
+              .unionByName(kj.select(F.lit("proj").alias("role"),
+                                     F.col("replicate_id").cast("int").alias("replicate_id"), "id")))
+
+
+# ---------------------------------------------------------------- vectors, embedding, store
+
+from reclink.functions import vectors as vx  # noqa: E402
+from reclink.operators.embed import HashingEmbedder, blend_stores, embed  # noqa: E402
+from reclink.sources import store as st  # noqa: E402
+
+HASH_DIM = 64
+
+
+def _nnz(c):
+    return F.size(F.filter(F.col(c), lambda x: x != 0)).cast("long")
+
+
+@register("l2_normalize")
+def l2_normalize(spark, sf):
+    e = table(spark, sf, "embeddings")
+    return e.select("vec_id", F.round(vx.checksum(vx.l2_normalize("embedding")), 6).alias("checksum"),
+                    F.round(vx.norm("embedding"), 6).alias("norm"))
+
+
+@register("embed_hash")
+def embed_hash(spark, sf):
+    r = records(spark, sf).select("id", compose_text("plain", title="title", abstract="abstract").alias("doc"))
+    v = embed(r, "doc", HashingEmbedder(HASH_DIM))
+    return v.select(F.col("id").alias("doc_id"), _nnz("vec").alias("nnz"),
+                    F.round(vx.checksum("vec"), 6).alias("checksum"))
+
+
+@register("blend_vectors")
+def blend_vectors(spark, sf):
+    r = records(spark, sf)
+    a = embed(r.select("id", "title"), "title", HashingEmbedder(HASH_DIM)).select("id", "vec")
+    b = embed(r.select("id", "abstract"), "abstract", HashingEmbedder(HASH_DIM)).select("id", "vec")
+    bl = blend_stores(a, b, 0.2, 0.8)
+    return bl.select(F.col("id").alias("doc_id"), F.round(vx.checksum("vec"), 6).alias("checksum"))
+
+
+def _store_and_batch(spark, sf):
+    store = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"),
+                                                  "label")
+    lab = table(spark, sf, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("label"))
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    batch = embed(lab.join(docs, "id", "inner"), "text", HashingEmbedder(HASH_DIM)).select("id", "vec", "label")
+    return store, batch
+
+
+def _store_out(df):
+    return df.select("id", "label", F.round(vx.checksum("vec"), 6).alias("checksum"))
+
+
+@register("store_upsert")
+def store_upsert(spark, sf):
+    store, batch = _store_and_batch(spark, sf)
+    return _store_out(st.upsert(store, batch))
+
+
+@register("store_append")
+def store_append(spark, sf):
+    store, batch = _store_and_batch(spark, sf)
+    return _store_out(st.append(store, batch))
+
+
+@register("store_scan")
+def store_scan(spark, sf):
+    store, _ = _store_and_batch(spark, sf)
+    ids = table(spark, sf, "labels").select("doc_id")
+    return st.scan(store, ["label"], ids)
+
+
+# ---------------------------------------------------------------- kNN variants and evaluation
+
+from reclink.operators.knn import nearest  # noqa: E402
+from reclink.operators.search import correlated  # noqa: E402
+
+
+@register("knn_filtered")
+def knn_filtered(spark, sf):
+    r = _knn_all(spark, sf, 10, on=["dataProvider"])
+    return r.select("qid", "sid", "rank", F.round("dist", 6).alias("dist"))
+
+
+@register("hit_rate_filtered")
+def hit_rate_filtered(spark, sf):
+    _, hr = _hit_rates(spark, sf, ev.K_GRID_SHORT, on=["dataProvider"])
+    return hr.select("k", "n_queries", "hits", F.round("hit_rate", 6).alias("hit_rate"))
+
+
+QUERY_ID = 0  # the record whose neighbours the single-query searches return
+
+
+@register("knn_single")
+def knn_single(spark, sf):
+    v = vectors(spark, sf)
+    row = v.where(F.col("id") == QUERY_ID).select("vec").first()  # point lookup (P5)
+    return nearest(v, None if row is None else row[0], 10).select("rank", "sid", F.round("dist", 6).alias("dist"))
+
+
+@register("missed_queries")
+def missed_queries(spark, sf):
+    fr, _ = _hit_rates(spark, sf, [30])
+    return ev.misses(fr, 10).select("qid", "first_rank")
+
+
+@register("hit_rate_variance")
+def hit_rate_variance(spark, sf):
+    fr, _ = _hit_rates(spark, sf, [10])
+    reps = sm.replicate_samples(vectors(spark, sf).select("id"), SAMPLE_N, REPLICATE_SEEDS)
+    # SAMPLE_N rows per seed: a size-bounded broadcast side
+    per = fr.join(F.broadcast(reps.select("replicate_id", F.col("id").alias("qid"))), "qid", "inner")
+    rates = ev.hit_rate(per, ev.K_GRID_SHORT, by=["replicate_id"])
+    out = ev.hit_rate_variance(rates)
+    return out.select("k", "n_replicates", *[F.round(c, 6).alias(c) for c in
+                                             ("mean_hit_rate", "sd_hit_rate", "min_hit_rate", "max_hit_rate")])
+
+
+@register("correlated_lookup")
+def correlated_lookup(spark, sf):
+    v = vectors(spark, sf)
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("doc"))
+    return correlated(v.where(F.col("id") == QUERY_ID), v, docs, 5)
+
+
+# ---------------------------------------------------------------- bag of words
+
+def _doc_tokens(spark, sf):
+    r = records(spark, sf)
+    return r.select(F.col("id").alias("doc_id"),
+                    F.explode(tx.tokens(compose_text("plain", title="title", abstract="abstract"))).alias("term"))
+
+
+@register("bow_counts")
+def bow_counts(spark, sf):
+    t = _doc_tokens(spark, sf)
+    return (t.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("c"))
+             .groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_terms"), F.sum("c").alias("n_tokens")))
+
+
+@register("dictionary")
+def dictionary(spark, sf):
+    t = _doc_tokens(spark, sf)
+    return (t.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("c"))
+             .groupBy("term").agg(F.count(F.lit(1)).alias("doc_freq"), F.sum("c").alias("n_tokens")))

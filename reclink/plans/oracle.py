@@ -177,3 +177,162 @@ ORACLE["title_search"] = f"""WITH {RECS}
 SELECT id AS doc_id, title FROM recs
 WHERE title IS NOT NULL AND contains(lower(title), 'the')
 ORDER BY title, id LIMIT 10"""
+
+
+# ---------------------------------------------------------------- sampling and linkage joins
+
+_SEEDS = list(range(20))
+
+ORACLE["left_join_participants"] = """
+SELECT o.o_orderkey, o.o_custkey, c.c_name AS participants
+FROM orders o LEFT JOIN customer c ON c.c_custkey = o.o_custkey
+WHERE o.o_orderkey IS NOT NULL AND o.o_custkey IS NOT NULL AND o.o_orderstatus IS NOT NULL
+  AND o.o_totalprice IS NOT NULL AND o.o_orderdate IS NOT NULL AND o.o_orderpriority IS NOT NULL"""
+
+ORACLE["sample_linked"] = """
+WITH linked AS (SELECT c_custkey AS id FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)),
+  s AS (SELECT id FROM linked ORDER BY md5(CAST(id AS VARCHAR) || '|42'), id LIMIT 100),
+  sl AS (SELECT o_custkey AS pub_id, o_orderkey AS proj_id FROM orders WHERE o_custkey IN (SELECT id FROM s)),
+  kp AS (SELECT o_orderkey AS id FROM orders
+         WHERE o_totalprice > 200000.0 AND o_orderkey IN (SELECT proj_id FROM sl)),
+  kpub AS (SELECT id FROM s WHERE id IN (SELECT pub_id FROM sl WHERE proj_id IN (SELECT id FROM kp)))
+SELECT 'pub' AS role, id FROM kpub UNION ALL SELECT 'proj' AS role, id FROM kp"""
+
+ORACLE["replicate_samples"] = f"""
+WITH linked AS (SELECT c_custkey AS id FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)),
+  seeds AS (SELECT CAST(unnest({_SEEDS}) AS INTEGER) AS replicate_id),
+  s AS (SELECT replicate_id, id FROM (
+          SELECT seeds.replicate_id, linked.id,
+                 row_number() OVER (PARTITION BY seeds.replicate_id
+                                    ORDER BY md5(CAST(linked.id AS VARCHAR) || '|' || CAST(seeds.replicate_id AS VARCHAR)),
+                                             linked.id) AS rn
+          FROM linked CROSS JOIN seeds) WHERE rn <= 100),
+  sl AS (SELECT s.replicate_id, o.o_custkey AS pub_id, o.o_orderkey AS proj_id
+         FROM orders o JOIN s ON s.id = o.o_custkey),
+  kp AS (SELECT DISTINCT sl.replicate_id, o.o_orderkey AS id FROM sl JOIN orders o ON o.o_orderkey = sl.proj_id
+         WHERE o.o_totalprice > 200000.0),
+  kpub AS (SELECT DISTINCT sl.replicate_id, sl.pub_id AS id FROM sl
+           JOIN kp ON kp.replicate_id = sl.replicate_id AND kp.id = sl.proj_id)
+SELECT 'pub' AS role, replicate_id, id FROM kpub UNION ALL SELECT 'proj' AS role, replicate_id, id FROM kp"""
+
+# ---------------------------------------------------------------- vectors, embedding, store
+
+_CHECKSUM_E = "list_sum(list_transform(range(1, len(embedding) + 1), lambda i: embedding[i]::DOUBLE * i))"
+_NORM_E = "sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)))"
+
+ORACLE["l2_normalize"] = f"""
+SELECT vec_id,
+       round(CASE WHEN {_NORM_E} > 0 THEN {_CHECKSUM_E} / {_NORM_E} ELSE {_CHECKSUM_E} END, 6) AS checksum,
+       round({_NORM_E}, 6) AS norm
+FROM embeddings"""
+
+
+def hashed_vectors_sql(src: str, text: str, name: str, dim: int = 64) -> str:
+    """CTEs: ``{name}`` (id, dim, x) sparse float32 hashed bag-of-words of ``text`` over ``src``."""
+    return f"""{name}_t AS (SELECT id, unnest(regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}]+')) AS tok FROM {src}),
+  {name}_b AS (SELECT id, CAST((('0x' || substr(md5(tok), 1, 8))::BIGINT % {dim}) AS INTEGER) AS dim,
+                      CAST(count(*) AS DOUBLE) AS c
+               FROM {name}_t GROUP BY ALL),
+  {name}_n AS (SELECT id, sqrt(sum(c * c)) AS nrm FROM {name}_b GROUP BY id),
+  {name} AS (SELECT b.id, b.dim, CAST(CAST(b.c / n.nrm AS FLOAT) AS DOUBLE) AS x
+             FROM {name}_b b JOIN {name}_n n USING (id))"""
+
+
+ORACLE["embed_hash"] = f"""WITH {RECS},
+  {hashed_vectors_sql('recs', "title || ' ' || abstract", 'hv')}
+SELECT r.id AS doc_id, count(hv.dim) AS nnz, round(coalesce(sum((hv.dim + 1) * hv.x), 0), 6) AS checksum
+FROM recs r LEFT JOIN hv ON hv.id = r.id GROUP BY r.id"""
+
+ORACLE["blend_vectors"] = f"""WITH {RECS},
+  {hashed_vectors_sql('recs', 'title', 'va')},
+  {hashed_vectors_sql('recs', 'abstract', 'vb')},
+  w AS (SELECT coalesce(va.id, vb.id) AS id, coalesce(va.dim, vb.dim) AS dim,
+               0.2 * coalesce(va.x, 0) + 0.8 * coalesce(vb.x, 0) AS x
+        FROM va FULL OUTER JOIN vb ON va.id = vb.id AND va.dim = vb.dim),
+  wn AS (SELECT id, sqrt(sum(x * x)) AS nrm FROM w GROUP BY id)
+SELECT r.id AS doc_id,
+       round(coalesce(sum((w.dim + 1) * CASE WHEN wn.nrm > 0 THEN w.x / wn.nrm ELSE w.x END), 0), 6) AS checksum
+FROM recs r LEFT JOIN w ON w.id = r.id LEFT JOIN wn ON wn.id = r.id GROUP BY r.id"""
+
+_BATCH = f"""lab AS (SELECT l.doc_id AS id, l.quality AS label, d.text FROM labels l JOIN documents d ON d.doc_id = l.doc_id),
+  {hashed_vectors_sql('lab', 'text', 'bv')},
+  batch AS (SELECT lab.id, lab.label, round(coalesce(sum((bv.dim + 1) * bv.x), 0), 6) AS checksum
+            FROM lab LEFT JOIN bv ON bv.id = lab.id GROUP BY lab.id, lab.label),
+  store AS (SELECT vec_id AS id, label, round({_CHECKSUM_E}, 6) AS checksum FROM embeddings)"""
+
+ORACLE["store_upsert"] = f"""WITH {_BATCH}
+SELECT id, label, checksum FROM batch
+UNION ALL SELECT id, label, checksum FROM store WHERE id NOT IN (SELECT id FROM batch)"""
+
+ORACLE["store_append"] = f"""WITH {_BATCH}
+SELECT id, label, checksum FROM store
+UNION ALL SELECT id, label, checksum FROM batch WHERE id NOT IN (SELECT id FROM store)"""
+
+ORACLE["store_scan"] = "SELECT vec_id AS id, label FROM embeddings WHERE vec_id IN (SELECT doc_id FROM labels)"
+
+# ---------------------------------------------------------------- kNN variants and evaluation
+
+ORACLE["knn_filtered"] = _knn_ranked(10, same_provider=True) + """
+SELECT qid, sid, CAST(rnk AS INTEGER) AS rank, round(d, 6) AS dist FROM ranked WHERE rnk <= 10
+"""
+
+ORACLE["hit_rate_filtered"] = _hit_rate_sql([1, 2, 3, 5, 10], same_provider=True)
+
+ORACLE["knn_single"] = f"""
+WITH q AS (SELECT embedding FROM embeddings WHERE vec_id = 0),
+  d AS (SELECT s.vec_id AS sid, {_L2SQ} AS d FROM embeddings s, q)
+SELECT CAST(row_number() OVER (ORDER BY round(d, 9), sid) AS INTEGER) AS rank, sid, round(d, 6) AS dist
+FROM d ORDER BY round(d, 9), sid LIMIT 10"""
+
+ORACLE["missed_queries"] = _knn_ranked(30) + """,
+  fr AS (
+    SELECT e.vec_id AS qid,
+           CAST(min(r.rnk) FILTER (WHERE r.q_label = r.s_label AND r.rnk <= 30) AS INTEGER) AS first_rank
+    FROM embeddings e LEFT JOIN ranked r ON r.qid = e.vec_id
+    GROUP BY e.vec_id)
+SELECT qid, first_rank FROM fr WHERE first_rank IS NULL OR first_rank > 10"""
+
+ORACLE["hit_rate_variance"] = _knn_ranked(10) + f""",
+  fr AS (
+    SELECT e.vec_id AS qid,
+           min(r.rnk) FILTER (WHERE r.q_label = r.s_label AND r.rnk <= 10) AS first_rank
+    FROM embeddings e LEFT JOIN ranked r ON r.qid = e.vec_id
+    GROUP BY e.vec_id),
+  seeds AS (SELECT CAST(unnest({_SEEDS}) AS INTEGER) AS replicate_id),
+  reps AS (SELECT replicate_id, qid FROM (
+             SELECT seeds.replicate_id, e.vec_id AS qid,
+                    row_number() OVER (PARTITION BY seeds.replicate_id
+                                       ORDER BY md5(CAST(e.vec_id AS VARCHAR) || '|' || CAST(seeds.replicate_id AS VARCHAR)),
+                                                e.vec_id) AS rn
+             FROM embeddings e CROSS JOIN seeds) WHERE rn <= 100),
+  g AS (SELECT CAST(unnest([1, 2, 3, 5, 10]) AS INTEGER) AS k),
+  rates AS (
+    SELECT reps.replicate_id, g.k,
+           100.0 * count(*) FILTER (WHERE fr.first_rank <= g.k) / count(*) AS hit_rate
+    FROM reps JOIN fr ON fr.qid = reps.qid CROSS JOIN g GROUP BY reps.replicate_id, g.k)
+SELECT k, count(replicate_id) AS n_replicates, round(avg(hit_rate), 6) AS mean_hit_rate,
+       round(stddev_samp(hit_rate), 6) AS sd_hit_rate, round(min(hit_rate), 6) AS min_hit_rate,
+       round(max(hit_rate), 6) AS max_hit_rate
+FROM rates GROUP BY k"""
+
+ORACLE["correlated_lookup"] = f"""
+WITH q AS (SELECT embedding FROM embeddings WHERE vec_id = 0),
+  d AS (SELECT s.vec_id AS sid, {_L2SQ} AS d FROM embeddings s, q),
+  top AS (SELECT CAST(row_number() OVER (ORDER BY round(d, 9), sid) AS INTEGER) AS rank, sid, d
+          FROM d ORDER BY round(d, 9), sid LIMIT 5)
+SELECT top.rank, top.sid, top.d AS dist,
+       {break_abstract_sql("doc.text || ' ' || chr(10) || ' Similarity Score: ' || printf('%.6f', top.d)")} AS result
+FROM top JOIN documents doc ON doc.doc_id = top.sid"""
+
+# ---------------------------------------------------------------- bag of words
+
+_TOKENS = f"""{RECS},
+  tk AS (SELECT id AS doc_id, unnest(string_split({stopword_clean_sql(TEMPLATES_SQL['plain'])}, ' ')) AS term FROM recs)"""
+
+ORACLE["bow_counts"] = f"""WITH {_TOKENS},
+  c AS (SELECT doc_id, term, count(*) AS c FROM tk GROUP BY doc_id, term)
+SELECT doc_id, count(*) AS n_terms, sum(c) AS n_tokens FROM c GROUP BY doc_id"""
+
+ORACLE["dictionary"] = f"""WITH {_TOKENS},
+  c AS (SELECT doc_id, term, count(*) AS c FROM tk GROUP BY doc_id, term)
+SELECT term, count(*) AS doc_freq, sum(c) AS n_tokens FROM c GROUP BY term"""
