@@ -71,14 +71,14 @@ def non_null(arr) -> Column:
 def discipline_terms(disciplines, locale: str = "en") -> Column:
     """English term of every discipline; missing texts dropped."""
     return non_null(F.transform(col_(disciplines),
-                                lambda d: pick_locale(d["description"]["texts"], locale)))
+                                lambda d: pick_locale(d["description"]["texts"]["text"], locale)))
 
 
 def coded_disciplines(disciplines, locale: str = "en") -> Column:
     """'code:term' for coded disciplines; missing texts dropped."""
     return non_null(F.transform(col_(disciplines),
                                 lambda d: F.concat(d["_term"], F.lit(":"),
-                                                   pick_locale(d["description"]["texts"], locale))))
+                                                   pick_locale(d["description"]["texts"]["text"], locale))))
 
 
 def organisations(names) -> Column:

@@ -350,3 +350,29 @@ def dictionary(spark, sf):
     t = _doc_tokens(spark, sf)
     return (t.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("c"))
              .groupBy("term").agg(F.count(F.lit(1)).alias("doc_freq"), F.sum("c").alias("n_tokens")))
+
+
+# ---------------------------------------------------------------- XML pages
+
+from reclink.sources import xml_pages as xp  # noqa: E402
+
+PAGE_SIZE = 50
+
+
+def _derived_pages(spark, sf):
+    """SOAP export pages rendered from the documents (PAGE_SIZE records per page)."""
+    r = records(spark, sf).withColumn("page_no", F.floor(F.col("id") / PAGE_SIZE).cast("int"))
+    return xp.records_to_pages(r, PAGE_SIZE, entity="project")
+
+
+@register("xml_projects")
+def xml_projects(spark, sf):
+    parsed = xp.parse_pages(_derived_pages(spark, sf), "project", sanitize="ascii")
+    recs = cu.min_length(xp.extract_projects(parsed), cu.PROJECT_MIN)
+    return recs.select("projId", "title", F.md5("abstract").alias("abstract_md5"), "dataProvider")
+
+
+@register("page_audit")
+def page_audit(spark, sf):
+    parsed = xp.parse_pages(_derived_pages(spark, sf), "project", sanitize="ascii")
+    return xp.audit_pages(parsed, "project", PAGE_SIZE)

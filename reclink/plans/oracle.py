@@ -336,3 +336,24 @@ SELECT doc_id, count(*) AS n_terms, sum(c) AS n_tokens FROM c GROUP BY doc_id"""
 ORACLE["dictionary"] = f"""WITH {_TOKENS},
   c AS (SELECT doc_id, term, count(*) AS c FROM tk GROUP BY doc_id, term)
 SELECT term, count(*) AS doc_freq, sum(c) AS n_tokens FROM c GROUP BY term"""
+
+
+# ---------------------------------------------------------------- XML pages
+
+def _ascii(c: str) -> str:
+    return f"regexp_replace({c}, '[^\\x20-\\x7E\\t\\n\\r]', '', 'g')"
+
+
+ORACLE["xml_projects"] = f"""WITH {RECS},
+  p AS (SELECT CAST(id AS VARCHAR) AS projId, {html_to_text_sql(_ascii('title'))} AS title,
+               {html_to_text_sql(_ascii('abstract'))} AS abstract, {_ascii('dataProvider')} AS dataProvider
+        FROM recs WHERE lang = 'en')
+SELECT projId, title, md5(abstract) AS abstract_md5, dataProvider FROM p
+WHERE length(abstract) >= 150 AND length(title) >= 5"""
+
+ORACLE["page_audit"] = """
+SELECT 'derived' AS export, CAST(doc_id // 50 AS INTEGER) AS page_no, 'ok' AS status,
+       CAST(count(*) AS INTEGER) AS n_records, CAST(min(doc_id) AS VARCHAR) AS first_uuid,
+       (SELECT count(*) FROM documents) AS total, false AS is_repeat,
+       CAST((SELECT count(*) FROM documents) // 50 + 1 AS INTEGER) AS expected_pages
+FROM documents GROUP BY doc_id // 50"""
