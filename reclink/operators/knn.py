@@ -68,7 +68,7 @@ def _cell_topk(qpdf: pd.DataFrame, spdf: pd.DataFrame, *, k: int, metric: str,
                out_cols: list) -> pd.DataFrame:
     """Exact top-k of every query of one cell against the stored vectors of that cell."""
     if len(qpdf) == 0 or len(spdf) == 0:
-        return pd.DataFrame({c: [] for c in out_cols})
+        return pd.DataFrame()  # untyped empty columns would not convert to string fields
     Q = _stack(qpdf["_qvec"])
     S = _stack(spdf["_svec"])
     if metric == "cosine":
@@ -103,6 +103,8 @@ def _cell_topk(qpdf: pd.DataFrame, spdf: pd.DataFrame, *, k: int, metric: str,
         parts_q.append(r + start)
         parts_s.append(c)
         parts_d.append(_exact(metric, Qc[r], S[c]))
+    if not parts_q:
+        return pd.DataFrame()
     qpos = np.concatenate(parts_q)
     spos = np.concatenate(parts_s)
     dist = np.concatenate(parts_d)

@@ -376,3 +376,84 @@ def xml_projects(spark, sf):
 def page_audit(spark, sf):
     parsed = xp.parse_pages(_derived_pages(spark, sf), "project", sanitize="ascii")
     return xp.audit_pages(parsed, "project", PAGE_SIZE)
+
+
+# ---------------------------------------------------------------- approximate kNN and topic models
+# (no SQL oracle: iterative / randomised fits; covered by tests against brute force)
+
+from reclink.operators import topics as tp  # noqa: E402
+from reclink.operators.knn import knn_lsh  # noqa: E402
+
+LDA_QUERY_ITER = 20  # the operator default is the original 1000 passes; the registered query runs 20
+
+
+@register("knn_lsh")
+def knn_lsh_q(spark, sf):
+    v = vectors(spark, sf)
+    return knn_lsh(v, v, 10, bucket_length=1.0, num_tables=4, exclude_self=True).select(
+        "qid", "sid", "rank", F.round("dist", 6).alias("dist"))
+
+
+def _token_docs(spark, sf):
+    r = records(spark, sf)
+    return r.select("id", F.col("lang").alias("truth"),
+                    tx.tokens(compose_text("plain", title="title", abstract="abstract")).alias("tokens"))
+
+
+def _retrieval_rates(vecs, ks):
+    qv = vecs.select("id", "vec", F.col("truth").alias("q_truth"))
+    sv = vecs.select("id", "vec", F.col("truth").alias("s_truth"))
+    r = knn_join(qv, sv, max(ks), exclude_self=True, q_carry=("q_truth",), s_carry=("s_truth",))
+    fr = ev.first_hit_rank(r, vecs.select(F.col("id").alias("qid")), F.col("q_truth") == F.col("s_truth"))
+    return ev.hit_rate(fr, ks).select("k", "n_queries", "hits", F.round("hit_rate", 6).alias("hit_rate"))
+
+
+@register("lda_topics")
+def lda_topics(spark, sf):
+    docs = _token_docs(spark, sf)
+    model, vocab = tp.fit_lda(docs, max_iter=LDA_QUERY_ITER)
+    tv = tp.topic_vectors(docs, model, vocab)
+    return tv.select(F.col("id").alias("doc_id"), F.array_position(
+        tv.vec, F.array_max("vec")).cast("int").alias("top_topic"))
+
+
+@register("lda_retrieval")
+def lda_retrieval(spark, sf):
+    docs = _token_docs(spark, sf)
+    model, vocab = tp.fit_lda(docs, max_iter=LDA_QUERY_ITER)
+    return _retrieval_rates(tp.topic_vectors(docs, model, vocab), ev.K_GRID_LONG)
+
+
+@register("doc2vec_query")
+def doc2vec_query(spark, sf):
+    docs = _token_docs(spark, sf)
+    model = tp.fit_doc2vec(docs)
+    return _retrieval_rates(tp.doc_vectors(docs, model), ev.K_GRID_LONG)
+
+
+def _kmeans_topics(spark, sf):
+    docs = _token_docs(spark, sf)
+    r = records(spark, sf).select("id", compose_text("plain", title="title", abstract="abstract").alias("doc"))
+    emb = embed(r, "doc", HashingEmbedder(HASH_DIM)).select("id", "vec")
+    return tp.cluster_topics(docs.join(emb, "id"), k=8)
+
+
+@register("topics_kmeans")
+def topics_kmeans(spark, sf):
+    _, words, _ = _kmeans_topics(spark, sf)
+    return words.select("topic", "rank", "term", F.round("score", 6).alias("score"))
+
+
+@register("find_topics")
+def find_topics(spark, sf):
+    _, _, model = _kmeans_topics(spark, sf)
+    cents = tp.centroids(spark, model)
+    term = spark.createDataFrame([("cancer",)], "t string")
+    q = embed(term, "t", HashingEmbedder(HASH_DIM)).first()["vec"]  # one embedded search term
+    return nearest(cents, q, 5).select("rank", F.col("sid").alias("topic"), F.round("dist", 6).alias("dist"))
+
+
+@register("pca_2d")
+def pca_2d(spark, sf):
+    p = tp.project_2d(vectors(spark, sf))
+    return p.select("id", "label", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))

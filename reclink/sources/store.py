@@ -90,3 +90,29 @@ def cached(spark: SparkSession, path: str, compute, source: DataFrame | None = N
     todo = source.join(have, key, "left_anti")
     write(compute(todo), path, mode="append")
     return read(spark, path)
+
+
+def append_batch(df: DataFrame, path: str, batch_id: int) -> None:
+    """Write one batch of store rows as partition ``batch_id=N``.
+
+    Re-running a batch (a retried task or stream epoch) overwrites only its own
+    partition, so the write is idempotent; readers resolve versions with
+    ``current``.
+    """
+    (df.withColumn("batch_id", F.lit(int(batch_id)))
+       .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+       .partitionBy("batch_id").parquet(path))
+
+
+def current(spark: SparkSession, path: str, key: str = "id") -> DataFrame:
+    """Latest version of every id across the batch log (S9 semantics on read)."""
+    log = read(spark, path)
+    cols = [c for c in log.columns if c != "batch_id"]
+    return upsert_log(log.select(*cols, "batch_id"), key)
+
+
+def upsert_log(log: DataFrame, key: str = "id") -> DataFrame:
+    rest = [c for c in log.columns if c not in (key, "batch_id")]
+    return (log.groupBy(key)
+               .agg(F.max_by(F.struct(*[F.col(c) for c in rest]), F.col("batch_id")).alias("_row"))
+               .select(key, *[F.col("_row")[c].alias(c) for c in rest]))
