@@ -113,16 +113,16 @@ def clean_disciplines(c, sep: str = ";", drop: int = 7, out_sep: str = ", ") ->
     return F.array_join(F.array_sort(F.array_distinct(terms)), out_sep)
 
 
-def stopword_clean(c, stopwords=None) -> Column:
-    """split on single spaces, lower-case, drop stop words, re-join (empty tokens stay)."""
+def tokens(c, stopwords=None) -> Column:
+    """F12 tokens: split on single spaces, lower-case, drop stop words (empty tokens stay)."""
     sw = list(stopwords or ENGLISH_STOPWORDS)
-    toks = F.transform(F.split(F.coalesce(col_(c), F.lit("")), " "), lambda x: F.lower(x))
-    return F.array_join(F.filter(toks, lambda x: ~x.isin(sw)), " ")
+    toks = F.split(F.lower(F.coalesce(col_(c), F.lit(""))), " ")
+    return F.filter(toks, lambda x: ~x.isin(sw))
 
 
-def tokens(c) -> Column:
-    """Tokens as the topic model sees them: stop-word cleaned text split on ' '."""
-    return F.split(stopword_clean(c), " ")
+def stopword_clean(c, stopwords=None) -> Column:
+    """the cleaned tokens re-joined with single spaces."""
+    return F.array_join(tokens(c, stopwords), " ")
 
 
 def break_before_abstract(c) -> Column:

@@ -143,10 +143,11 @@ def _blocks(n: int, rows: int) -> int:
 
 
 def _grid_cells(spark, q: DataFrame, s: DataFrame, on: list, q_block_rows: int,
-                s_block_rows: int, min_cells: int):
+                s_block_rows: int, min_cells: int, counts=(None, None)):
     """Assign query/store rows to (on..., _qb, _sb) cells; return (q, s, needs_merge)."""
     if not on:
-        nq, ns = q.count(), s.count()
+        nq = counts[0] if counts[0] is not None else q.count()
+        ns = counts[1] if counts[1] is not None else s.count()
         sb = _blocks(ns, s_block_rows)
         qb = max(_blocks(nq, q_block_rows), int(math.ceil(min_cells / sb)))
         qb = max(1, min(qb, max(nq, 1)))
@@ -167,6 +168,8 @@ def _grid_cells(spark, q: DataFrame, s: DataFrame, on: list, q_block_rows: int,
                .select(*ks,
                        F.greatest(F.lit(1), F.ceil(F.col("_nq") / F.lit(q_block_rows))).cast("int").alias("_qbn"),
                        F.greatest(F.lit(1), F.ceil(F.col("_ns") / F.lit(s_block_rows))).cast("int").alias("_sbn")))
+    from reclink.session import materialize
+    stats = materialize(stats)  # one row per key, read by both sides
     agg = stats.agg(F.count(F.lit(1)).alias("n"), F.max("_sbn").alias("m")).first()
     n_keys, max_sb = agg["n"], (agg["m"] or 1)
     side = F.broadcast(stats) if n_keys <= _BROADCAST_KEYS else stats
@@ -206,13 +209,16 @@ def knn_join(queries: DataFrame, store: DataFrame, k: int, *, q_id: str = "id",
              s_id: str = "id", s_vec: str = "vec", on: list | None = None, where: Column | None = None,
              metric: str = "l2sq", exclude_self: bool = False, q_carry: tuple = (),
              s_carry: tuple = (), q_block_rows: int = 4096, s_block_rows: int = 16384,
-             min_cells: int | None = None, decimals: int = 9) -> DataFrame:
+             min_cells: int | None = None, decimals: int = 9, n_queries: int | None = None,
+             n_store: int | None = None) -> DataFrame:
     """Exact kNN join: for every query, its k nearest stored vectors.
 
     ``on`` lists equality keys present on both sides (metadata pre-filter, P7);
     ``where`` is a store-side predicate applied before the join (P8).
     Result: ``qid, sid, rank, dist`` plus the carried columns; lower dist is
     closer for every metric (cosine distance, negative dot product).
+    ``n_queries`` / ``n_store`` (known sizes) skip the counting passes that
+    size the blocks.
     """
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
@@ -233,7 +239,8 @@ def knn_join(queries: DataFrame, store: DataFrame, k: int, *, q_id: str = "id",
                      *[F.col(c).alias(c) for c in on + s_carry])
     schema = _out_schema(q, s, q_carry, s_carry)
     min_cells = min_cells or spark.sparkContext.defaultParallelism
-    qg, sg, needs_merge = _grid_cells(spark, q, s, on, q_block_rows, s_block_rows, min_cells)
+    qg, sg, needs_merge = _grid_cells(spark, q, s, on, q_block_rows, s_block_rows, min_cells,
+                                      (n_queries, n_store))
     fn = partial(_cell_topk, k=k, metric=metric, exclude_self=exclude_self, decimals=decimals,
                  q_carry=q_carry, s_carry=s_carry, out_cols=schema.fieldNames())
     keys = on + ["_qb", "_sb"]

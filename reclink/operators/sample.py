@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from reclink.session import materialize
+
 
 def sample_key(id_col: str, seed) -> F.Column:
     seed_c = seed if isinstance(seed, F.Column) else F.lit(str(seed))
@@ -65,8 +67,8 @@ def linked_sample(pubs: DataFrame, links: DataFrame, projects: DataFrame, n: int
     (publications, projects).
     """
     linked = pubs.join(links.select(F.col(link_pub).alias(pub_id)).distinct(), pub_id, "left_semi")
-    sample = sample_n(linked, n, seed, pub_id)
-    # the sample is n rows by construction, so broadcasting it is size-bounded
+    # n rows, used three times: computed once; broadcasting it is size-bounded
+    sample = materialize(sample_n(linked, n, seed, pub_id))
     s_links = links.join(F.broadcast(sample.select(F.col(pub_id).alias(link_pub))), link_pub, "left_semi")
     kept_projects = projects_of(s_links, projects, proj_id, link_proj)
     kept_pubs = any_link(sample, s_links, kept_projects, pub_id=pub_id, link_pub=link_pub,
@@ -79,7 +81,7 @@ def linked_replicates(pubs: DataFrame, links: DataFrame, projects: DataFrame, n:
                       link_proj: str = "proj_id"):
     """L2 for every seed at once (L3); results carry replicate_id."""
     linked = pubs.join(links.select(F.col(link_pub).alias(pub_id)).distinct(), pub_id, "left_semi")
-    sample = replicate_samples(linked, n, seeds, pub_id)
+    sample = materialize(replicate_samples(linked, n, seeds, pub_id))
     # n rows per seed: a size-bounded broadcast side
     s_links = links.join(F.broadcast(sample.select("replicate_id", F.col(pub_id).alias(link_pub))),
                          link_pub, "inner")

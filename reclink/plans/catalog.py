@@ -340,9 +340,11 @@ def _doc_tokens(spark, sf):
 
 @register("bow_counts")
 def bow_counts(spark, sf):
-    t = _doc_tokens(spark, sf)
-    return (t.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("c"))
-             .groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_terms"), F.sum("c").alias("n_tokens")))
+    # per-document bag-of-words size: row expressions only, no shuffle
+    r = records(spark, sf)
+    t = tx.tokens(compose_text("plain", title="title", abstract="abstract"))
+    return r.select(F.col("id").alias("doc_id"), F.size(F.array_distinct(t)).cast("long").alias("n_terms"),
+                    F.size(t).cast("long").alias("n_tokens"))
 
 
 @register("dictionary")

@@ -54,3 +54,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint folder for written tables."""
     base = checkpoint_dir(spark)
     return os.path.join(base, name) if "://" not in base else base.rstrip("/") + "/" + name
+
+
+def materialize(df):
+    """Compute a small, reused intermediate once and cut its lineage.
+
+    A reliable checkpoint in the shared checkpoint folder: later stages read
+    the written files, a lost executor does not force recomputation, and the
+    optimizer sees the true (small) size, so joins against it broadcast.
+    """
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
