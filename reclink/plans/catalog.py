@@ -459,3 +459,11 @@ def find_topics(spark, sf):
 def pca_2d(spark, sf):
     p = tp.project_2d(vectors(spark, sf))
     return p.select("id", "label", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+@register("compare_models")
+def compare_models(spark, sf):
+    _, plain = _hit_rates(spark, sf, ev.K_GRID_SHORT)
+    _, prov = _hit_rates(spark, sf, ev.K_GRID_SHORT, on=["dataProvider"])
+    out = ev.compare_models({"all_store": plain, "same_provider": prov})
+    return out.select("model", "k", "n_queries", "hits", F.round("hit_rate", 6).alias("hit_rate"))

@@ -357,3 +357,7 @@ SELECT 'derived' AS export, CAST(doc_id // 50 AS INTEGER) AS page_no, 'ok' AS st
        (SELECT count(*) FROM documents) AS total, false AS is_repeat,
        CAST((SELECT count(*) FROM documents) // 50 + 1 AS INTEGER) AS expected_pages
 FROM documents GROUP BY doc_id // 50"""
+
+ORACLE["compare_models"] = (
+    "SELECT 'all_store' AS model, * FROM (" + _hit_rate_sql([1, 2, 3, 5, 10]) + ")\nUNION ALL\n"
+    "SELECT 'same_provider' AS model, * FROM (" + _hit_rate_sql([1, 2, 3, 5, 10], same_provider=True) + ")")
