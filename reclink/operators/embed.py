@@ -38,36 +38,50 @@ class HashingEmbedder:
         self.dim = dim
 
     def load(self):
-        import regex
-        self._re = regex.compile(TOKEN_PATTERN)
+        import re
+        # letters and digits: [^\W_] is the same class as [\p{L}\p{N}]
+        self._findall = re.compile(r"[^\W_]+").findall
         self._cache: dict = {}
         return self
 
     def _bucket(self, tok: str) -> int:
-        b = self._cache.get(tok)
-        if b is None:
-            b = int(hashlib.md5(tok.encode("utf-8")).hexdigest()[:8], 16) % self.dim
-            if len(self._cache) < 1_000_000:
-                self._cache[tok] = b
+        b = int(hashlib.md5(tok.encode("utf-8")).hexdigest()[:8], 16) % self.dim
+        if len(self._cache) < 1_000_000:
+            self._cache[tok] = b
         return b
 
     def __call__(self, texts: list) -> np.ndarray:
         out = np.zeros((len(texts), self.dim), dtype=np.float64)
+        rows: list = []
+        cols: list = []
+        cache, bucket, findall = self._cache, self._bucket, self._findall
         for i, t in enumerate(texts):
             if t is None:
                 continue
-            for tok in self._re.findall(t.lower()):
-                out[i, self._bucket(tok)] += 1.0
+            b = [cache[x] if x in cache else bucket(x) for x in findall(t.lower())]
+            cols.extend(b)
+            rows.extend([i] * len(b))
+        if cols:
+            np.add.at(out, (np.asarray(rows, dtype=np.int64), np.asarray(cols, dtype=np.int64)), 1.0)
         n = np.linalg.norm(out, axis=1, keepdims=True)
         n[n == 0] = 1.0
         return out / n
 
 
-def embed(df: DataFrame, text_col, embedder=None, out_col: str = "vec", batch_size: int = 1000) -> DataFrame:
-    """Add ``out_col`` = embedding of ``text_col`` (array<float>)."""
+def embed(df: DataFrame, text_col, embedder=None, out_col: str = "vec", batch_size: int = 1000,
+          partitions: int | None = None) -> DataFrame:
+    """Add ``out_col`` = embedding of ``text_col`` (array<float>).
+
+    Inference costs far more per row than moving the row, so an input with
+    fewer partitions than the cluster's parallelism (e.g. one big unsplittable
+    file) is spread out first; well-split inputs are left as they are.
+    """
     embedder = embedder or HashingEmbedder()
     spark = df.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_size))
+    target = partitions or spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        df = df.repartition(target)
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def _embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
