@@ -136,3 +136,34 @@ def test_read_legacy(spark):
     assert (p.projId, p.abstract, p.participants) == ("P1", "abs", "A B")
     pubs = {r.id: r.projId for r in xp.read_legacy(spark, d, "cfResPubl").collect()}
     assert pubs == {"X": "P1,P2", "Y": None}
+
+
+def test_relational_helpers(spark):
+    from reclink.operators import relational as rl
+    df = spark.createDataFrame([("a", ["p1", "p2"], 3), ("b", ["p2"], 1), ("c", ["p3"], 2)],
+                               "id string, projId array<string>, v int")
+    assert sorted(r.proj_id for r in rl.distinct_links(df).collect()) == ["p1", "p2", "p3"]
+    n_in, n_out, _ = rl.step_counts(df, lambda d: d.where(F.col("v") > 1))
+    assert (n_in, n_out) == (3, 2)
+    assert [r.id for r in rl.head(df, 2, F.col("v")).collect()] == ["b", "c"]
+    g = spark.createDataFrame([("x", 1), ("x", 2), ("x", 3), ("y", 5)], "g string, v int")
+    assert sorted((r.g, r.v) for r in rl.top_k(g, "g", F.col("v").desc(), 2).collect()) == [("x", 2), ("x", 3), ("y", 5)]
+    u = rl.append_batches(df.select("id"), df.select("id", "v"))
+    assert u.count() == 6 and u.columns == ["id", "v"]
+    j = rl.join_stores(df.select("id", "v"), df.select("id", F.col("v").alias("w")))
+    assert sorted(j.columns) == ["id", "v_a", "w_b"]
+
+
+def test_model_persistence_and_text_query(spark):
+    from pyspark.ml.feature import Word2VecModel
+    from reclink.operators import topics as tp
+    docs = spark.createDataFrame([(i, ("alpha beta gamma " * 5 if i % 2 else "delta eps zeta " * 5).split())
+                                  for i in range(20)], "id long, tokens array<string>")
+    model = tp.fit_doc2vec(docs, dim=8, min_count=1)
+    d = tempfile.mkdtemp(prefix="reclink-model-")
+    tp.save_model(model, d + "/w2v")
+    again = tp.load_model(Word2VecModel, d + "/w2v")
+    vecs = tp.doc_vectors(docs, again)
+    q = spark.createDataFrame([(100, ["alpha", "beta"])], "id long, tokens array<string>")
+    hits = tp.query_documents(again, vecs, q, 3).collect()
+    assert len(hits) == 3 and all(h.sid % 2 == 1 for h in hits)
