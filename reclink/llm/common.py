@@ -56,3 +56,21 @@ def running_sums(lens: Column, block: int = 64) -> Column:
             F.sequence(F.lit(0), n - 1),
             lambda i: F.get(base, F.floor(i / block).cast("int"))
             + total(F.slice(lens, F.floor(i / block).cast("int") * block + 1, F.pmod(i, F.lit(block))))))))
+
+
+def grouped(batches, keys: list[str]):
+    """(key tuple, list of row dicts) of each run of equal keys in sorted Arrow batches.
+
+    Holds one group at a time; callers see to it that groups are bounded.
+    """
+    now, rows = None, []
+    for batch in batches:
+        for row in batch.to_pylist():
+            key = tuple(row[k] for k in keys)
+            if rows and key != now:
+                yield now, rows
+                rows = []
+            now = key
+            rows.append(row)
+    if rows:
+        yield now, rows

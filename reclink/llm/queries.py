@@ -4,17 +4,44 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from reclink.llm import secrets, shards, url_rules
-from reclink.llm.common import table
+from reclink.llm import chat_windows, mixing, secrets, shards, token_files, url_rules
+from reclink.llm.common import shared_path, table
+
+
+def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
 
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"),
              ("block", "net/es/"), ("block", "net/fr/")]
+MIX_ALPHA = 0.8  # target weight of a source: its rows to this power
+
+
+def op1_token_files(spark, sf_dir):
+    out = shared_path(spark, "tokens")
+    token_files.write_tokens(table(spark, sf_dir, "documents"), out, tokenizer_file(), end_id=2, words=True)
+    return token_files.read_tokens(spark, out).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op2_pfair_mix(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    weights = mixing.temper(mixing.source_counts(docs), MIX_ALPHA)
+    return mixing.mix(docs.select("doc_id", "source", F.crc32(F.col("text").cast("binary")).alias("text")), weights).select(
+        F.col("row.doc_id").alias("doc_id"), "source", "epoch", "pos", "slot", "block", "release", "deadline")
 
 
 def op4_url_rules(spark, sf_dir):
     return url_rules.judge_urls(table(spark, sf_dir, "pages"), url_rules.rule_table(spark, URL_RULES))
 
 
+def op7_chat_windows(spark, sf_dir):
+    extra = r"\### Assistant: </turn> ok"
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(
+        spark.createDataFrame([(-7, 0, "user", extra), (-7, 1, "assistant", extra)], "conv_id long, turn long, role string, text string"))
+    return chat_windows.digests(chat_windows.format_windows(turns, tokenizer_file(), words=True))
+
+
 def op8_secret_scan(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     found = secrets.scan(docs, secrets.train(secrets.labelled_samples(docs)))
@@ -32,7 +59,7 @@ def op10_byte_shards(spark, sf_dir):
                       F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op4_url_rules, op8_secret_scan, op10_byte_shards)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_pfair_mix, op7_chat_windows, op4_url_rules, op8_secret_scan, op10_byte_shards)}
 
 ORACLE = {
     "op4_url_rules": r"""
