@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from reclink.llm import chat_windows, mixing, secrets, shards, token_files, url_rules
+from reclink.llm import chat_windows, langid, mixing, secrets, shards, token_files, url_rules
 from reclink.llm.common import shared_path, table
 
 
@@ -35,6 +35,13 @@ def op4_url_rules(spark, sf_dir):
     return url_rules.judge_urls(table(spark, sf_dir, "pages"), url_rules.rule_table(spark, URL_RULES))
 
 
+def op6_language(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs.where(~langid.held_out(F.col("doc_id"))))
+    return langid.predict(docs.select("doc_id", "text"), model).select(
+        F.col("row.doc_id").alias("doc_id"), langid.held_out(F.col("row.doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op7_chat_windows(spark, sf_dir):
     extra = r"\### Assistant: </turn> ok"
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(
@@ -59,7 +66,7 @@ def op10_byte_shards(spark, sf_dir):
                       F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_pfair_mix, op7_chat_windows, op4_url_rules, op8_secret_scan, op10_byte_shards)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_pfair_mix, op6_language, op7_chat_windows, op4_url_rules, op8_secret_scan, op10_byte_shards)}
 
 ORACLE = {
     "op4_url_rules": r"""

@@ -1,7 +1,8 @@
 """Sharding: contiguous, byte-balanced shards from global prefix sums.
 
-Rows are put in key order by a range partitioning and written once with the
-number of their partition.  Totals of the partitions (one row each) give every
+Sizes and digests are taken in one pass over the texts and written as a narrow
+table.  Its rows are put in key order by a range partitioning and written with
+the number of their partition.  Totals of the partitions (one row each) give every
 partition its base; a running sum inside the partition gives each row its global
 byte offset; the offset decides the shard: ``floor(offset * n / total)``.  Shards
 are contiguous in key order and differ from the target by less than one row.
@@ -35,7 +36,8 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", t
     if not carry:
         rows = rows.drop("row")
     key = ["id", "crc", "size", "nth"]
-    parts = stored(rows.repartitionByRange(shuffle_partitions(docs.sparkSession), *key)
+    # The range partitioning samples its input first; from a table, that costs no second pass over the texts.
+    parts = stored(stored(rows, "shard-sizes").repartitionByRange(shuffle_partitions(docs.sparkSession), *key)
                    .withColumn("part", F.spark_partition_id()), "shard-rows")
     # One row per partition: bases by prefix sums, and the total.
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -52,9 +54,7 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", t
               .withColumn("nth_row", F.col("base_rows") + F.col("nr") - 1)
               # floor(offset * n / total) without leaving 64 bits
               .withColumn("shard", F.expr(f"cast(cast(offset as decimal(38,0)) * {n_shards} div total as int)")))
-    # Slots: rows of a shard in this partition before the row, and in partitions before it.
-    per = placed.groupBy("part", "shard").agg(F.min("nth_row").alias("first"))
-    starts = per.groupBy("shard").agg(F.min("first").alias("first"))
+    starts = placed.groupBy("shard").agg(F.min("nth_row").alias("first"))  # one row per shard
     out = (placed.join(F.broadcast(starts), "shard")
            .withColumn("slot", F.col("nth_row") - F.col("first")))
     cols = [F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), "shard", "slot"]
