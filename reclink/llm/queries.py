@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from reclink.llm import chat_windows, langid, mixing, secrets, shards, token_files, url_rules
+from reclink.llm import chat_windows, decontaminate, langid, mixing, secrets, shards, token_files, url_rules
 from reclink.llm.common import shared_path, table
 
 
@@ -31,6 +31,10 @@ def op2_pfair_mix(spark, sf_dir):
         F.col("row.doc_id").alias("doc_id"), "source", "epoch", "pos", "slot", "block", "release", "deadline")
 
 
+def op3_decontaminate(spark, sf_dir):
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_url_rules(spark, sf_dir):
     return url_rules.judge_urls(table(spark, sf_dir, "pages"), url_rules.rule_table(spark, URL_RULES))
 
@@ -66,7 +70,7 @@ def op10_byte_shards(spark, sf_dir):
                       F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_pfair_mix, op6_language, op7_chat_windows, op4_url_rules, op8_secret_scan, op10_byte_shards)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_pfair_mix, op3_decontaminate, op6_language, op7_chat_windows, op4_url_rules, op8_secret_scan, op10_byte_shards)}
 
 ORACLE = {
     "op4_url_rules": r"""
