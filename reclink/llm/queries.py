@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from reclink.llm import chat_windows, decontaminate, langid, mixing, secrets, shards, token_files, url_rules
+from reclink.llm import chat_windows, decontaminate, langid, mixing, secrets, shards, token_files, url_rules, vector_tree
 from reclink.llm.common import shared_path, table
 
 
@@ -39,6 +39,10 @@ def op4_url_rules(spark, sf_dir):
     return url_rules.judge_urls(table(spark, sf_dir, "pages"), url_rules.rule_table(spark, URL_RULES))
 
 
+def op5_vector_tree(spark, sf_dir):
+    return vector_tree.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op6_language(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     model = langid.train(docs.where(~langid.held_out(F.col("doc_id"))))
@@ -70,7 +74,7 @@ def op10_byte_shards(spark, sf_dir):
                       F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_pfair_mix, op3_decontaminate, op6_language, op7_chat_windows, op4_url_rules, op8_secret_scan, op10_byte_shards)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_pfair_mix, op3_decontaminate, op5_vector_tree, op6_language, op7_chat_windows, op4_url_rules, op8_secret_scan, op10_byte_shards)}
 
 ORACLE = {
     "op4_url_rules": r"""
