@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from reclink.llm import chat_windows, decontaminate, langid, mixing, secrets, shards, token_files, url_rules, vector_tree
+from reclink.llm import chat_windows, decontaminate, langid, mixing, near_dups, secrets, shards, token_files, url_rules, vector_tree
 from reclink.llm.common import shared_path, table
 
 
@@ -68,13 +68,17 @@ def op8_secret_scan(spark, sf_dir):
         F.size("markov").cast("long").alias("n_markov"))
 
 
+def op9_near_duplicates(spark, sf_dir):
+    return near_dups.near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
+
+
 def op10_byte_shards(spark, sf_dir):
     out = shards.shard_by_bytes(table(spark, sf_dir, "documents"), 8)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
                       F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_pfair_mix, op3_decontaminate, op5_vector_tree, op6_language, op7_chat_windows, op4_url_rules, op8_secret_scan, op10_byte_shards)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_pfair_mix, op3_decontaminate, op5_vector_tree, op6_language, op7_chat_windows, op4_url_rules, op8_secret_scan, op9_near_duplicates, op10_byte_shards)}
 
 ORACLE = {
     "op4_url_rules": r"""
