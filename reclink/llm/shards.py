@@ -13,7 +13,7 @@ number of the scan, so that many rows of one key still spread over partitions.
 
 Defined cases: null text has size 1 and crc32 0; null keys sort first; repeated
 rows each get their own slot; an empty table gives no rows; extra columns are
-ignored, or carried when named in ``carry`` (as one struct, so names can't clash).
+ignored by ``shard_by_bytes`` and kept by ``with_shard``.
 """
 
 from __future__ import annotations
@@ -24,17 +24,12 @@ from pyspark.sql import functions as F
 from reclink.llm.common import shuffle_partitions, stored
 
 
-def shard_by_bytes(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col: str = "text",
-                   carry: list[str] | None = None) -> DataFrame:
-    """(id_col, size, text_crc32, shard, slot) and, with ``carry``, those columns."""
+def shard_by_bytes(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col, size, text_crc32, shard, slot) for every row."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(
         F.col(id_col).alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"),
-        F.crc32(text.cast("binary")).alias("crc"),
-        F.struct(*[F.col(c) for c in carry or [id_col]]).alias("row"),
-    ).withColumn("nth", F.monotonically_increasing_id())
-    if not carry:
-        rows = rows.drop("row")
+        F.crc32(text.cast("binary")).alias("crc")).withColumn("nth", F.monotonically_increasing_id())
     key = ["id", "crc", "size", "nth"]
     # The range partitioning samples its input first; from a table, that costs no second pass over the texts.
     parts = stored(stored(rows, "shard-sizes").repartitionByRange(shuffle_partitions(docs.sparkSession), *key)
@@ -57,7 +52,23 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", t
     starts = placed.groupBy("shard").agg(F.min("nth_row").alias("first"))  # one row per shard
     out = (placed.join(F.broadcast(starts), "shard")
            .withColumn("slot", F.col("nth_row") - F.col("first")))
-    cols = [F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), "shard", "slot"]
-    if carry:
-        cols = [F.col(f"row.`{c}`").alias(c) for c in carry] + cols[1:]
-    return out.select(*cols)
+    return out.select(F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), "shard", "slot")
+
+
+def with_shard(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """All columns of ``docs`` and ``shard``, without moving the texts.
+
+    The least (key, crc32, size) of each shard (one row per shard) is a constant of
+    the plan, and rows compare themselves with these; rows equal in all three go to
+    one shard.
+    """
+    cuts = (shard_by_bytes(docs, n_shards, id_col, text_col)
+            .groupBy("shard").agg(F.min(F.struct(F.col(id_col).cast("long").alias("i"), F.col("text_crc32").alias("c"), F.col("size").alias("s"))).alias("k"))
+            .orderBy("shard").collect())
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    key = F.struct(F.col(id_col).cast("long"), F.crc32(text.cast("binary")), (F.octet_length(text) + 1).cast("long"))
+    shard = F.lit(0)
+    for r in cuts:
+        at = F.struct(*[F.lit(r["k"][f]).cast("long") for f in "ics"])
+        shard = F.when(key >= at, F.lit(r["shard"])).otherwise(shard)
+    return docs.withColumn("shard", shard)
