@@ -4,9 +4,11 @@ Each source is cut into blocks of ``block_docs`` documents.  With weight w, bloc
 j is released at slot ``floor(j / w)`` and due by ``ceil((j + 1) / w)``;
 earliest-deadline-first among the released blocks fills every slot with one block
 and meets every deadline, so after any number of slots t a source has been given
-more than ``w * t - 1`` and less than ``w * t + 1`` blocks.
+more than ``w * t - 1`` and less than ``w * t + 1`` blocks.  With the default of one
+document a block, that holds to the document; larger blocks keep documents of a
+source together, and a source smaller than a block fills it by repeating.
 
-Weights are rounded to multiples of 1 / ``period``, so the schedule repeats every
+Weights are rounded to multiples of 1 / ``period`` (at least one), so the schedule repeats every
 ``period`` slots: it is computed once for one period (a bounded table, whatever
 the size of the corpus), and the slot of block j follows from j alone.  No task
 ever walks through all blocks.
@@ -82,7 +84,7 @@ def temper(counts: dict, alpha: float) -> dict:
 
 
 def mix(docs: DataFrame, weights: dict, id_col: str = "doc_id", text_col: str = "text",
-        source_col: str = "source", block_docs: int = 64, period: int = 10_000,
+        source_col: str = "source", block_docs: int = 1, period: int = 20_000,
         bucket_rows: int = 20_000) -> DataFrame:
     """One row per placement: pos, slot, epoch, block, release, deadline, source, row (all columns).
 
