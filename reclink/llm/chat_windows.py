@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reclink.llm.common import grouped, shuffle_partitions, stored
-from reclink.llm.token_files import Encoder
+from reclink.llm.token_files import encoder
 
 _MARK = re.compile(r"(\\*)(</?turn)")
 _TURN = re.compile(r"<turn ((?:[^>\\\n]|\\.)*)>\n(.*?)\n</turn>\n", re.S)
@@ -117,7 +117,7 @@ def format_windows(turns: DataFrame, tokenizer: str, budget: int = 1024, history
         sent = spark.sparkContext.broadcast(f.read())
 
     def count(batches):
-        enc = Encoder(sent.value, words, "<u4")
+        enc = encoder(sent.value, words, "<u4")
         for b in batches:
             pieces = [piece(r, t) for r, t in zip(b.column("role").to_pylist(), b.column("text").to_pylist())]
             yield b.append_column("tokens", pa.array([len(x) // 4 for x in enc.encode(pieces)], pa.int64()))

@@ -24,6 +24,7 @@ table gives an empty manifest; other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import uuid
@@ -37,7 +38,8 @@ from pyspark.sql import functions as F
 from reclink.llm.common import shuffle_partitions, stored
 
 _CHUNK = 1 << 18  # characters given to the encoder at once
-_CACHE = 400_000  # words remembered by a task
+_CACHE = 800_000  # words remembered by a worker
+_STOP = re.compile(r"(?<=[^\W\d_])([.,])(?=[ \n]|$)")
 
 
 def filesystem(uri: str):
@@ -49,9 +51,12 @@ def filesystem(uri: str):
 class Encoder:
     """Whole-text encoding by the ``tokenizers`` library.
 
-    ``words=True`` is for vocabularies whose pre-tokenizer drops white space, so
-    that no token spans a space: then words are encoded once and remembered (up
-    to a bounded number), which gives the same ids.
+    ``words=True`` is for vocabularies whose pre-tokenizer drops white space, keeps
+    a run of letters together and parts it from punctuation, so that no token spans
+    two of them.  Then words are encoded once and remembered (up to a bounded
+    number), which gives the same ids: a point or comma after a letter and before a
+    space is set apart; new words of letters only are encoded many in one string and
+    told apart by the end-of-word mark of the vocabulary, if it has one.
     """
 
     def __init__(self, spec: str, words: bool, dtype: str):
@@ -59,11 +64,31 @@ class Encoder:
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_str(spec)
         self.words, self.dtype, self.known = words, np.dtype(dtype), {"": b""}
+        self.last = None
+        suffix = json.loads(spec)["model"].get("end_of_word_suffix")
+        if words and suffix:
+            vocab = self.tok.get_vocab(with_added_tokens=True)
+            self.last = np.zeros(max(vocab.values()) + 1, bool)
+            self.last[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, self.dtype).tobytes()
                 for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, new: list[str]) -> None:
+        plain = [w for w in new if w.isalpha()] if self.last is not None else []
+        for a in range(0, len(plain), 4096):
+            part = plain[a:a + 4096]
+            ids = np.asarray(self.tok.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.int64)
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(part):  # every word is one run of letters after normalisation, too
+                raw, width = ids.astype(self.dtype).tobytes(), self.dtype.itemsize
+                cuts = [0, *(ends * width).tolist()]
+                self.known.update(zip(part, map(raw.__getitem__, map(slice, cuts, cuts[1:]))))
+        new = [w for w in new if w not in self.known]
+        for a in range(0, len(new), 4096):
+            self.known.update(zip(new[a:a + 4096], self._encode(new[a:a + 4096])))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as bytes; long texts are never cut, many are taken in chunks."""
         if not self.words:
@@ -75,19 +100,23 @@ class Encoder:
                     out += self._encode(group)
                     group, size = [], 0
             return out + (self._encode(group) if group else [])
-        known, out = self.known, []
-        for t in texts:
-            parts = t.replace("\n", " ").split(" ")
-            new = list({p for p in parts if p not in known})
-            if new:
-                if len(known) > _CACHE:
-                    known.clear()
-                    known[""] = b""
-                    new = [p for p in set(parts) if p]
-                for a in range(0, len(new), 4096):
-                    known.update(zip(new[a:a + 4096], self._encode(new[a:a + 4096])))
-            out.append(b"".join(map(known.__getitem__, parts)))
-        return out
+        split = [_STOP.sub(r" \1", t).replace("\n", " ").split(" ") for t in texts]
+        if len(self.known) > _CACHE:
+            self.known = {"": b""}
+        self._learn(list(set().union(*split).difference(self.known)))
+        return [b"".join(map(self.known.__getitem__, parts)) for parts in split]
+
+
+_ENCODERS: dict = {}
+
+
+def encoder(spec: str, words: bool, dtype: str) -> Encoder:
+    """The encoder of this worker process, so that its tasks share the remembered words."""
+    key = (hash(spec), words, dtype)
+    if key not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[key] = Encoder(spec, words, dtype)
+    return _ENCODERS[key]
 
 
 def _replace(fs, tmp: str, final: str) -> None:
@@ -126,7 +155,7 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str, end_id: int | None =
             if not batch.num_rows:
                 continue
             if files is None:
-                enc = Encoder(sent.value, words, dtype)
+                enc = encoder(sent.value, words, dtype)
                 names = {k: f"{top}/part-{part:05d}.{k}" for k in ("ids", "doc", "len")}
                 files = {k: fs.open_output_stream(f"{v}.{attempt}") for k, v in names.items()}
             ids, texts = batch.column(0), batch.column(1).to_pylist()
