@@ -15,9 +15,13 @@ def norm(v) -> Column:
 
 
 def l2_normalize(v) -> Column:
-    """v / |v| (a zero vector is returned unchanged)."""
-    n = norm(v)
-    return F.transform(_c(v), lambda x: F.when(n > 0, x.cast("double") / n).otherwise(x.cast("double")))
+    """v / |v| (a zero vector is returned unchanged).
+
+    The norm is bound once as a lambda variable; named inside the element lambda
+    it would be computed again for every element.
+    """
+    return F.transform(F.array(norm(v)), lambda n: F.transform(
+        _c(v), lambda x: F.when(n > 0, x.cast("double") / n).otherwise(x.cast("double"))))[0]
 
 
 def blend(a, b, wa: float = 0.2, wb: float = 0.8) -> Column:

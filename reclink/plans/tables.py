@@ -51,3 +51,8 @@ def vectors(spark: SparkSession, sf_dir: str, with_provider: bool = False) -> Da
     # documents.doc_id is unique, so the left join never multiplies store rows
     return (e.join(d, "id", "left")
              .withColumn("dataProvider", F.coalesce("dataProvider", F.lit(""))))
+
+
+# Markup put in front of every page and abstract, so that the rows hold "<" as text and more kinds of references.
+MARKUP = ("<p class='a'>caf&eacute; &#233;t&#x27; &beta;1 (p < 0.05, n > 30)<br/>x<y and 3<4</p><!-- a > b --><?pi x?>"
+          "<style>p > a {}</style>&amp;lt; ")

@@ -167,3 +167,62 @@ def test_model_persistence_and_text_query(spark):
     q = spark.createDataFrame([(100, ["alpha", "beta"])], "id long, tokens array<string>")
     hits = tp.query_documents(again, vecs, q, 3).collect()
     assert len(hits) == 3 and all(h.sid % 2 == 1 for h in hits)
+
+
+def test_html_keeps_less_than_and_decodes_all_references(spark):
+    from reclink.functions.text import html_to_text
+    rows = [("significant (p < 0.05, n > 30) in mice", "significant (p < 0.05, n > 30) in mice"),
+            ("caf&eacute; &#233; &#x27; &beta; &amp;lt;", "café é ' β &lt;"), ("a<b>c</b><!-- x > y --><?p q?>d", "a c d"),
+            ("1 <2 and <3", "1 <2 and <3"), (None, ""), ("<br/>", "")]
+    df = spark.createDataFrame([(r[0],) for r in rows], "h string")
+    assert [r[0] for r in df.select(html_to_text("h")).collect()] == [r[1] for r in rows]
+
+
+def test_dictionary_is_never_cut_and_unseen_terms_are_ignored(spark):
+    from reclink.operators import topics as tp
+    docs = spark.createDataFrame([(i, [f"t{i}_{j}" for j in range(50)] + ["all"]) for i in range(200)], "id long, tokens array<string>")
+    d = tp.dictionary(docs)
+    assert d.count() == 200 * 50 + 1 and d.where("term = 'all'").first()["doc_freq"] == 200
+    assert tp.dictionary(docs, min_df=2).count() == 1
+    new = spark.createDataFrame([(1, ["all", "never", "all"]), (2, ["never"]), (3, [])], "id long, tokens array<string>")
+    got = {r.id: r.bow.numNonzeros() and sum(r.bow.values) for r in tp.bag_of_words(new, terms=d).collect()}
+    assert got == {1: 2.0, 2: 0, 3: 0}
+
+
+def test_lda_reads_every_document_in_every_pass(spark):
+    from reclink.operators import topics as tp
+    docs = spark.createDataFrame([(i, [["sun", "moon"], ["cat", "dog"]][i % 2] * 8) for i in range(60)], "id long, tokens array<string>")
+    model = tp.fit_lda(docs, k=2, passes=15, dim=64)
+    assert model.estimatedDocConcentration().size == 2
+    v = {r.id: r.vec for r in tp.topic_vectors(docs, model).collect()}
+    assert all(abs(sum(x) - 1) < 1e-5 for x in v.values())
+    top = {i: max(range(2), key=lambda t: v[i][t]) for i in v}
+    assert len({top[i] for i in range(0, 60, 2)}) == len({top[i] for i in range(1, 60, 2)}) == 1 and top[0] != top[1]
+
+
+def test_kmeans_assigns_nearest_and_pca_keeps_variance(spark):
+    import numpy as np
+    from reclink.operators import topics as tp
+    rng = np.random.default_rng(1)
+    x = np.concatenate([rng.normal(size=(30, 4)) + c for c in (0, 8, 16)])
+    df = spark.createDataFrame([(i, v.tolist(), ["w"]) for i, v in enumerate(x)], "id long, vec array<double>, tokens array<string>")
+    assigned, _, model = tp.cluster_topics(df, k=3)
+    centres = np.array(model.clusterCenters())
+    for r in assigned.collect():
+        assert r.topic == np.argmin(((centres - np.array(r.vec)) ** 2).sum(1))
+    p = np.array([[r.x, r.y] for r in tp.project_2d(df.select("id", "vec")).collect()])
+    top = np.sort(np.linalg.eigvalsh(np.cov(x.T)))[::-1][:2]
+    assert np.allclose(p.var(0, ddof=1), top)
+
+
+def test_normalising_is_linear_in_the_dimension(spark):
+    import time
+    from pyspark.sql import functions as F
+    from reclink.functions.vectors import l2_normalize
+    took = []
+    for d in (512, 512, 1024):  # the first one warms up
+        df = spark.range(3000).select(F.transform(F.sequence(F.lit(1), F.lit(d)), lambda i: i * 0.5).alias("v"))
+        t = time.perf_counter()
+        df.select(l2_normalize("v")).write.format("noop").mode("overwrite").save()
+        took.append(time.perf_counter() - t)
+    assert took[2] < 4 * took[1] + 2
