@@ -20,7 +20,7 @@ in float64; candidates are re-scored exactly (difference form) and ranked on
 ``(round(dist, decimals), sid)`` so ties resolve the same way in every engine.
 
 Approximate join (K5) uses the same cell machinery, but cells are LSH buckets
-(``BucketedRandomProjectionLSH`` hashes) instead of the full query x store grid.
+(signs of random projections) instead of the full query x store grid.
 """
 
 from __future__ import annotations
@@ -38,6 +38,10 @@ METRICS = ("l2sq", "cosine", "dot")
 
 # doubles per scored chunk inside one cell (32 MiB)
 _CHUNK_ELEMS = 4 * 1024 * 1024
+# candidates scored exactly at once
+_EXACT_ROWS = 1 << 16
+# a side of a cell may hold this many bytes of vectors
+_SIDE_BYTES = 64 << 20
 # a per-key block table up to this many rows is broadcast; larger is shuffled
 _BROADCAST_KEYS = 200_000
 
@@ -69,19 +73,22 @@ def _cell_topk(qpdf: pd.DataFrame, spdf: pd.DataFrame, *, k: int, metric: str,
     """Exact top-k of every query of one cell against the stored vectors of that cell."""
     if len(qpdf) == 0 or len(spdf) == 0:
         return pd.DataFrame()  # untyped empty columns would not convert to string fields
+    spdf = _distinct_rows(spdf, k + bool(exclude_self))
     Q = _stack(qpdf["_qvec"])
     S = _stack(spdf["_svec"])
     if metric == "cosine":
         Q, S = _unit(Q), _unit(S)
     qids = qpdf["_qid"].to_numpy()
     sids = spdf["_sid"].to_numpy()
-    qn = np.einsum("ij,ij->i", Q, Q) if metric == "l2sq" else None
-    sn = np.einsum("ij,ij->i", S, S) if metric == "l2sq" else None
+    qn = np.einsum("ij,ij->i", Q, Q)
+    sn = np.einsum("ij,ij->i", S, S)
     ns = len(S)
     kk = min(k, ns)
-    tol = 10.0 ** (-decimals) + 1e-12
+    # What the matrix product may be off by grows with the norms (l2sq cancels them) and the dimension.
+    eps = 8 * np.finfo(np.float64).eps * max(1, S.shape[1])
+    tol = 10.0 ** (-decimals) + eps * (qn + sn.max() + 1)
     step = max(1, _CHUNK_ELEMS // max(ns, 1))
-    parts_q, parts_s, parts_d = [], [], []
+    parts = []
     for start in range(0, len(Q), step):
         Qc = Q[start:start + step]
         G = Qc @ S.T
@@ -95,28 +102,23 @@ def _cell_topk(qpdf: pd.DataFrame, spdf: pd.DataFrame, *, k: int, metric: str,
             D[np.equal.outer(qids[start:start + step], sids)] = np.inf
         if ns > kk:
             kth = np.partition(D, kk - 1, axis=1)[:, kk - 1]
-            mask = D <= (kth + tol)[:, None]
+            mask = D <= (kth + 2 * tol[start:start + step])[:, None]
         else:
             mask = np.ones_like(D, dtype=bool)
         mask &= np.isfinite(D)
         r, c = np.nonzero(mask)
-        parts_q.append(r + start)
-        parts_s.append(c)
-        parts_d.append(_exact(metric, Qc[r], S[c]))
-    if not parts_q:
+        dist = np.concatenate([_exact(metric, Qc[r[i:i + _EXACT_ROWS]], S[c[i:i + _EXACT_ROWS]])
+                               for i in range(0, max(len(r), 1), _EXACT_ROWS)])
+        # stored rows are in id order, so position breaks ties; cut to k before the next chunk
+        order = np.lexsort((c, np.round(dist, decimals), r))
+        r, c, dist = r[order], c[order], dist[order]
+        rank = np.arange(len(r)) - np.searchsorted(r, r) + 1
+        top = rank <= k
+        parts.append((r[top] + start, c[top], dist[top], rank[top]))
+    qp, sp, dist, rank = (np.concatenate(x) for x in zip(*parts))
+    if not len(qp):
         return pd.DataFrame()
-    qpos = np.concatenate(parts_q)
-    spos = np.concatenate(parts_s)
-    dist = np.concatenate(parts_d)
-    out = pd.DataFrame({"_qpos": qpos, "_sid": sids[spos], "_spos": spos, "dist": dist})
-    out["_dr"] = np.round(dist, decimals)
-    out = out.sort_values(["_qpos", "_dr", "_sid"], kind="mergesort")
-    out["rank"] = out.groupby("_qpos").cumcount() + 1
-    out = out[out["rank"] <= k]
-    qp = out["_qpos"].to_numpy()
-    sp = out["_spos"].to_numpy()
-    res = {"qid": qids[qp], "sid": out["_sid"].to_numpy(), "rank": out["rank"].to_numpy(np.int32),
-           "dist": out["dist"].to_numpy()}
+    res = {"qid": qids[qp], "sid": sids[sp], "rank": rank.astype(np.int32), "dist": dist}
     for c in q_carry:
         res[c] = qpdf[c].to_numpy()[qp]
     for c in s_carry:
@@ -124,6 +126,18 @@ def _cell_topk(qpdf: pd.DataFrame, spdf: pd.DataFrame, *, k: int, metric: str,
     return pd.DataFrame(res)[out_cols]
 
 
+def _distinct_rows(spdf: pd.DataFrame, keep: int) -> pd.DataFrame:
+    """Stored rows in id order; of equal vectors only the ``keep`` smallest ids.
+
+    Equal vectors are equally far from every query, so no other of them can be
+    among its k nearest: a cell of copies costs no more than one of distinct rows.
+    """
+    spdf = spdf.sort_values("_sid", kind="stable")
+    raw = [np.asarray(v, dtype=np.float64).tobytes() for v in spdf["_svec"]]
+    nth = pd.Series(raw, index=spdf.index).groupby(raw).cumcount()
+    return spdf[(nth < keep).to_numpy()]
+
+
 def _field(df: DataFrame, name: str) -> T.StructField:
     return df.schema[name]
 
@@ -208,7 +222,7 @@ def merge_topk(local: DataFrame, k: int, decimals: int = 9, dedup: bool = False)
 def knn_join(queries: DataFrame, store: DataFrame, k: int, *, q_id: str = "id", q_vec: str = "vec",
              s_id: str = "id", s_vec: str = "vec", on: list | None = None, where: Column | None = None,
              metric: str = "l2sq", exclude_self: bool = False, q_carry: tuple = (),
-             s_carry: tuple = (), q_block_rows: int = 4096, s_block_rows: int = 16384,
+             s_carry: tuple = (), q_block_rows: int | None = None, s_block_rows: int | None = None,
              min_cells: int | None = None, decimals: int = 9, n_queries: int | None = None,
              n_store: int | None = None) -> DataFrame:
     """Exact kNN join: for every query, its k nearest stored vectors.
@@ -218,7 +232,9 @@ def knn_join(queries: DataFrame, store: DataFrame, k: int, *, q_id: str = "id",
     Result: ``qid, sid, rank, dist`` plus the carried columns; lower dist is
     closer for every metric (cosine distance, negative dot product).
     ``n_queries`` / ``n_store`` (known sizes) skip the counting passes that
-    size the blocks.
+    size the blocks.  Unless given, a block holds as many rows as fit 64 MiB of
+    vectors, the same on both sides: for a cell of given size that moves the
+    fewest copies.
     """
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
@@ -238,6 +254,10 @@ def knn_join(queries: DataFrame, store: DataFrame, k: int, *, q_id: str = "id",
     s = store.select(F.col(s_id).alias("_sid"), F.col(s_vec).alias("_svec"),
                      *[F.col(c).alias(c) for c in on + s_carry])
     schema = _out_schema(q, s, q_carry, s_carry)
+    if not (q_block_rows and s_block_rows):
+        one = q.select(F.size("_qvec")).first()
+        rows = max(256, _SIDE_BYTES // (8 * max(1, one[0] if one and one[0] else 1)))
+        q_block_rows, s_block_rows = q_block_rows or rows, s_block_rows or rows
     min_cells = min_cells or spark.sparkContext.defaultParallelism
     qg, sg, needs_merge = _grid_cells(spark, q, s, on, q_block_rows, s_block_rows, min_cells,
                                       (n_queries, n_store))
@@ -254,13 +274,17 @@ def nearest(store: DataFrame, vec, k: int, *, s_id: str = "id", s_vec: str = "ve
             metric: str = "l2sq", decimals: int = 9) -> DataFrame:
     """Single-query kNN (K3): distance of every stored vector to one query vector.
 
+    Without a vector (unknown id) the result is empty; stored vectors that are null
+    or of another length have no distance and are left out.  The cosine distance
+    to or from a zero vector is 1.
+
     ``vec`` is the query vector (a list of floats, looked up beforehand -- one
     row) or a Column.  The distance is a JVM-side higher-order expression and
     the ordered limit plans as TakeOrderedAndProject: every partition keeps k
     rows and one task merges them, so the store is scanned once, unshuffled.
     """
     if vec is None:
-        return store.sparkSession.createDataFrame([], "rank int, sid long, dist double")
+        return store.select(F.lit(0).alias("rank"), F.col(s_id).alias("sid"), F.lit(0.0).alias("dist")).limit(0)
     if not isinstance(vec, Column):
         vec = F.array(*[F.lit(float(x)) for x in vec])
     d = vector_distance(F.col(s_vec), vec, metric)
@@ -284,46 +308,52 @@ def vector_distance(a: Column, b: Column, metric: str = "l2sq") -> Column:
         return -dot
     na = F.sqrt(F.aggregate(ad, F.lit(0.0), lambda acc, x: acc + x * x))
     nb = F.sqrt(F.aggregate(bd, F.lit(0.0), lambda acc, x: acc + x * x))
-    return F.lit(1.0) - dot / (na * nb)
-
-
-def knn_lsh(queries: DataFrame, store: DataFrame, k: int, *, q_id: str = "id", q_vec: str = "vec",
-            s_id: str = "id", s_vec: str = "vec", bucket_length: float = 2.0, num_tables: int = 3,
-            seed: int = 42, exclude_self: bool = False, q_carry: tuple = (), s_carry: tuple = (),
-            q_block_rows: int = 4096, s_block_rows: int = 16384, decimals: int = 9) -> DataFrame:
-    """Approximate kNN join (K5): candidates are pairs sharing an LSH bucket.
-
-    The bucket is the cell key of the exact join, so a crowded bucket is split
-    into query/store blocks like a hot provider; candidates are re-ranked
-    exactly and merged across tables.  Recall is below 1 by design.
+    return F.lit(1.0) - F.when((na == 0) | (nb == 0), dot * 0).otherwise(dot / F.when(na * nb == 0, 1.0).otherwise(na * nb))
+
+
+def sign_planes(dim: int, tables: int, bits: int, seed: int = 42) -> list:
+    """Random +1/-1 projections, [table][bit][component]: the parity of an md5 digit of their place."""
+    import hashlib
+    sign = lambda *at: 1.0 if int(hashlib.md5("|".join(map(str, (seed, *at))).encode()).hexdigest()[0], 16) % 2 else -1.0
+    return [[[sign(t, b, i) for i in range(dim)] for b in range(bits)] for t in range(tables)]
+
+
+def lsh_buckets(vec: Column, planes: list) -> Column:
+    """array<int>: per table the number made of the signs of its projections."""
+    def bucket(table):
+        total = F.lit(0)
+        for b, plane in enumerate(table):
+            dot = F.aggregate(F.zip_with(vec, F.lit(plane), lambda x, y: x.cast("double") * y), F.lit(0.0), lambda acc, x: acc + x)
+            total = total + F.when(dot > 0, F.lit(1 << b)).otherwise(F.lit(0))
+        return total
+    return F.array(*[bucket(t) for t in planes])
+
+
+def knn_lsh(queries: DataFrame, store: DataFrame, k: int, *, dim: int, q_id: str = "id", q_vec: str = "vec",
+            s_id: str = "id", s_vec: str = "vec", tables: int = 8, bits: int = 6, seed: int = 42,
+            exclude_self: bool = False, q_carry: tuple = (), s_carry: tuple = (),
+            q_block_rows: int = 8192, s_block_rows: int = 8192, decimals: int = 9) -> DataFrame:
+    """Approximate kNN join (K5): candidates are pairs that share a bucket of a table.
+
+    A bucket is the signs of ``bits`` random projections taken together, so a table
+    compares about ``2 ** -bits`` of all pairs; ``tables`` of them are merged.  The
+    bucket is the cell key of the exact join, so a crowded one is split into blocks
+    like a hot provider; candidates are scored exactly.  Projections come from md5,
+    so any engine can repeat them.  Recall depends on how close neighbours are: a
+    pair at angle a shares a bit with probability ``1 - a / pi``.
     """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    qv = queries.select(F.col(q_id).alias("_id"), array_to_vector(F.col(q_vec)).alias("_v"),
-                        F.col(q_vec).alias("_raw"), *q_carry)
-    sv = store.select(F.col(s_id).alias("_id"), array_to_vector(F.col(s_vec)).alias("_v"),
-                      F.col(s_vec).alias("_raw"), *s_carry)
-    lsh = BucketedRandomProjectionLSH(inputCol="_v", outputCol="_h", bucketLength=bucket_length,
-                                      numHashTables=num_tables, seed=seed)
-    model = lsh.fit(sv.select("_v"))
-
-    def keyed(df: DataFrame) -> DataFrame:
-        from pyspark.ml.functions import vector_to_array
-        h = model.transform(df)
-        return (h.select("*", F.posexplode(F.transform(F.col("_h"), lambda v: vector_to_array(v)[0]))
-                         .alias("_table", "_bucket"))
-                 .drop("_h", "_v"))
-
-    qk = keyed(qv)
-    sk = keyed(sv)
-    # a pair can repeat across tables, so the merge always de-duplicates
-    q = qk.select(F.col("_id").alias("_qid"), F.col("_raw").alias("_qvec"), "_table", "_bucket", *q_carry)
-    s = sk.select(F.col("_id").alias("_sid"), F.col("_raw").alias("_svec"), "_table", "_bucket", *s_carry)
+    planes = sign_planes(dim, tables, bits, seed)
+
+    def keyed(df, id_col, vec_col, idn, vecn, carry):
+        return df.select(F.col(id_col).alias(idn), F.col(vec_col).alias(vecn), *carry,
+                         F.posexplode(lsh_buckets(F.col(vec_col), planes)).alias("_table", "_bucket"))
+    q = keyed(queries, q_id, q_vec, "_qid", "_qvec", q_carry)
+    s = keyed(store, s_id, s_vec, "_sid", "_svec", s_carry)
     schema = _out_schema(q, s, list(q_carry), list(s_carry))
     qg, sg, _ = _grid_cells(queries.sparkSession, q, s, ["_table", "_bucket"], q_block_rows, s_block_rows, 1)
     fn = partial(_cell_topk, k=k, metric="l2sq", exclude_self=exclude_self, decimals=decimals,
                  q_carry=list(q_carry), s_carry=list(s_carry), out_cols=schema.fieldNames())
     keys = ["_table", "_bucket", "_qb", "_sb"]
     local = qg.groupBy(*keys).cogroup(sg.groupBy(*keys)).applyInPandas(fn, schema)
+    # a pair can repeat across tables, so the merge always de-duplicates
     return merge_topk(local, k, decimals, dedup=True)

@@ -86,8 +86,31 @@ def test_lsh_recall_floor(spark):
     v = np.concatenate([c + rng.normal(size=(30, 8)) * 0.3 for c in centers])
     df = frame(spark, v)
     exact = set((a, b) for a, b, _ in brute(v, v, 5, exclude_self=True))
-    approx = knn_lsh(df, df, 5, bucket_length=4.0, num_tables=4, exclude_self=True)
+    approx = knn_lsh(df, df, 5, dim=8, tables=6, bits=4, exclude_self=True)
     pairs = set((r.qid, r.sid) for r in approx.collect())
     recall = len(pairs & exact) / len(exact)
     assert recall >= 0.8
     assert approx.groupBy("qid").count().agg(F.max("count")).first()[0] <= 5
+
+
+def test_large_norms_stay_exact(spark):
+    rng = np.random.default_rng(9)
+    v = rng.normal(size=(1, 16)) * 5e5 + rng.normal(size=(200, 16))
+    got = set((r.qid, r.sid) for r in knn_join(frame(spark, v), frame(spark, v), 5, exclude_self=True, q_block_rows=64, s_block_rows=64).collect())
+    assert got == set((a, b) for a, b, _ in brute(v, v, 5, exclude_self=True))
+
+
+def test_identical_vectors_are_cut_before_scoring():
+    import pandas as pd
+    from reclink.operators.knn import _distinct_rows
+    rows = pd.DataFrame({"_sid": list(range(99, -1, -1)), "_svec": [[1.0, 2.0]] * 50 + [[3.0, 4.0]] * 50})
+    kept = _distinct_rows(rows, 3)
+    assert kept["_sid"].tolist() == [0, 1, 2, 50, 51, 52]
+
+
+def test_nearest_odd_vectors(spark):
+    s = spark.createDataFrame([("a", [0.0, 0.0]), ("b", [2.0, 0.0]), ("c", [1.0]), ("d", None)], "id string, vec array<double>")
+    got = [(r.sid, r.dist) for r in nearest(s, [1.0, 0.0], 5, metric="cosine").collect()]
+    assert got == [("b", 0.0), ("a", 1.0)]
+    none = nearest(s, None, 5)
+    assert none.count() == 0 and none.schema["sid"].dataType.simpleString() == "string"
