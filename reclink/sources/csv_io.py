@@ -25,11 +25,17 @@ PUBLICATION_COLUMNS = ["id", "projId", "title", "abstract", "participants", "dis
                        "flemishDisciplines", "dataProvider"]
 
 
-def read_records_csv(spark: SparkSession, path: str, kind: str = "projects", split: bool = True) -> DataFrame:
-    """Header CSV (quoted multi-line fields allowed), all columns string;
-    with ``split`` the multi-valued fields become arrays."""
-    df = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-          .option("mode", "PERMISSIVE").csv(path))
+def read_records_csv(spark: SparkSession, path: str, kind: str = "projects", split: bool = True,
+                     schema: str | None = None) -> DataFrame:
+    """Header CSV (quoted multi-line fields allowed), all columns string unless a
+    ``schema`` is given; with ``split`` the multi-valued fields become arrays.
+
+    Multi-line fields make a file one task, so large exports should be many files
+    (as ``write_records_csv`` leaves them).
+    """
+    reader = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+              .option("mode", "PERMISSIVE"))
+    df = (reader.schema(schema) if schema else reader).csv(path)
     if not split:
         return df
     arrays = [c for c in DELIMS if c in df.columns and not (kind == "projects" and c == "projId")]
@@ -46,7 +52,9 @@ def write_records_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None
     for c, d in DELIMS.items():
         if c in df.columns and df.schema[c].dataType.typeName() == "array":
             out = out.withColumn(c, F.array_join(F.col(c), d))
-    out.write.mode(mode).option("header", True).option("escape", '"').csv(path)
+    # the writer would trim white space at the ends of values otherwise
+    (out.write.mode(mode).option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False).csv(path))
 
 
 def _re(d: str) -> str:

@@ -1,7 +1,7 @@
 """Keyed Parquet vector store.
 
 A store is a DataFrame ``id, vec, doc, meta...`` persisted as Parquet.  Writes
-are DataFrame transformations (upsert = newest version per id, append =
+are DataFrame transformations (upsert = the batch wins, append =
 insert-only) followed by a rewrite into a fresh folder; the only driver work
 is choosing the folder.
 """
@@ -12,26 +12,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def upsert(store: DataFrame, batch: DataFrame, key: str = "id") -> DataFrame:
-    """Union old and new rows, keep the batch version of every id.
+def last_of_batch(batch: DataFrame, key: str = "id", order: str | None = None) -> DataFrame:
+    """One row per id of a batch: the last by ``order``, else the greatest row.
 
-    ``max_by(struct(row), version)`` is a partial aggregate, so an id written
-    by many batches collapses map-side before the shuffle.
+    Only keys that repeat are looked at again; the others pass by an anti join.
     """
-    cols = store.columns
-    old = store.select(*cols, F.lit(0).alias("_v"))
-    new = batch.select(*cols, F.lit(1).alias("_v"))
-    rest = [c for c in cols if c != key]
-    return (old.unionByName(new)
-               .groupBy(key)
-               .agg(F.max_by(F.struct(*[F.col(c) for c in rest]), F.col("_v")).alias("_row"))
-               .select(key, *[F.col("_row")[c].alias(c) for c in rest]))
+    again = batch.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(key)
+    rest = [c for c in batch.columns if c != key]
+    first = [order] + [c for c in rest if c != order] if order else rest
+    picked = (batch.join(again, key, "left_semi")
+                   .groupBy(key).agg(F.max(F.struct(*first)).alias("_row"))
+                   .select(key, *[F.col("_row")[c].alias(c) for c in rest]).select(*batch.columns))
+    return batch.join(again, key, "left_anti").select(*batch.columns).unionByName(picked)
 
 
-def append(store: DataFrame, batch: DataFrame, key: str = "id") -> DataFrame:
-    """Insert-only; rows whose id is already stored are ignored."""
-    new = batch.join(store.select(key), key, "left_anti").select(*store.columns)
-    return store.unionByName(new)
+def upsert(store: DataFrame, batch: DataFrame, key: str = "id", order: str | None = None) -> DataFrame:
+    """The stored rows whose id is not in the batch, and the batch.
+
+    An anti join: stored vectors are neither sorted nor aggregated, and a batch that
+    is small enough is broadcast by the optimizer.  Of ids repeated in the batch the
+    last by ``order`` (a column of the batch; else the greatest row) is taken.
+    """
+    new = last_of_batch(batch, key, order).select(*store.columns)
+    return store.join(new.select(key), key, "left_anti").select(*store.columns).unionByName(new)
+
+
+def append(store: DataFrame, batch: DataFrame, key: str = "id", order: str | None = None) -> DataFrame:
+    """Insert-only; rows whose id is already stored are ignored, ids repeated in
+    the batch are stored once (as in ``upsert``)."""
+    new = last_of_batch(batch.join(store.select(key), key, "left_anti").select(*batch.columns), key, order)
+    return store.unionByName(new.select(*store.columns))
 
 
 def scan(store: DataFrame, fields=None, ids: DataFrame | None = None, key: str = "id") -> DataFrame:
@@ -57,10 +67,10 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    """True when ``path`` holds a Parquet table (uses the Hadoop file system of the session)."""
+    """True when ``path`` holds a completely written table (its ``_SUCCESS`` mark, by Hadoop's file system)."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path)
+    p = jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + "/_SUCCESS")
     return p.getFileSystem(conf).exists(p)
 
 
@@ -80,6 +90,7 @@ def cached(spark: SparkSession, path: str, compute, source: DataFrame | None = N
     Without ``source``: read ``path`` if present, else ``compute()`` and write.
     With ``source``: incremental -- only source rows whose id is not yet stored
     are passed to ``compute`` and appended, so the store grows with the input.
+    A folder that a failed first write left behind counts as absent.
     """
     if not exists(spark, path):
         write(compute(source) if source is not None else compute(), path)
@@ -92,27 +103,34 @@ def cached(spark: SparkSession, path: str, compute, source: DataFrame | None = N
     return read(spark, path)
 
 
-def append_batch(df: DataFrame, path: str, batch_id: int) -> None:
-    """Write one batch of store rows as partition ``batch_id=N``.
+def append_batch(df: DataFrame, path: str, batch_id: int, stream: str = "batch") -> None:
+    """Write one batch of store rows as partition ``stream=S/batch_id=N``.
 
     Re-running a batch (a retried task or stream epoch) overwrites only its own
-    partition, so the write is idempotent; readers resolve versions with
-    ``current``.
+    partition, so the write is idempotent, and two streams never share one;
+    readers resolve versions with ``current``.
     """
-    (df.withColumn("batch_id", F.lit(int(batch_id)))
+    (df.withColumn("written_at", F.current_timestamp()).withColumn("stream", F.lit(stream)).withColumn("batch_id", F.lit(int(batch_id)))
        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-       .partitionBy("batch_id").parquet(path))
+       .partitionBy("stream", "batch_id").parquet(path))
 
 
 def current(spark: SparkSession, path: str, key: str = "id") -> DataFrame:
-    """Latest version of every id across the batch log (S9 semantics on read)."""
-    log = read(spark, path)
-    cols = [c for c in log.columns if c != "batch_id"]
-    return upsert_log(log.select(*cols, "batch_id"), key)
+    """Latest version of every id across the batch log (S9 semantics on read).
+
+    Later batches win within a stream, later writes across streams.
+    """
+    return upsert_log(read(spark, path), key)
 
 
 def upsert_log(log: DataFrame, key: str = "id") -> DataFrame:
-    rest = [c for c in log.columns if c not in (key, "batch_id")]
-    return (log.groupBy(key)
-               .agg(F.max_by(F.struct(*[F.col(c) for c in rest]), F.col("batch_id")).alias("_row"))
-               .select(key, *[F.col("_row")[c].alias(c) for c in rest]))
+    """One row per id.  The winner is found on (id, version) alone, a hash aggregate of
+    numbers; the rows themselves are only joined."""
+    rest = [c for c in log.columns if c not in (key, "batch_id", "stream", "written_at")]
+    when = F.unix_micros("written_at") if "written_at" in log.columns else F.lit(0).cast("long")
+    log = log.withColumn("_v", when).withColumn("_b", F.col("batch_id").cast("long"))
+    newest = log.groupBy(key).agg(F.max("_v").alias("_mv"))
+    latest = (log.join(newest, key).where("_v = _mv"))
+    top = latest.groupBy(key).agg(F.max("_b").alias("_mb"))
+    return last_of_batch(latest.join(top.withColumnRenamed(key, "_k"), F.col(key) == F.col("_k")).where("_b = _mb")
+                         .select(key, *rest), key)

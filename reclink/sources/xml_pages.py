@@ -10,7 +10,7 @@ nothing runs in Python.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,9 +38,11 @@ def _struct(**fields) -> T.StructType:
 
 
 LOCALISED = _struct(texts=_struct(text=_A(_struct(_VALUE=_S, _locale=_S))))
-PERSON = _struct(person=_struct(name=_struct(firstName=_S, lastName=_S)),
-                 organisation=_struct(name=LOCALISED))
+ORG = _struct(name=LOCALISED)
+ORGS = dict(organisation=_A(ORG), organisations=_struct(organisation=_A(ORG)))
+PERSON = _struct(person=_struct(name=_struct(firstName=_S, lastName=_S), **ORGS), **ORGS)
 COMMON = dict(
+    **ORGS,
     participants=_struct(participant=_A(PERSON)),
     disciplines=_struct(discipline=_A(_struct(description=LOCALISED))),
     flemishDisciplines=_struct(flemishDisciplines=_A(_struct(_term=_S, description=LOCALISED))),
@@ -75,7 +77,7 @@ def read_raw_pages(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(
         F.regexp_extract(fp, r"^(.*)/[^/]*$", 1).alias("export"),
         fp.alias("path"),
-        F.regexp_extract(fp, r"page(\d+)\.xml$", 1).cast("int").alias("page_no"),
+        F.regexp_extract(fp, r"page(\d+)\.xml$", 1).try_cast("int").alias("page_no"),
         F.col("value").alias("xml"))
 
 
@@ -113,7 +115,10 @@ def _en(loc_col, locale="en"):
 
 def _common(r, locale="en"):
     parts = r.getField("participants").getField("participant")
-    orgs = F.transform(parts, lambda p: tx.pick_locale(p["organisation"]["name"]["texts"]["text"], locale))
+    none = F.array().cast(_A(ORG))
+    at = lambda x: F.concat(F.coalesce(x["organisation"], none), F.coalesce(x["organisations"]["organisation"], none))
+    nested = F.flatten(F.transform(F.coalesce(parts, F.array().cast(_A(PERSON))), lambda p: F.concat(at(p), at(p["person"]))))
+    orgs = F.transform(F.concat(at(r), nested), lambda o: tx.pick_locale(o["name"]["texts"]["text"], locale))
     return [
         tx.full_names(F.transform(parts, lambda p: p["person"]["name"])).alias("participants"),
         tx.discipline_terms(r.getField("disciplines").getField("discipline"), locale).alias("disciplines"),
@@ -198,7 +203,9 @@ def audit_pages(parsed: DataFrame, entity: str = "project", page_size: int = 100
     """Per page -- status fault/unparseable/empty/ok, record count, first uuid,
     repeat of the previous page's first uuid, expected page count from ``total``.
 
-    One row per page, so the per-export window is small.
+    The previous page is found by an equi-join on the page number, so an export of
+    any number of pages is spread; of a page number that occurs twice the least first
+    uuid is compared.
     """
     response, record, _ = ENTITIES[entity]
     qr = F.col("p.Body").getField(response).getField("queryResult")
@@ -211,21 +218,49 @@ def audit_pages(parsed: DataFrame, entity: str = "project", page_size: int = 100
                .when(n == 0, "empty")
                .otherwise("ok"))
     first = F.get(recs, 0).getField("_uuid")
-    w = Window.partitionBy("export").orderBy("page_no")
     base = parsed.select("export", "page_no", status.alias("status"), n.cast("int").alias("n_records"),
                          first.alias("first_uuid"), qr.getField("_total").alias("total"))
-    return (base.withColumn("is_repeat", F.coalesce(F.col("first_uuid") == F.lag("first_uuid").over(w),
-                                                    F.lit(False)))
+    previous = (base.groupBy(F.col("export").alias("_e"), (F.col("page_no") + 1).alias("_p"))
+                    .agg(F.min("first_uuid").alias("_u")))
+    return (base.join(previous, (F.col("export") == F.col("_e")) & (F.col("page_no") == F.col("_p")), "left")
+                .withColumn("is_repeat", F.coalesce(F.col("first_uuid") == F.col("_u"), F.lit(False)))
+                .drop("_e", "_p", "_u")
                 .withColumn("expected_pages", (F.floor(F.col("total") / page_size) + 1).cast("int")))
 
 
+def rejects(parsed: DataFrame, entity: str = "project", locale: str = "en") -> DataFrame:
+    """What ``extract_*`` leaves out: (export, page_no, uuid, reason).
+
+    A page is rejected as ``fault`` or ``unparseable``; a record for ``no uuid``,
+    ``no title`` or ``no abstract`` (in the locale), the first that holds.
+    """
+    response, record, _ = ENTITIES[entity]
+    title, abstract = ("name", "projectAbstract") if entity == "project" else ("title", "researchAbstract")
+    pages = parsed.select("export", "page_no", F.lit(None).cast("string").alias("uuid"),
+                          F.when(F.col("p.Body.Fault").isNotNull(), "fault")
+                           .when(F.col("p").isNull() | F.col("p._corrupt_record").isNotNull() | F.col("p.Body").isNull(), "unparseable")
+                           .alias("reason")).where(F.col("reason").isNotNull())
+    recs = F.col("p.Body").getField(response).getField("queryResult").getField(record)
+    r = F.col("r")
+    rows = (parsed.select("export", "page_no", F.explode(recs).alias("r"))
+                  .select("export", "page_no", r.getField("_uuid").alias("uuid"),
+                          F.when(r.getField("_uuid").isNull(), "no uuid")
+                           .when(F.get(_en(r.getField(title), locale), 0).isNull(), "no title")
+                           .when(F.get(_en(r.getField(abstract), locale), 0).isNull(), "no abstract").alias("reason"))
+                  .where(F.col("reason").isNotNull()))
+    return pages.unionByName(rows)
+
+
 def records_to_pages(records: DataFrame, page_size: int, *, entity: str = "project", id_col: str = "id",
                      page_col: str = "page_no") -> DataFrame:
     """Render record rows as SOAP export pages (``page_no, xml``), ``page_size`` per page.
 
     Used to build XML inputs from tabular data.  ``records`` carries ``id,
-    title, abstract, lang, dataProvider`` and ``page_no``; a page gathers at
-    most ``page_size`` records, so the per-page collect is bounded.
+    title, abstract, lang, dataProvider`` and ``page_no``, and may carry arrays:
+    ``people`` (struct first, last), ``terms``, ``coded`` (struct code, term),
+    ``orgs`` (under the participants), ``own_orgs`` (of the record itself) and
+    ``proj_ids``.  A page gathers at most ``page_size`` records, so the per-page
+    collect is bounded.
     """
     response, record, _ = ENTITIES[entity]
     title_el = "name" if entity == "project" else "title"
@@ -240,9 +275,42 @@ def records_to_pages(records: DataFrame, page_size: int, *, entity: str = "proje
         return F.concat(F.lit(f"<fris:{el}><fris:texts><fris:text locale=\""), F.col("lang"), F.lit("\">"),
                         esc(c), F.lit(f"</fris:text></fris:texts></fris:{el}>"))
 
+    def safe(x):
+        return F.replace(F.replace(F.coalesce(x, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+
+    def many(column, item, el):
+        """<el>item item ...</el> of an optional array column."""
+        if column not in records.columns:
+            return F.lit("")
+        return F.concat(F.lit(f"<fris:{el}>"), F.array_join(F.transform(column, item), ""), F.lit(f"</fris:{el}>"))
+
+    def en(x):
+        return F.concat(F.lit('<fris:texts><fris:text locale="en">'), safe(x), F.lit("</fris:text></fris:texts>"))
+
+    def wrap(el, x, attr=""):
+        return F.concat(F.lit(f"<fris:{el}{attr}>"), x, F.lit(f"</fris:{el}>"))
+
+    person = lambda p: wrap("participant", wrap("person", wrap("name", F.concat(
+        F.when(p["first"].isNotNull(), wrap("firstName", safe(p["first"]))).otherwise(F.lit("")),
+        F.when(p["last"].isNotNull(), wrap("lastName", safe(p["last"]))).otherwise(F.lit(""))))))
+    org = lambda o: wrap("organisation", wrap("name", en(o)))
+    parts = F.lit("")
+    if "people" in records.columns:
+        with_orgs = F.lit("")
+        if "orgs" in records.columns:
+            with_orgs = F.array_join(F.transform("orgs", lambda o: wrap("participant", org(o))), "")
+        parts = F.concat(F.lit("<fris:participants>"), F.array_join(F.transform("people", person), ""), with_orgs,
+                         F.lit("</fris:participants>"))
+    fields = F.concat(
+        parts, many("own_orgs", org, "organisations"),
+        many("terms", lambda d: wrap("discipline", wrap("description", en(d))), "disciplines"),
+        many("coded", lambda d: F.concat(F.lit('<fris:flemishDisciplines term="'), safe(d["code"]), F.lit('">'),
+                                         wrap("description", en(d["term"])), F.lit("</fris:flemishDisciplines>")), "flemishDisciplines"),
+        many("proj_ids", lambda i: F.concat(F.lit('<fris:researchOutputProject><fris:project uuid="'), i.cast("string"),
+                                            F.lit('"/></fris:researchOutputProject>')), "researchOutputProjects"))
     rec = F.concat(F.lit(f"<fris:{record} uuid=\""), F.col(id_col).cast("string"), F.lit("\">"),
                    loc(title_el, "title"), loc(abs_el, "abstract"),
-                   F.lit("<fris:dataProvider>"), esc("dataProvider"), F.lit("</fris:dataProvider>"),
+                   fields, F.lit("<fris:dataProvider>"), esc("dataProvider"), F.lit("</fris:dataProvider>"),
                    F.lit(f"</fris:{record}>"))
     total = records.count()
     head = (f'<?xml version="1.0" encoding="UTF-8"?><soap:Envelope xmlns:soap="http://schemas.xmlsoap.org/soap/'

@@ -8,7 +8,8 @@ partition of the store's batch log.
 
 from __future__ import annotations
 
-import os
+import hashlib
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,22 @@ from reclink.sources import store as st
 from reclink.sources import xml_pages as xp
 
 
+def stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id kept beside a stream's checkpoint: the same when it resumes, a new one for a new checkpoint."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    mark = jvm.org.apache.hadoop.fs.Path(checkpoint.rstrip("/") + "/stream-id")
+    fs = mark.getFileSystem(conf)
+    if not fs.exists(mark):
+        out = fs.create(mark, False)
+        out.writeBytes(uuid.uuid4().hex)
+        out.close()
+    got = fs.open(mark)
+    try:
+        return got.readLine()
+    finally:
+        got.close()
+
+
 def page_stream(spark: SparkSession, src_dir: str, max_files: int | None = None) -> DataFrame:
     """Streaming page rows ``export, path, page_no, xml`` from a folder of page files."""
     r = spark.readStream.format("text").option("wholetext", "true")
@@ -28,7 +45,7 @@ def page_stream(spark: SparkSession, src_dir: str, max_files: int | None = None)
     raw = r.load(src_dir)
     fp = F.col("_metadata.file_path")
     return raw.select(F.regexp_extract(fp, r"^(.*)/[^/]*$", 1).alias("export"), fp.alias("path"),
-                      F.regexp_extract(fp, r"page(\d+)\.xml$", 1).cast("int").alias("page_no"),
+                      F.regexp_extract(fp, r"page(\d+)\.xml$", 1).try_cast("int").alias("page_no"),
                       F.col("value").alias("xml"))
 
 
@@ -46,11 +63,18 @@ def curate_batch(pages: DataFrame, entity: str = "project", template: str = "pla
 
 def ingest(spark: SparkSession, src_dir: str, store_path: str, checkpoint: str | None = None,
            entity: str = "project", template: str = "plain", embedder=None, max_files: int | None = None):
-    """Run the ingest stream until the folder is drained (availableNow); returns the query."""
-    checkpoint = checkpoint or scratch_path(spark, "ingest-" + os.path.basename(store_path.rstrip("/")))
+    """Run the ingest stream until the folder is drained (availableNow); returns the query.
+
+    The default checkpoint is named by source, store (full paths) and entity.  The
+    partitions a stream writes carry the name of its checkpoint, so several streams
+    can feed one store, and a stream begun anew never overwrites an earlier one's.
+    """
+    name = hashlib.md5("\n".join([src_dir.rstrip("/"), store_path.rstrip("/"), entity]).encode()).hexdigest()
+    checkpoint = checkpoint or scratch_path(spark, "ingest-" + name)
+    stream = stream_id(spark, checkpoint)
 
     def write(batch: DataFrame, epoch_id: int):
-        st.append_batch(curate_batch(batch, entity, template, embedder), store_path, epoch_id)
+        st.append_batch(curate_batch(batch, entity, template, embedder), store_path, epoch_id, stream)
 
     q = (page_stream(spark, src_dir, max_files).writeStream
          .foreachBatch(write)

@@ -64,6 +64,37 @@ def test_ingest_stream_processes_only_new_pages(spark):
         f.write(page(p9))
     ingest(spark, src, store_path, ckpt)
     log = st.read(spark, store_path)
-    assert sorted((r.id, r.batch_id) for r in log.select("id", "batch_id").collect()) == [("p1", 0), ("p9", 1)]
+    assert sorted((r.id, int(r.batch_id)) for r in log.select("id", "batch_id").collect()) == [("p1", 0), ("p9", 1)]
     assert sorted(r.id for r in st.current(spark, store_path).collect()) == ["p1", "p9"]
     assert ABS
+
+
+def test_two_streams_into_one_store(spark):
+    out = tempfile.mkdtemp(prefix="reclink-two-")
+    for i, name in enumerate(("u1", "u2")):
+        src = write_pages({0: page(P1.replace('uuid="p1"', f'uuid="{name}"'))})
+        ingest(spark, src, out + "/store", f"{out}/ckpt{i}")
+    assert sorted(r.id for r in st.current(spark, out + "/store").collect()) == ["u1", "u2"]
+
+
+def test_default_checkpoints_of_equal_basenames(spark):
+    src, out = write_pages({0: page(P1)}), tempfile.mkdtemp(prefix="reclink-names-")
+    for d in ("/a/vec", "/b/vec"):
+        ingest(spark, src, out + d)
+        assert [r.id for r in st.current(spark, out + d).collect()] == ["p1"]
+
+
+def test_repeated_ids_of_a_batch(spark):
+    s = spark.createDataFrame([(1, "a")], "id long, doc string")
+    b = spark.createDataFrame([(1, "x", 0), (1, "w", 1), (2, "c", 0), (2, "b", 5)], "id long, doc string, nth int")
+    assert sorted(map(tuple, st.upsert(s, b, order="nth").collect())) == [(1, "w"), (2, "b")]
+    assert sorted(map(tuple, st.append(s, b, order="nth").collect())) == [(1, "a"), (2, "b")]
+    assert sorted(map(tuple, st.upsert(s, b.drop("nth")).collect())) == [(1, "x"), (2, "c")]
+
+
+def test_half_written_store_counts_as_absent(spark):
+    d = tempfile.mkdtemp(prefix="reclink-half-")
+    spark.range(2).write.parquet(d + "/c")
+    os.remove(d + "/c/_SUCCESS")
+    assert not st.exists(spark, d + "/c")
+    assert sorted(r.id for r in st.cached(spark, d + "/c", lambda: spark.range(5)).collect()) == list(range(5))

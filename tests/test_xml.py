@@ -94,3 +94,10 @@ def test_sanitize_and_strip(spark):
                   ).first()
     assert r.u == "abc é" and r.a == "abc "
     assert r.s == '<?xml version="1.0" encoding="ISO-8859-1"?><r/>'
+
+
+def test_organisations_of_the_record_itself(spark):
+    own = "<organisations><organisation><name><texts><text locale='en'>Own Institute</text></texts></name></organisation></organisations>"
+    src = write_pages({0: page(P1.replace("</project>", own + "</project>").replace("</fris:project>", own + "</fris:project>"))})
+    parsed = xp.parse_pages(xp.read_raw_pages(spark, src), "project", "ascii")
+    assert "Own Institute" in xp.extract_projects(parsed).first().organization
