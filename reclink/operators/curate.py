@@ -4,6 +4,8 @@ de-duplication and the merge of publications sharing a title (P1-P4, A1-A3).
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,23 +54,27 @@ def linked_only(df: DataFrame, ids_col: str = "proj_ids") -> DataFrame:
     return df.where(F.size(F.col(ids_col)) > 0)
 
 
-def dedup_first(df: DataFrame, keys, order: str) -> DataFrame:
+def dedup_first(df: DataFrame, keys, order: str, unique_order: bool = False) -> DataFrame:
     """A2: keep the first row (lowest ``order``) of every group of equal ``keys``.
 
-    Planned as a hash aggregate of ``min(struct(order, *row))``: the partial
-    aggregate collapses copies inside each map task before the shuffle, so a
-    text copied a million times costs one row per task, not one hot reducer.
+    ``order`` is a number (an id, a position).  The keys are shuffled as a 128-bit
+    hash and the winner of a group is ``min(order)``, a hash aggregate that collapses
+    copies inside each map task; then one equi-join on (hash, order) keeps the
+    winners, so texts are neither sorted nor aggregated.  Rows equal in keys and
+    order are one; ``unique_order`` says there are none and saves a pass.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
-    rest = [c for c in df.columns if c not in keys]
-    packed = F.struct(F.col(order).alias("_o"), *[F.col(c) for c in rest])
-    return (df.groupBy(*keys).agg(F.min(packed).alias("_first"))
-              .select(*keys, *[F.col("_first")[c].alias(c) for c in rest])
-              .select(*df.columns))
-
-
-def _split_distinct(c: str, sep: str = ", "):
-    return F.split(F.col(c), sep)
+    # a null and an empty key differ: nulls are marked
+    text = F.concat_ws("\x01", *[F.coalesce(F.concat(F.lit("v"), F.col(c).cast("string")), F.lit("n")) for c in keys])
+    digest = F.md5(text)
+    half = lambda at: F.conv(F.substring(digest, at, 15), 16, 10).cast("long")  # noqa: E731  two 60-bit halves of the digest
+    marked = df.withColumn("_h1", half(1)).withColumn("_h2", half(17))
+    winners = marked.groupBy("_h1", "_h2").agg(F.min(order).alias("_o"))
+    if unique_order:
+        return df.join(winners.select("_o"), F.col(order) == F.col("_o"), "left_semi")
+    kept = marked.join(winners.select(F.col("_h1").alias("_g1"), F.col("_h2").alias("_g2"), "_o"),
+                       (F.col("_h1") == F.col("_g1")) & (F.col("_h2") == F.col("_g2")) & F.col(order).eqNullSafe(F.col("_o")))
+    return kept.dropDuplicates(["_h1", "_h2"]).select(*df.columns)
 
 
 def merge_by_title(pubs: DataFrame, order: str, *, title: str = "title", first_cols=("id", "abstract"),
@@ -78,16 +84,21 @@ def merge_by_title(pubs: DataFrame, order: str, *, title: str = "title", first_c
 
     ``first_cols``: first non-null value in ``order``; ``whole_cols``: sorted
     distinct values joined by ', '; ``split_cols``: values split on ', ' first,
-    then sorted distinct and joined.  NULL titles are dropped.  Every aggregate
-    is partial (map-side), so a title shared by a third of the rows does not
-    gather its raw rows in one task.
+    then sorted distinct and joined.  NULL titles are dropped.  Values are
+    exploded and made distinct per (title, field) first, a hash aggregate with
+    map-side combine, so a title shared by a third of the rows gathers its distinct
+    values only, never its rows.
     """
-    aggs = []
-    for c in first_cols:
-        aggs.append(F.min_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(order))).alias(c))
-    for c in whole_cols:
-        aggs.append(F.array_join(F.array_sort(F.collect_set(F.col(c).cast("string"))), sep).alias(c))
-    for c in split_cols:
-        aggs.append(F.array_join(F.array_sort(F.array_distinct(F.flatten(
-            F.collect_set(_split_distinct(c, sep))))), sep).alias(c))
-    return pubs.where(F.col(title).isNotNull()).groupBy(title).agg(*aggs)
+    rows = pubs.where(F.col(title).isNotNull())
+    firsts = rows.groupBy(title).agg(*[
+        F.min_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in first_cols])
+    fields = [F.struct(F.lit(c).alias("f"), F.array(F.col(c).cast("string")).alias("v")) for c in whole_cols]
+    fields += [F.struct(F.lit(c).alias("f"), F.split(F.col(c), re.escape(sep).replace("\\ ", " "), -1).alias("v")) for c in split_cols]
+    names = [*whole_cols, *split_cols]
+    values = (rows.select(F.col(title).alias("_t"), F.explode(F.array(*fields)).alias("_f"))
+                  .select("_t", F.col("_f.f").alias("_f"), F.explode("_f.v").alias("_v"))
+                  .where(F.col("_v").isNotNull()).distinct())
+    lists = (values.groupBy("_t").agg(*[
+        F.array_join(F.array_sort(F.collect_list(F.when(F.col("_f") == c, F.col("_v")))), sep).alias(c) for c in names]))
+    joined = firsts.join(lists, F.col(title) == F.col("_t"), "left")
+    return joined.select(title, *first_cols, *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in names])

@@ -72,23 +72,23 @@ def embed(df: DataFrame, text_col, embedder=None, out_col: str = "vec", batch_si
           partitions: int | None = None) -> DataFrame:
     """Add ``out_col`` = embedding of ``text_col`` (array<float>).
 
-    Inference costs far more per row than moving the row, so an input with
-    fewer partitions than the cluster's parallelism (e.g. one big unsplittable
-    file) is spread out first; well-split inputs are left as they are.
+    Inference costs far more per row than moving the row: ``partitions`` spreads an
+    input that is too coarsely split (e.g. one big unsplittable file).  Building
+    the frame runs nothing and changes no setting; ``batch_size`` is what the model
+    gets at once.
     """
     embedder = embedder or HashingEmbedder()
-    spark = df.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_size))
-    target = partitions or spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        df = df.repartition(target)
+    if partitions:
+        df = df.repartition(partitions)
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def _embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = embedder.load()
         for s in batches:
-            m = model(s.tolist()).astype(np.float32)
-            yield pd.Series(list(m))
+            out: list = []
+            for a in range(0, len(s), batch_size):
+                out.extend(model(s[a:a + batch_size].tolist()).astype(np.float32))
+            yield pd.Series(out, dtype=object)
 
     c = F.col(text_col) if isinstance(text_col, str) else text_col
     return df.withColumn(out_col, _embed(c))
@@ -104,8 +104,9 @@ def embed_records(df: DataFrame, template, embedder=None, out_col: str = "vec",
 def blend_stores(a: DataFrame, b: DataFrame, wa: float = 0.2, wb: float = 0.8, *, key: str = "id",
                  vec: str = "vec") -> DataFrame:
     """Join two stores on id, blend the vectors, re-normalise."""
-    j = a.select(key, F.col(vec).alias("_a")).join(b.select(key, F.col(vec).alias("_b")), key, "inner")
-    return j.select(key, l2_normalize(blend("_a", "_b", wa, wb)).alias(vec))
+    from reclink.operators.relational import join_stores
+    j = join_stores(a.select(key, vec), b.select(key, vec), key)
+    return j.select(key, l2_normalize(blend(f"{vec}_a", f"{vec}_b", wa, wb)).alias(vec))
 
 
 def normalize_store(store: DataFrame, vec: str = "vec") -> DataFrame:

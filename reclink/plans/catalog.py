@@ -7,12 +7,15 @@ to strings, ties are broken by id.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reclink.operators import evaluate as ev
 from reclink.operators.knn import knn_join
 from reclink.plans.tables import table, vectors
+from reclink.session import materialize, scratch_path
 
 QUERIES: dict = {}
 
@@ -40,6 +43,34 @@ def knn_exact(spark, sf):
     return r.select("qid", "sid", "rank", F.round("dist", 6).alias("dist"))
 
 
+@register("knn_blocked")
+def knn_blocked(spark, sf):
+    # small blocks: several store blocks per query, so the per-query lists are merged
+    r = _knn_all(spark, sf, 10, q_block_rows=96, s_block_rows=120)
+    return r.select("qid", "sid", "rank", F.round("dist", 6).alias("dist"))
+
+
+@register("knn_cosine")
+def knn_cosine(spark, sf):
+    # norms from 1 to 7000, and one zero vector (at distance 1 from everything)
+    v = vectors(spark, sf)
+    scaled = v.select("id", F.transform("vec", lambda x: x.cast("double") * (1 + F.col("id") % 7 * 1000)).alias("vec"))
+    zero = v.where("id = 0").select(F.lit(-1).cast("long").alias("id"), F.transform("vec", lambda x: F.lit(0.0)).alias("vec"))
+    both = scaled.unionByName(zero)
+    r = knn_join(both, both, 10, metric="cosine", exclude_self=True)
+    return r.select("qid", "sid", "rank", F.round("dist", 6).alias("dist"))
+
+
+@register("knn_duplicates")
+def knn_duplicates(spark, sf):
+    # every stored vector three times: ties everywhere
+    v = vectors(spark, sf)
+    store = (v.select("id", "vec", F.explode(F.array(*[F.lit(i * 1_000_000) for i in range(3)])).alias("add"))
+              .select((F.col("id") + F.col("add")).alias("id"), "vec"))
+    r = knn_join(v.select("id", "vec"), store, 10, exclude_self=True)
+    return r.select("qid", "sid", "rank", F.round("dist", 6).alias("dist"))
+
+
 def _hit_rates(spark, sf, ks, **kw):
     r = _knn_all(spark, sf, max(ks), **kw)
     queries = vectors(spark, sf).select(F.col("id").alias("qid"))
@@ -57,7 +88,7 @@ def hit_rate_at_k(spark, sf):
 
 from reclink.functions import text as tx  # noqa: E402
 from reclink.functions.templates import TEMPLATES, compose_text  # noqa: E402
-from reclink.plans.tables import records  # noqa: E402
+from reclink.plans.tables import MARKUP, records  # noqa: E402
 
 
 def participants_raw(c="text"):
@@ -73,7 +104,7 @@ def disciplines_raw(c="text"):
 @register("html_to_text")
 def html_to_text(spark, sf):
     p = table(spark, sf, "pages")
-    return p.select("page_id", tx.html_to_text("html").alias("text"))
+    return p.select("page_id", tx.html_to_text(F.concat(F.lit(MARKUP), F.coalesce("html", F.lit("")))).alias("text"))
 
 
 @register("clean_participants")
@@ -128,22 +159,24 @@ def min_length_filter(spark, sf):
 def boilerplate_filter(spark, sf):
     r = records(spark, sf)
     kept = cu.drop_boilerplate(r, "abstract", cu.BOILERPLATE_ABSTRACTS)
-    kept = cu.drop_boilerplate(kept, "text", table(spark, sf, "benchmark").select("text"))
+    # proxy boilerplate: texts that more than one document has
+    copies = r.groupBy(F.md5("text").alias("m")).agg(F.count(F.lit(1)).alias("n"), F.min("text").alias("text")).where("n > 1")
+    kept = cu.drop_boilerplate(kept, "text", copies.select("text"))
     return kept.select(F.col("id").alias("doc_id"))
 
 
 @register("linked_only")
 def linked_only(spark, sf):
-    c = table(spark, sf, "customer")
-    o = table(spark, sf, "orders")
-    return (c.join(o.select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_semi")
-             .select("c_custkey"))
+    c = table(spark, sf, "customer").select("c_custkey")
+    o = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.collect_list("o_orderkey").alias("proj_ids"))
+    pubs = c.join(o, "c_custkey", "left").withColumn("proj_ids", F.coalesce("proj_ids", F.array().cast("array<bigint>")))
+    return cu.linked_only(pubs).select("c_custkey")
 
 
 @register("dedup_keep_first")
 def dedup_keep_first(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "text", "source")
-    return cu.dedup_first(d, "text", "doc_id").select("doc_id", "source")
+    return cu.dedup_first(d, "text", "doc_id", unique_order=True).select("doc_id", "source")
 
 
 @register("merge_by_title")
@@ -211,7 +244,7 @@ def replicate_samples(spark, sf):
 # ---------------------------------------------------------------- vectors, embedding, store
 
 from reclink.functions import vectors as vx  # noqa: E402
-from reclink.operators.embed import HashingEmbedder, blend_stores, embed  # noqa: E402
+from reclink.operators.embed import HashingEmbedder, blend_stores, embed, embed_records, normalize_store  # noqa: E402
 from reclink.sources import store as st  # noqa: E402
 
 HASH_DIM = 64
@@ -251,7 +284,9 @@ def _store_and_batch(spark, sf):
     lab = table(spark, sf, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("label"))
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
     batch = embed(lab.join(docs, "id", "inner"), "text", HashingEmbedder(HASH_DIM)).select("id", "vec", "label")
-    return store, batch
+    # every fourth id comes twice in the batch; the later row (by nth) holds
+    again = batch.where("id % 4 = 0").withColumn("label", F.col("label") + 10).withColumn("nth", F.lit(1))
+    return store, batch.withColumn("nth", F.lit(0)).unionByName(again)
 
 
 def _store_out(df):
@@ -261,13 +296,41 @@ def _store_out(df):
 @register("store_upsert")
 def store_upsert(spark, sf):
     store, batch = _store_and_batch(spark, sf)
-    return _store_out(st.upsert(store, batch))
+    return _store_out(st.upsert(store, batch, order="nth"))
 
 
 @register("store_append")
 def store_append(spark, sf):
     store, batch = _store_and_batch(spark, sf)
-    return _store_out(st.append(store, batch))
+    return _store_out(st.append(store, batch, order="nth"))
+
+
+@register("normalize_store")
+def normalize_store_q(spark, sf):
+    # norms from 0 to 4
+    v = vectors(spark, sf).select("id", F.transform("vec", lambda x: x.cast("double") * (F.col("id") % 5)).alias("vec"))
+    return normalize_store(v).select("id", F.round(vx.checksum("vec"), 6).alias("checksum"))
+
+
+@register("store_convert")
+def store_convert(spark, sf):
+    path = _fresh(spark, "by-provider")
+    st.convert(vectors(spark, sf, with_provider=True), path)
+    return st.read(spark, path).select(F.col("doc_id").cast("long").alias("doc_id"), "label", F.col("dataProvider").cast("string").alias("dataProvider"))
+
+
+@register("store_cached")
+def store_cached(spark, sf):
+    # a first run sees the even ids, the second all: only the odd ones are computed then
+    path = _fresh(spark, "cached")
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    compute = lambda df: df.select("id", F.md5("text").alias("digest"))
+    st.cached(spark, path, compute, docs.where("id % 2 = 0"))
+    return st.cached(spark, path, compute, docs)
+
+
+def _fresh(spark, name):
+    return scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
 
 
 @register("store_scan")
@@ -313,10 +376,16 @@ def missed_queries(spark, sf):
 
 @register("hit_rate_variance")
 def hit_rate_variance(spark, sf):
-    fr, _ = _hit_rates(spark, sf, [10])
-    reps = sm.replicate_samples(vectors(spark, sf).select("id"), SAMPLE_N, REPLICATE_SEEDS)
-    # SAMPLE_N rows per seed: a size-bounded broadcast side
-    per = fr.join(F.broadcast(reps.select("replicate_id", F.col("id").alias("qid"))), "qid", "inner")
+    # the samples first, then kNN for the sampled vectors only; SAMPLE_N rows per seed: size-bounded broadcasts
+    v = vectors(spark, sf)
+    reps = materialize(sm.replicate_samples(v.select("id"), SAMPLE_N, REPLICATE_SEEDS)
+                       .select("replicate_id", F.col("id").alias("qid")))
+    ids = reps.select(F.col("qid").alias("id")).distinct()
+    qv = v.join(F.broadcast(ids), "id", "left_semi").withColumnRenamed("label", "q_label")
+    r = knn_join(qv, v.withColumnRenamed("label", "s_label"), 10, exclude_self=True, q_carry=("q_label",), s_carry=("s_label",),
+                 n_queries=SAMPLE_N * len(REPLICATE_SEEDS))
+    fr = ev.first_hit_rank(r, ids.withColumnRenamed("id", "qid"), F.col("q_label") == F.col("s_label"))
+    per = fr.join(F.broadcast(reps), "qid", "inner")
     rates = ev.hit_rate(per, ev.K_GRID_SHORT, by=["replicate_id"])
     out = ev.hit_rate_variance(rates)
     return out.select("k", "n_replicates", *[F.round(c, 6).alias(c) for c in
@@ -374,9 +443,79 @@ def xml_projects(spark, sf):
     return recs.select("projId", "title", F.md5("abstract").alias("abstract_md5"), "dataProvider")
 
 
+_SOAP = '<soap:Envelope xmlns:soap="http://schemas.xmlsoap.org/soap/envelope/"><soap:Body>{}</soap:Body></soap:Envelope>'
+_RESULT = '<fris:getProjectsResponse xmlns:fris="http://fris.ewi.be/"><queryResult total="{}">{}</queryResult></fris:getProjectsResponse>'
+
+
+def _odd_pages(spark, sf):
+    """The derived pages, then: the last one again, a fault, an empty, a broken one, and one of incomplete records."""
+    pages = _derived_pages(spark, sf)
+    last = table(spark, sf, "documents").agg(F.floor(F.max("doc_id") / PAGE_SIZE).cast("int")).first()[0]
+    text = lambda el, t: f'<fris:{el}><fris:texts><fris:text locale="en">{t}</fris:text></fris:texts></fris:{el}>'
+    title, abstract = text("name", "A title"), text("projectAbstract", "An abstract")
+    odd = [_SOAP.format("<soap:Fault><faultcode>c</faultcode><faultstring>s</faultstring></soap:Fault>"),
+           _SOAP.format(_RESULT.format(0, "")), _SOAP.format("<fris:getProjects")[:70],
+           _SOAP.format(_RESULT.format(4, f"<fris:project>{title}{abstract}</fris:project><fris:project uuid='no-title'>{abstract}</fris:project>"
+                                          f"<fris:project uuid='no-abstract'>{title}</fris:project><fris:project uuid='whole'>{title}{abstract}</fris:project>"))]
+    rest = spark.createDataFrame([("derived", last + 2 + i, x) for i, x in enumerate(odd)], "export string, page_no int, xml string")
+    again = pages.where(F.col("page_no") == last).withColumn("page_no", F.lit(last + 1))
+    return pages.unionByName(again).unionByName(rest)
+
+
+@register("xml_rejects")
+def xml_rejects(spark, sf):
+    parsed = xp.parse_pages(_odd_pages(spark, sf), "project", sanitize="ascii")
+    return xp.rejects(parsed, "project").select("page_no", "uuid", "reason")
+
+
+@register("xml_publications")
+def xml_publications(spark, sf):
+    """Publications with people, organisations in two places, plain and coded disciplines and linked projects."""
+    r = records(spark, sf).withColumn("page_no", F.floor(F.col("id") / PAGE_SIZE).cast("int"))
+    person = lambda a, b: F.struct(a.cast("string").alias("first"), b.cast("string").alias("last"))
+    src, lang = F.col("dataProvider"), F.col("lang")
+    r = (r.withColumn("people", F.array(person(F.lit("Ann"), src), person(F.lit(None), lang), person(F.lit("B&b"), lang), person(lang, F.lit(None))))
+          .withColumn("terms", F.array(src, F.concat(lang, F.lit(" <studies>"))))
+          .withColumn("coded", F.array(F.struct(F.lit("0101").alias("code"), src.alias("term"))))
+          .withColumn("orgs", F.array(F.concat(F.lit("Org "), src), F.lit(""), F.lit("Alpha")))
+          .withColumn("own_orgs", F.array(F.concat(F.lit("Institute "), lang), F.lit("Alpha")))
+          .withColumn("proj_ids", F.filter(F.array(F.col("id") - 1, F.col("id") + 1), lambda x: x % 3 != 0)))
+    pages = xp.records_to_pages(r, PAGE_SIZE, entity="journalContribution")
+    recs = xp.extract_publications(xp.parse_pages(pages, "journalContribution", "unicode"))
+    recs = cu.min_length(recs, cu.PUBLICATION_MIN)
+    join = lambda c: F.array_join(c, "|").alias(c)
+    return recs.select("id", join("projId"), F.md5("title").alias("title_md5"), F.md5("abstract").alias("abstract_md5"), join("participants"),
+                       join("disciplines"), join("flemishDisciplines"), join("organization"), "dataProvider")
+
+
+@register("csv_roundtrip")
+def csv_roundtrip(spark, sf):
+    from reclink.sources import csv_io
+    r = records(spark, sf).select(
+        F.col("id").cast("string").alias("projId"), "title", "abstract", F.split(participants_raw("title"), ", ", -1).alias("participants"),
+        F.array("lang", "dataProvider").alias("disciplines"), "dataProvider")
+    path = _fresh(spark, "csv")
+    csv_io.write_records_csv(r, path)
+    schema = ", ".join(f"{c} string" for c in r.columns)
+    back = csv_io.read_records_csv(spark, path, schema=schema)
+    return back.select("projId", F.md5(F.coalesce("title", F.lit(""))).alias("title_md5"), F.md5(F.coalesce("abstract", F.lit(""))).alias("abstract_md5"),
+                       F.size("participants").alias("n_participants"), F.array_join("disciplines", "|").alias("disciplines"), "dataProvider")
+
+
+@register("ingest_pages")
+def ingest_pages(spark, sf):
+    """ST1: page files -> stream -> store; a second stream over other pages feeds the same store."""
+    from reclink.streaming.ingest import ingest
+    pages, base = _derived_pages(spark, sf), _fresh(spark, "ingest")
+    for part in (0, 1):
+        (pages.where(F.col("page_no") % 2 == part).select("page_no", "xml").write.partitionBy("page_no").text(f"{base}/in{part}"))
+        ingest(spark, f"{base}/in{part}/*", f"{base}/vec", f"{base}/ckpt{part}", embedder=HashingEmbedder(HASH_DIM))
+    return st.current(spark, f"{base}/vec").select("id", F.md5("doc").alias("doc_md5"), F.round(vx.checksum("vec"), 6).alias("checksum"), "dataProvider")
+
+
 @register("page_audit")
 def page_audit(spark, sf):
-    parsed = xp.parse_pages(_derived_pages(spark, sf), "project", sanitize="ascii")
+    parsed = xp.parse_pages(_odd_pages(spark, sf), "project", sanitize="ascii")
     return xp.audit_pages(parsed, "project", PAGE_SIZE)
 
 
@@ -386,13 +525,13 @@ def page_audit(spark, sf):
 from reclink.operators import topics as tp  # noqa: E402
 from reclink.operators.knn import knn_lsh  # noqa: E402
 
-LDA_QUERY_ITER = 20  # the operator default is the original 1000 passes; the registered query runs 20
+LSH_TABLES, LSH_BITS, VEC_DIM = 8, 6, 64
 
 
 @register("knn_lsh")
 def knn_lsh_q(spark, sf):
     v = vectors(spark, sf)
-    return knn_lsh(v, v, 10, bucket_length=1.0, num_tables=4, exclude_self=True).select(
+    return knn_lsh(v, v, 10, dim=VEC_DIM, tables=LSH_TABLES, bits=LSH_BITS, exclude_self=True).select(
         "qid", "sid", "rank", F.round("dist", 6).alias("dist"))
 
 
@@ -413,24 +552,39 @@ def _retrieval_rates(vecs, ks):
 @register("lda_topics")
 def lda_topics(spark, sf):
     docs = _token_docs(spark, sf)
-    model, vocab = tp.fit_lda(docs, max_iter=LDA_QUERY_ITER)
-    tv = tp.topic_vectors(docs, model, vocab)
+    tv = tp.topic_vectors(docs, tp.fit_lda(docs))
     return tv.select(F.col("id").alias("doc_id"), F.array_position(
         tv.vec, F.array_max("vec")).cast("int").alias("top_topic"))
 
 
+def _held_out(c="id"):
+    return F.pmod(F.crc32(F.col(c).cast("string").cast("binary")), F.lit(5)) == 0
+
+
 @register("lda_retrieval")
 def lda_retrieval(spark, sf):
+    """Documents the model has not seen go through its dictionary and query those it has."""
     docs = _token_docs(spark, sf)
-    model, vocab = tp.fit_lda(docs, max_iter=LDA_QUERY_ITER)
-    return _retrieval_rates(tp.topic_vectors(docs, model, vocab), ev.K_GRID_LONG)
+    known, new = docs.where(~_held_out()), docs.where(_held_out())
+    model = tp.fit_lda(known)
+    store = tp.topic_vectors(known, model).select("id", "vec", F.col("truth").alias("s_truth"))
+    qv = tp.topic_vectors(new, model, terms=tp.dictionary(known)).select("id", "vec", F.col("truth").alias("q_truth"))
+    r = knn_join(qv, store, max(ev.K_GRID_LONG), q_carry=("q_truth",), s_carry=("s_truth",))
+    fr = ev.first_hit_rank(r, new.select(F.col("id").alias("qid")), F.col("q_truth") == F.col("s_truth"))
+    return ev.hit_rate(fr, ev.K_GRID_LONG).select("k", "n_queries", "hits", F.round("hit_rate", 6).alias("hit_rate"))
 
 
 @register("doc2vec_query")
 def doc2vec_query(spark, sf):
+    """Unseen documents as free text -> nearest trained documents."""
     docs = _token_docs(spark, sf)
-    model = tp.fit_doc2vec(docs)
-    return _retrieval_rates(tp.doc_vectors(docs, model), ev.K_GRID_LONG)
+    known, new = docs.where(~_held_out()), docs.where(_held_out())
+    model = tp.fit_doc2vec(known)
+    r = tp.query_documents(model, tp.doc_vectors(known, model), new, max(ev.K_GRID_LONG))
+    truth = lambda d, a, b: d.select(F.col("id").alias(a), F.col("truth").alias(b))
+    r = r.join(truth(new, "qid", "q_truth"), "qid").join(truth(known, "sid", "s_truth"), "sid")
+    fr = ev.first_hit_rank(r, new.select(F.col("id").alias("qid")), F.col("q_truth") == F.col("s_truth"))
+    return ev.hit_rate(fr, ev.K_GRID_LONG).select("k", "n_queries", "hits", F.round("hit_rate", 6).alias("hit_rate"))
 
 
 def _kmeans_topics(spark, sf):
@@ -463,7 +617,49 @@ def pca_2d(spark, sf):
 
 @register("compare_models")
 def compare_models(spark, sf):
+    """The same evaluation over two stores, provided vectors and hashed texts, the first also by provider."""
     _, plain = _hit_rates(spark, sf, ev.K_GRID_SHORT)
     _, prov = _hit_rates(spark, sf, ev.K_GRID_SHORT, on=["dataProvider"])
-    out = ev.compare_models({"all_store": plain, "same_provider": prov})
+    r = records(spark, sf).select("id", compose_text("plain", title="title", abstract="abstract").alias("doc"))
+    hashed = embed(vectors(spark, sf).select("id", "label").join(r, "id"), "doc", HashingEmbedder(HASH_DIM))
+    ranked = knn_join(hashed.select("id", "vec", F.col("label").alias("q_label")), hashed.select("id", "vec", F.col("label").alias("s_label")),
+                      max(ev.K_GRID_SHORT), exclude_self=True, q_carry=("q_label",), s_carry=("s_label",))
+    fr = ev.first_hit_rank(ranked, hashed.select(F.col("id").alias("qid")), F.col("q_label") == F.col("s_label"))
+    out = ev.compare_models({"all_store": plain, "same_provider": prov, "hashed_text": ev.hit_rate(fr, ev.K_GRID_SHORT)})
     return out.select("model", "k", "n_queries", "hits", F.round("hit_rate", 6).alias("hit_rate"))
+
+
+# ---------------------------------------------------------------- linkage evaluation: publications -> project store
+
+def _link_eval(spark, sf, on):
+    """Even documents are projects, odd ones publications that list the projects before and after them.
+
+    The two sides use different templates; queries are a sample of the
+    publications; truth is the list of project ids, as exact membership and as
+    the substring test.
+    """
+    r = records(spark, sf).withColumn("disciplines", tx.clean_disciplines(disciplines_raw()))
+    projects, pubs = r.where("id % 2 = 0"), r.where("id % 2 = 1")
+    store = embed_records(projects, "labelled_disc", HashingEmbedder(HASH_DIM), title="title", abstract="abstract", disciplines="disciplines")
+    sample = materialize(sm.sample_n(pubs.select("id", "title", "abstract", "dataProvider"), SAMPLE_N, SEED))
+    queries = embed_records(sample, "instruct_pub", HashingEmbedder(HASH_DIM), title="title", abstract="abstract")
+    ranked = knn_join(queries.select("id", "vec", "dataProvider"), store.select("id", "vec", "dataProvider"), max(ev.K_GRID_LONG), on=on, n_queries=SAMPLE_N)
+    # The substring test sees the id list as text, so project 1 is also found in "11,13"
+    truth = sample.select(F.col("id").alias("qid"), F.array(F.col("id") - 1, F.col("id") + 1).alias("ids"))
+    judged = ranked.join(F.broadcast(truth), "qid")  # SAMPLE_N rows
+    out = {}
+    for compat, t in (("exact", F.col("ids")), ("substring", F.array_join(F.transform("ids", lambda x: x.cast("string")), ","))):
+        fr = ev.first_hit_rank(judged, truth, ev.is_hit(F.col("sid"), t, compat))
+        out[compat] = ev.hit_rate(fr, ev.K_GRID_LONG)
+    return (ev.compare_models(out).withColumnRenamed("model", "compat")
+              .select("compat", "k", "n_queries", "hits", F.round("hit_rate", 6).alias("hit_rate")))
+
+
+@register("link_eval")
+def link_eval(spark, sf):
+    return _link_eval(spark, sf, None)
+
+
+@register("link_eval_provider")
+def link_eval_provider(spark, sf):
+    return _link_eval(spark, sf, ["dataProvider"])

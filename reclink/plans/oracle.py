@@ -51,10 +51,15 @@ ORACLE["hit_rate_at_k"] = _hit_rate_sql([1, 2, 3, 5, 10, 20, 30, 40, 50, 60, 70,
 
 # ---------------------------------------------------------------- shared SQL pieces
 
-from reclink.functions import text as _tx  # noqa: E402
 from reclink.functions.stopwords import ENGLISH_STOPWORDS  # noqa: E402
 from reclink.functions.templates import INSTRUCT_PROJ, INSTRUCT_PUB  # noqa: E402
 from reclink.operators.curate import BOILERPLATE_ABSTRACTS  # noqa: E402
+from reclink.plans.tables import MARKUP  # noqa: E402
+
+
+# White space, as in the specification of F1 and F17
+_WS = (r"[\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
+       r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]")
 
 
 def lit(s: str) -> str:
@@ -69,18 +74,23 @@ RECS = """recs AS (
     FROM documents)"""
 
 
+# References that occur in the driver tables and in MARKUP, with their code points; "&amp;" comes last.
+_REFERENCES = [("&nbsp;", 160), ("&lt;", 60), ("&gt;", 62), ("&quot;", 34), ("&apos;", 39), ("&#39;", 39), ("&middot;", 183),
+               ("&copy;", 169), ("&mdash;", 8212), ("&eacute;", 233), ("&#233;", 233), ("&#x27;", 39), ("&beta;", 946), ("&amp;", 38)]
+
 def html_to_text_sql(c: str) -> str:
+    """A tag opens with a letter, "/" and a letter, "!" or "?" after "<"; any other "<" is text."""
     x = f"coalesce({c}, '')"
-    for pat in _tx.HTML_DROP:
-        x = f"regexp_replace({x}, {lit(pat)}, ' ', 'g')"
-    x = f"regexp_replace({x}, '<[^>]*>', ' ', 'g')"
-    for ent, ch in _tx.HTML_ENTITIES:
-        x = f"replace({x}, {lit(ent)}, {lit(ch)})"
+    for body in ("<!--.*?-->", "<script\\b[^>]*>.*?</script\\s*>", "<style\\b[^>]*>.*?</style\\s*>"):
+        x = f"regexp_replace({x}, {lit(body)}, ' ', 'gis')"
+    x = f"regexp_replace({x}, '<(/?[A-Za-z]|[!?])[^>]*>', ' ', 'g')"
+    for ref, code in _REFERENCES:
+        x = f"replace({x}, {lit(ref)}, chr({code}))"
     return squash_sql(x)
 
 
 def squash_sql(x: str) -> str:
-    return f"trim(regexp_replace({x}, {lit(_tx.WS_CLASS + '+')}, ' ', 'g'))"
+    return f"trim(regexp_replace({x}, {lit(_WS + '+')}, ' ', 'g'))"
 
 
 def participants_raw_sql(c: str = "text") -> str:
@@ -121,13 +131,13 @@ TEMPLATES_SQL = {
 
 
 def break_abstract_sql(c: str) -> str:
-    ws = _tx.WS_CLASS
+    ws = _WS
     return f"regexp_replace({c}, {lit(ws + '*Abstract:' + ws + '*')}, chr(10) || 'Abstract: ')"
 
 
 # ---------------------------------------------------------------- text functions
 
-ORACLE["html_to_text"] = f"SELECT page_id, {html_to_text_sql('html')} AS text FROM pages"
+ORACLE["html_to_text"] = f"SELECT page_id, {html_to_text_sql(lit(MARKUP) + " || coalesce(html, '')")} AS text FROM pages"
 
 ORACLE["clean_participants"] = (f"SELECT doc_id, {clean_participants_sql(participants_raw_sql())} AS participants "
                                 "FROM documents")
@@ -150,10 +160,11 @@ ORACLE["break_abstract"] = (f"WITH {RECS} SELECT id AS doc_id, {break_abstract_s
 
 ORACLE["min_length_filter"] = f"WITH {RECS} SELECT id AS doc_id FROM recs WHERE length(abstract) >= 150 AND length(title) >= 5"
 
-ORACLE["boilerplate_filter"] = f"""WITH {RECS}
+ORACLE["boilerplate_filter"] = f"""WITH {RECS},
+  copies AS (SELECT text FROM recs GROUP BY text HAVING count(*) > 1)
 SELECT id AS doc_id FROM recs
 WHERE abstract NOT IN ({', '.join(lit(t) for t in BOILERPLATE_ABSTRACTS)})
-  AND NOT EXISTS (SELECT 1 FROM benchmark b WHERE b.text = recs.text)"""
+  AND text NOT IN (SELECT text FROM copies)"""
 
 ORACLE["linked_only"] = "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)"
 
@@ -256,7 +267,7 @@ FROM recs r LEFT JOIN w ON w.id = r.id LEFT JOIN wn ON wn.id = r.id GROUP BY r.i
 
 _BATCH = f"""lab AS (SELECT l.doc_id AS id, l.quality AS label, d.text FROM labels l JOIN documents d ON d.doc_id = l.doc_id),
   {hashed_vectors_sql('lab', 'text', 'bv')},
-  batch AS (SELECT lab.id, lab.label, round(coalesce(sum((bv.dim + 1) * bv.x), 0), 6) AS checksum
+  batch AS (SELECT lab.id, CASE WHEN lab.id % 4 = 0 THEN lab.label + 10 ELSE lab.label END AS label, round(coalesce(sum((bv.dim + 1) * bv.x), 0), 6) AS checksum
             FROM lab LEFT JOIN bv ON bv.id = lab.id GROUP BY lab.id, lab.label),
   store AS (SELECT vec_id AS id, label, round({_CHECKSUM_E}, 6) AS checksum FROM embeddings)"""
 
@@ -351,13 +362,155 @@ ORACLE["xml_projects"] = f"""WITH {RECS},
 SELECT projId, title, md5(abstract) AS abstract_md5, dataProvider FROM p
 WHERE length(abstract) >= 150 AND length(title) >= 5"""
 
-ORACLE["page_audit"] = """
-SELECT 'derived' AS export, CAST(doc_id // 50 AS INTEGER) AS page_no, 'ok' AS status,
-       CAST(count(*) AS INTEGER) AS n_records, CAST(min(doc_id) AS VARCHAR) AS first_uuid,
-       (SELECT count(*) FROM documents) AS total, false AS is_repeat,
-       CAST((SELECT count(*) FROM documents) // 50 + 1 AS INTEGER) AS expected_pages
-FROM documents GROUP BY doc_id // 50"""
+_PAGES = """n AS (SELECT count(*) AS total, CAST(max(doc_id) // 50 AS INTEGER) AS last FROM documents),
+  pg AS (SELECT CAST(doc_id // 50 AS INTEGER) AS page_no, CAST(count(*) AS INTEGER) AS n_records,
+                CAST(min(doc_id) AS VARCHAR) AS first_uuid FROM documents GROUP BY doc_id // 50)"""
+
+ORACLE["page_audit"] = f"""WITH {_PAGES}
+SELECT 'derived' AS export, page_no, 'ok' AS status, n_records, first_uuid, total, false AS is_repeat,
+       CAST(total // 50 + 1 AS INTEGER) AS expected_pages FROM pg, n
+UNION ALL SELECT 'derived', last + 1, 'ok', n_records, first_uuid, total, true, CAST(total // 50 + 1 AS INTEGER)
+  FROM pg, n WHERE page_no = last
+UNION ALL SELECT 'derived', last + 2, 'fault', 0, NULL, NULL, false, NULL FROM n
+UNION ALL SELECT 'derived', last + 3, 'empty', 0, NULL, 0, false, 1 FROM n
+UNION ALL SELECT 'derived', last + 4, 'unparseable', 0, NULL, NULL, false, NULL FROM n
+UNION ALL SELECT 'derived', last + 5, 'ok', 4, NULL, 4, false, 1 FROM n"""
+
+ORACLE["xml_rejects"] = f"""WITH {_PAGES}
+SELECT CAST(doc_id // 50 AS INTEGER) AS page_no, CAST(doc_id AS VARCHAR) AS uuid, 'no title' AS reason FROM documents WHERE lang <> 'en'
+UNION ALL SELECT last + 1, CAST(doc_id AS VARCHAR), 'no title' FROM documents, n WHERE lang <> 'en' AND doc_id // 50 = last
+UNION ALL SELECT last + 2, NULL, 'fault' FROM n
+UNION ALL SELECT last + 4, NULL, 'unparseable' FROM n
+UNION ALL SELECT last + 5, NULL, 'no uuid' FROM n
+UNION ALL SELECT last + 5, 'no-title', 'no title' FROM n
+UNION ALL SELECT last + 5, 'no-abstract', 'no abstract' FROM n"""
+
+
+def _unicode(c: str) -> str:
+    return f"regexp_replace({c}, '[^\\x09\\x0A\\x0D\\x20-\\x7E\\x{{80}}-\\x{{FFFF}}]', '', 'g')"
+
+
+ORACLE["xml_publications"] = f"""WITH {RECS},
+  p AS (SELECT id, {html_to_text_sql(_unicode('title'))} AS title, {html_to_text_sql(_unicode('abstract'))} AS abstract, dataProvider, lang
+        FROM recs WHERE lang = 'en')
+SELECT CAST(id AS VARCHAR) AS id,
+       array_to_string(list_filter([id - 1, id + 1], lambda x: ((x % 3) + 3) % 3 <> 0), '|') AS projId,
+       md5(title) AS title_md5, md5(abstract) AS abstract_md5,
+       'Ann ' || dataProvider || '|B&b ' || lang AS participants,
+       dataProvider || '|' || lang || ' <studies>' AS disciplines, '0101:' || dataProvider AS flemishDisciplines,
+       'Alpha|Institute ' || lang || '|Org ' || dataProvider AS organization, dataProvider
+FROM p WHERE length(abstract) >= 50 AND length(title) >= 5"""
+
+ORACLE["csv_roundtrip"] = f"""WITH {RECS}
+SELECT CAST(id AS VARCHAR) AS projId, md5(title) AS title_md5, md5(abstract) AS abstract_md5,
+       CAST(len(string_split({participants_raw_sql('title')}, ', ')) AS INTEGER) AS n_participants,
+       lang || '|' || dataProvider AS disciplines, dataProvider
+FROM recs"""
+
+ORACLE["ingest_pages"] = f"""WITH {RECS},
+  p AS (SELECT id, {html_to_text_sql(_ascii('title'))} AS title, {html_to_text_sql(_ascii('abstract'))} AS abstract, dataProvider
+        FROM recs WHERE lang = 'en'),
+  d AS (SELECT id, title || ' ' || abstract AS doc, dataProvider FROM p WHERE length(abstract) >= 150 AND length(title) >= 5),
+  {hashed_vectors_sql('d', 'doc', 'hv')}
+SELECT CAST(d.id AS VARCHAR) AS id, md5(any_value(d.doc)) AS doc_md5, round(coalesce(sum((hv.dim + 1) * hv.x), 0), 6) AS checksum,
+       any_value(d.dataProvider) AS dataProvider
+FROM d LEFT JOIN hv ON hv.id = d.id GROUP BY d.id"""
+
+ORACLE["normalize_store"] = f"""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE * (vec_id % 5)) AS embedding FROM embeddings)
+SELECT vec_id AS id, round(CASE WHEN {_NORM_E} > 0 THEN {_CHECKSUM_E} / {_NORM_E} ELSE {_CHECKSUM_E} END, 6) AS checksum FROM v"""
+
+ORACLE["store_convert"] = """SELECT e.vec_id AS doc_id, e.label, coalesce(d.source, '') AS dataProvider
+FROM embeddings e LEFT JOIN documents d ON d.doc_id = e.vec_id"""
+
+ORACLE["store_cached"] = "SELECT doc_id AS id, md5(text) AS digest FROM documents"
+
+ORACLE["knn_blocked"] = ORACLE["knn_exact"]
+
+_DOT = "list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * s.v[i]))"
+ORACLE["knn_cosine"] = f"""
+WITH e AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE * (1 + vec_id % 7 * 1000)) AS v FROM embeddings
+           UNION ALL SELECT -1, list_transform(embedding, lambda x: 0.0::DOUBLE) FROM embeddings WHERE vec_id = 0),
+  n AS (SELECT id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS nrm FROM e),
+  d AS (SELECT q.id AS qid, s.id AS sid, CASE WHEN q.nrm = 0 OR s.nrm = 0 THEN 1.0 ELSE 1 - {_DOT} / (q.nrm * s.nrm) END AS d
+        FROM n q JOIN n s ON q.id <> s.id)
+SELECT qid, sid, CAST(rnk AS INTEGER) AS rank, round(d, 6) AS dist
+FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(d, 9), sid) AS rnk FROM d) WHERE rnk <= 10"""
+
+ORACLE["knn_duplicates"] = f"""
+WITH s AS (SELECT vec_id + unnest([0, 1000000, 2000000]) AS vec_id, embedding FROM embeddings),
+  d AS (SELECT q.vec_id AS qid, s.vec_id AS sid, {_L2SQ} AS d FROM embeddings q JOIN s ON q.vec_id <> s.vec_id)
+SELECT qid, sid, CAST(rnk AS INTEGER) AS rank, round(d, 6) AS dist
+FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(d, 9), sid) AS rnk FROM d) WHERE rnk <= 10"""
+
+
+def _lsh_sql(tables: int = 8, bits: int = 6, dim: int = 64, seed: int = 42) -> str:
+    """The sign of a plane's component is the parity of the first digit of md5('seed|table|bit|component')."""
+    return f"""
+WITH planes AS (SELECT t, b, list(CASE WHEN ascii(substr(md5('{seed}|' || t || '|' || b || '|' || i), 1, 1)) % 2 = 1
+                                       THEN CASE WHEN substr(md5('{seed}|' || t || '|' || b || '|' || i), 1, 1) >= 'a' THEN -1.0 ELSE 1.0 END
+                                       ELSE CASE WHEN substr(md5('{seed}|' || t || '|' || b || '|' || i), 1, 1) >= 'a' THEN 1.0 ELSE -1.0 END END
+                                  ORDER BY i) AS plane
+                FROM range({tables}) t(t), range({bits}) b(b), range({dim}) i(i) GROUP BY t, b),
+  h AS (SELECT vec_id, t, sum(CASE WHEN list_sum(list_transform(range(1, {dim} + 1), lambda i: embedding[i]::DOUBLE * plane[i])) > 0
+                                   THEN 1 << b ELSE 0 END) AS bucket
+        FROM embeddings, planes GROUP BY vec_id, t),
+  c AS (SELECT DISTINCT a.vec_id AS qid, b.vec_id AS sid FROM h a JOIN h b ON a.t = b.t AND a.bucket = b.bucket AND a.vec_id <> b.vec_id),
+  d AS (SELECT c.qid, c.sid, {_L2SQ} AS d FROM c JOIN embeddings q ON q.vec_id = c.qid JOIN embeddings s ON s.vec_id = c.sid)
+SELECT qid, sid, CAST(rnk AS INTEGER) AS rank, round(d, 6) AS dist
+FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(d, 9), sid) AS rnk FROM d) WHERE rnk <= 10"""
+
+
+ORACLE["knn_lsh"] = _lsh_sql()
+
+
+def _sparse_distances(q: str, s: str) -> str:
+    """(qid, sid, d) between all rows of two sparse vector tables (id, dim, x)."""
+    return f"""(SELECT a.id AS qid, b.id AS sid, a.n + b.n - 2 * coalesce(p.dot, 0) AS d
+     FROM (SELECT id, sum(x * x) AS n FROM {q} GROUP BY id) a CROSS JOIN (SELECT id, sum(x * x) AS n FROM {s} GROUP BY id) b
+     LEFT JOIN (SELECT u.id AS qid, w.id AS sid, sum(u.x * w.x) AS dot FROM {q} u JOIN {s} w ON u.dim = w.dim GROUP BY u.id, w.id) p
+       ON p.qid = a.id AND p.sid = b.id)"""
+
+
+def _rates_sql(ks: list, extra: str = "") -> str:
+    """From fr(qid, first_rank): the hit rate per k."""
+    grid = ", ".join(map(str, ks))
+    return f"""SELECT {extra} g.k AS k, count(*) AS n_queries, count(*) FILTER (WHERE fr.first_rank <= g.k) AS hits,
+       round(100.0 * count(*) FILTER (WHERE fr.first_rank <= g.k) / count(*), 6) AS hit_rate
+FROM fr CROSS JOIN (SELECT CAST(unnest([{grid}]) AS INTEGER) AS k) g GROUP BY ALL"""
+
+
+_HASHED_MODEL = f"""WITH {RECS},
+  src AS (SELECT r.id, r.title || ' ' || r.abstract AS doc, e.label FROM recs r JOIN embeddings e ON e.vec_id = r.id),
+  {hashed_vectors_sql('src', 'doc', 'hv')},
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(d, 9), sid) AS rnk
+             FROM {_sparse_distances('hv', 'hv')} WHERE qid <> sid),
+  fr AS (SELECT q.id AS qid, min(r.rnk) FILTER (WHERE r.rnk <= 10 AND s.label = q.label) AS first_rank
+         FROM src q LEFT JOIN ranked r ON r.qid = q.id LEFT JOIN src s ON s.id = r.sid GROUP BY q.id)
+""" + _rates_sql([1, 2, 3, 5, 10])
 
 ORACLE["compare_models"] = (
     "SELECT 'all_store' AS model, * FROM (" + _hit_rate_sql([1, 2, 3, 5, 10]) + ")\nUNION ALL\n"
-    "SELECT 'same_provider' AS model, * FROM (" + _hit_rate_sql([1, 2, 3, 5, 10], same_provider=True) + ")")
+    "SELECT 'same_provider' AS model, * FROM (" + _hit_rate_sql([1, 2, 3, 5, 10], same_provider=True) + ")\nUNION ALL\n"
+    "SELECT 'hashed_text' AS model, * FROM (" + _HASHED_MODEL + ")")
+
+
+def _link_sql(same_provider: bool) -> str:
+    by = "AND s.dataProvider = q.dataProvider" if same_provider else ""
+    ks = [1, 2, 3, 5, 10, 20, 30, 40, 50, 60, 70, 80, 90, 100]
+    fr = lambda test: f"""SELECT q.id AS qid, min(r.rnk) FILTER (WHERE r.rnk <= 100 AND {test}) AS first_rank
+         FROM smp q LEFT JOIN ranked r ON r.qid = q.id GROUP BY q.id"""
+    head = f"""WITH {RECS}, rd AS (SELECT *, {clean_disciplines_sql(disciplines_raw_sql())} AS disciplines FROM recs),
+  proj AS (SELECT id, {TEMPLATES_SQL['labelled_disc']} AS doc, dataProvider FROM rd WHERE id % 2 = 0),
+  smp AS (SELECT id, {TEMPLATES_SQL['instruct_pub']} AS doc, dataProvider FROM rd WHERE id % 2 = 1
+          ORDER BY md5(CAST(id AS VARCHAR) || '|42'), id LIMIT 100),
+  {hashed_vectors_sql('proj', 'doc', 'sv')},
+  {hashed_vectors_sql('smp', 'doc', 'qv')},
+  ranked AS (SELECT p.qid, p.sid, row_number() OVER (PARTITION BY p.qid ORDER BY round(p.d, 9), p.sid) AS rnk
+             FROM {_sparse_distances('qv', 'sv')} p JOIN smp q ON q.id = p.qid JOIN proj s ON s.id = p.sid {by})"""
+    exact = head + ", fr AS (" + fr("r.sid IN (q.id - 1, q.id + 1)") + ")\n" + _rates_sql(ks, "'exact' AS compat,")
+    sub = head + ", fr AS (" + fr("contains((q.id - 1) || ',' || (q.id + 1), CAST(r.sid AS VARCHAR))") + ")\n" + _rates_sql(ks, "'substring' AS compat,")
+    return f"SELECT * FROM ({exact}) UNION ALL SELECT * FROM ({sub})"
+
+
+ORACLE["link_eval"] = _link_sql(False)
+ORACLE["link_eval_provider"] = _link_sql(True)

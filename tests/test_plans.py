@@ -21,14 +21,40 @@ def test_knn_single_store_block_has_no_merge_shuffle(spark):
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
 
 
-def test_dedup_and_merge_aggregate_map_side(spark):
-    for name in ("dedup_keep_first", "merge_by_title", "store_upsert"):
-        p = plan(E.queries()[name](spark, SF001))
-        head = p.split("\n\n(")[0]
-        lines = [l for l in head.splitlines() if "Aggregate" in l or "Exchange" in l]
-        # final aggregate, exchange, partial aggregate: the partial one runs before the shuffle
-        kinds = ["X" if "Exchange" in l else "A" for l in lines]
-        assert "".join(kinds).startswith("AXA"), (name, lines)
+def shape(p: str) -> str:
+    """Aggregates (A) and exchanges (X) of a plan, from the top."""
+    return "".join("X" if "Exchange" in x else "A" for x in p.split("\n\n(")[0].splitlines() if "Aggregate" in x or "Exchange" in x)
+
+
+def test_dedup_is_a_hash_aggregate_of_numbers(spark):
+    p = plan(E.queries()["dedup_keep_first"](spark, SF001))
+    assert "HashAggregate" in p and "SortAggregate" not in p and "ObjectHashAggregate" not in p
+    assert "AXA" in shape(p)
+    winners = p.split("\n\n(")[0].split("HashAggregate")[-1]
+    assert "Sort" not in winners  # texts are hashed, not sorted
+
+
+def test_merge_makes_values_distinct_map_side(spark):
+    p = plan(E.queries()["merge_by_title"](spark, SF001))
+    assert "AXA" in shape(p) and "collect_set" not in p
+
+
+def test_upsert_neither_sorts_nor_aggregates_the_store(spark):
+    from reclink.sources.store import upsert
+    s = spark.range(1000).selectExpr("id", "array(1.0, 2.0) AS vec")
+    p = plan(upsert(s, s.where("id < 10")))
+    head = p.split("\n\n(")[0]
+    assert "LeftAnti" in p and "SortMergeJoin" not in head.split("Union")[0]
+
+
+def test_building_an_embedding_runs_no_job(spark):
+    from reclink.operators.embed import embed
+    jobs = lambda: len(spark.sparkContext.statusTracker().getJobIdsForGroup())
+    a = spark.range(100).selectExpr("id % 7 AS k", "string(id) AS t")
+    a = a.join(a.groupBy("k").count(), "k")
+    batch, before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"), jobs()
+    embed(a, "t", batch_size=3)
+    assert jobs() == before and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == batch
 
 
 def test_replicate_sample_limits_before_shuffle(spark):
