@@ -85,7 +85,7 @@ def temper(counts: dict, alpha: float) -> dict:
 
 def mix(docs: DataFrame, weights: dict, id_col: str = "doc_id", text_col: str = "text",
         source_col: str = "source", block_docs: int = 1, period: int = 20_000,
-        bucket_rows: int = 20_000) -> DataFrame:
+        bucket_rows: int = 2_000) -> DataFrame:
     """One row per placement: pos, slot, epoch, block, release, deadline, source, row (all columns).
 
     ``pos`` numbers the mix without gaps from 0.
