@@ -1,9 +1,9 @@
 """Connected components of an edge table, by alternating large and small stars.
 
 Every step is joins and aggregates on the edges; nothing is gathered.  A step is
-checkpointed (reliably), so a lost executor costs a re-read.  Stars of any size
-are spread: minima are combined before the shuffle, and the join with them may be
-split by the skew rule.
+written to the shared folder, so a lost executor costs a re-read.  Stars of any size
+are spread: minima are combined before the shuffle, and the rows of a node with very
+many neighbours are salted before they meet its minimum.
 """
 
 from __future__ import annotations
@@ -14,20 +14,34 @@ from pyspark.sql import functions as F
 from reclink.llm.common import stored
 
 
-def _large_star(e: DataFrame) -> DataFrame:
+def _with_least(e: DataFrame, total: int) -> DataFrame:
+    """Adds to (u, v) rows m, the least v of their u; a u with many rows is salted.
+
+    At most 2 * total / (total / 1000) = 2,000 nodes have more than ``many`` rows, so
+    their table is broadcast.
+    """
+    many = max(256, total // 1000)
+    least = e.groupBy(F.col("u").alias("c")).agg(F.min("v").alias("m"), F.count("*").alias("deg"))
+    salts = F.when(F.col("deg") > many, F.ceil(F.col("deg") / many).cast("int")).otherwise(1)
+    heavy = least.where(F.col("deg") > many).select(F.col("c").alias("h"), salts.alias("salts"))
+    rows = (e.join(F.broadcast(heavy), F.col("u") == F.col("h"), "left")
+            .withColumn("salt", F.pmod(F.xxhash64("v"), F.coalesce("salts", F.lit(1))).cast("int")))
+    copies = least.select("c", "m", F.explode(F.sequence(F.lit(0), salts - 1)).alias("cs"))
+    return rows.join(copies, (F.col("u") == F.col("c")) & (F.col("salt") == F.col("cs"))).select("u", "v", "m")
+
+
+def _large_star(e: DataFrame, total: int) -> DataFrame:
     """(u, v), u > v: each neighbour larger than a node goes to the node's least neighbour."""
     both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m"))
-    return (both.join(least, F.col("u") == F.col("c")).where(F.col("v") > F.col("u"))
-            .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+    return (_with_least(both, total).where(F.col("v") > F.col("u"))
+            .select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct())
 
 
-def _small_star(e: DataFrame) -> DataFrame:
+def _small_star(e: DataFrame, total: int) -> DataFrame:
     """Each smaller neighbour of a node, and the node, go to its least neighbour."""
-    least = e.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), "m")
-    joined = e.join(least, F.col("u") == F.col("c"))
+    joined = _with_least(e, total)
     return (joined.where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .unionByName(least.select(F.col("c").alias("u"), F.col("m").alias("v")))
+            .unionByName(joined.select("u", F.col("m").alias("v")))
             .where(F.col("u") != F.col("v")).distinct())
 
 
@@ -42,7 +56,7 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     for _ in range(most):
         if not seen[0]:
             break
-        e = stored(_small_star(_large_star(e)), "edges")
+        e = stored(_small_star(_large_star(e, seen[0]), seen[0]), "edges")
         now = state(e)
         if now == seen:
             break
