@@ -76,10 +76,14 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 def convert(store: DataFrame, path: str, layout: str = "by_provider", provider: str = "dataProvider",
             key: str = "id") -> None:
-    """Re-materialise a store in a second layout, carrying the id as ``doc_id``."""
+    """Re-materialise a store in a second layout, carrying the id as ``doc_id``.
+
+    ``by_provider`` partitions by a copy of the provider (``by_<provider>``): as a
+    folder name an empty provider would be read back as null.
+    """
     out = store.withColumn("doc_id", F.col(key))
     if layout == "by_provider":
-        write(out, path, partition_by=provider)
+        write(out.withColumn(f"by_{provider}", F.col(provider)), path, partition_by=f"by_{provider}")
     else:
         write(out.repartition(F.col(key)), path)
 
