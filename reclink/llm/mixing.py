@@ -32,6 +32,8 @@ import heapq
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from reclink.llm.common import shuffle_partitions
+
 MAX_SOURCES = 20_000  # bound of the driver's weight table and of the broadcast schedule
 
 
@@ -106,7 +108,8 @@ def mix(docs: DataFrame, weights: dict, id_col: str = "doc_id", text_col: str =
     per_source = F.broadcast(spark.createDataFrame(draws, "src string, share int, n long, draws long"))
     table = F.broadcast(spark.createDataFrame(plan, "src string, k int, at int, r int, d int"))
 
-    n_buckets = max(1, -(-max(sum(counts.values()), 1) // bucket_rows))
+    # enough buckets that those of one large source fill all tasks evenly
+    n_buckets = max(-(-max(sum(counts.values()), 1) // bucket_rows), 4 * shuffle_partitions(spark))
     rows = docs.select(F.col(source_col).cast("string").alias("src"), F.col(id_col).alias("id"),
                        F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"), F.struct("*").alias("row"))
     rows = rows.withColumn("bucket", F.pmod("h", F.lit(n_buckets)).cast("int"))
