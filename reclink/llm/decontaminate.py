@@ -32,7 +32,7 @@ from reclink.llm.common import let
 UNITS = ("km|kg|cm|mm|m|g|mg|l|ml|lb|lbs|oz|ft|in|mi|mph|kmh|hours?|minutes?|seconds?|days?|weeks?|months?|years?|"
          "miles?|meters?|metres?|liters?|litres?|grams?|pounds?|dollars?|euros?|cents?|percent|degrees?")
 _NUMBER = r"\p{N}+(?:[.,]\p{N}+)*"
-_NAME = r"(?<=[\p{L}\p{N},;)]\x20)(\p{Lu}[\p{L}]+)"
+_NAME = r"(?<=[\p{L}\p{N},;)]\x20)(\p{Lu}\p{Ll}\p{L}*)"  # not words in capitals only
 _SEPARATORS = r"(?:[^\p{L}\p{N}#@&.,]|(?<!\p{N})[.,]|[.,](?!\p{N}))+"
 
 

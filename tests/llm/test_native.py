@@ -181,6 +181,12 @@ def test_reparameterised_items_are_found(spark):
     assert got == {(1, 1), (2, 1), (9, 1), (None, 1)}
 
 
+def test_case_and_punctuation_do_not_hide_a_leak(spark):
+    item = "That and onesen erblest it hein ti inenan eranenes whou therouou thon the other day"
+    texts = [(1, "x y. " + item.upper()), (2, "x y. " + item.replace(" it ", ", it; ")), (3, "x y. " + item.replace(" ", "\n\t"))]
+    assert leaks(spark, texts, [(1, item)]) == {(1, 1), (2, 1), (3, 1)}
+
+
 def test_leaks_without_tables(spark):
     assert leaks(spark, [(1, ITEM)], []) == set()
     assert leaks(spark, [], [(1, ITEM)]) == set()
