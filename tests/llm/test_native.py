@@ -162,7 +162,7 @@ def test_shards_empty_and_with_shard(spark):
 
 # --- decontamination
 
-ITEM = "Ann has 12 apples and gives 5 of them to her friend, then walks 3 km to the market with Ann and Bob today"
+ITEM = "Then Ann has 12 apples and gives 5 of them to her friend, then walks 3 km to the market with Ann and Bob today"
 
 
 def leaks(spark, texts, items):
