@@ -158,16 +158,20 @@ def _blocks(n: int, rows: int) -> int:
 
 def _grid_cells(spark, q: DataFrame, s: DataFrame, on: list, q_block_rows: int,
                 s_block_rows: int, min_cells: int, counts=(None, None)):
-    """Assign query/store rows to (on..., _qb, _sb) cells; return (q, s, needs_merge)."""
+    """Assign query/store rows to (on..., _qb, _sb) cells; return (q, s, needs_merge).
+
+    Block numbers are ints on both sides: cogroup hashes its keys as they are typed,
+    and an int and a bigint of one value go to different partitions.
+    """
     if not on:
         nq = counts[0] if counts[0] is not None else q.count()
         ns = counts[1] if counts[1] is not None else s.count()
         sb = _blocks(ns, s_block_rows)
         qb = max(_blocks(nq, q_block_rows), int(math.ceil(min_cells / sb)))
         qb = max(1, min(qb, max(nq, 1)))
-        q = (q.withColumn("_qb", F.pmod(F.xxhash64("_qid"), F.lit(qb)))
+        q = (q.withColumn("_qb", F.pmod(F.xxhash64("_qid"), F.lit(qb)).cast("int"))
               .withColumn("_sb", F.explode(F.sequence(F.lit(0), F.lit(sb - 1)))))
-        s = (s.withColumn("_sb", F.pmod(F.xxhash64("_sid"), F.lit(sb)))
+        s = (s.withColumn("_sb", F.pmod(F.xxhash64("_sid"), F.lit(sb)).cast("int"))
               .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(qb - 1)))))
         return q, s, sb > 1
     # per-key block counts, so a hot key is split and a small key is not fanned out.
@@ -192,11 +196,11 @@ def _grid_cells(spark, q: DataFrame, s: DataFrame, on: list, q_block_rows: int,
         return df.join(side, [F.col(c) == F.col(k) for c, k in zip(on, ks)], "inner").drop(*ks)
 
     q = (attach(q)
-          .withColumn("_qb", F.pmod(F.xxhash64("_qid"), F.col("_qbn")))
+          .withColumn("_qb", F.pmod(F.xxhash64("_qid"), F.col("_qbn")).cast("int"))
           .withColumn("_sb", F.explode(F.sequence(F.lit(0), F.col("_sbn") - 1)))
           .drop("_qbn", "_sbn"))
     s = (attach(s)
-          .withColumn("_sb", F.pmod(F.xxhash64("_sid"), F.col("_sbn")))
+          .withColumn("_sb", F.pmod(F.xxhash64("_sid"), F.col("_sbn")).cast("int"))
           .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.col("_qbn") - 1)))
           .drop("_qbn", "_sbn"))
     return q, s, max_sb > 1

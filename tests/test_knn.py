@@ -114,3 +114,20 @@ def test_nearest_odd_vectors(spark):
     assert got == [("b", 0.0), ("a", 1.0)]
     none = nearest(s, None, 5)
     assert none.count() == 0 and none.schema["sid"].dataType.simpleString() == "string"
+
+
+def test_cells_meet_in_every_partition(spark):
+    # with all shuffle partitions kept apart, a cell whose two sides hash differently would be lost
+    rng = np.random.default_rng(11)
+    v = rng.normal(size=(300, 6))
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")
+    try:
+        df = frame(spark, v)
+        got = set((r.qid, r.sid) for r in knn_join(df, df, 4, exclude_self=True, q_block_rows=40, s_block_rows=50).collect())
+        keyed = df.withColumn("g", F.lit("one"))
+        by_key = set((r.qid, r.sid) for r in knn_join(keyed, keyed, 4, on=["g"], exclude_self=True, q_block_rows=40, s_block_rows=50).collect())
+    finally:
+        spark.conf.set(key, "true")
+    want = set((a, b) for a, b, _ in brute(v, v, 4, exclude_self=True))
+    assert got == want and by_key == want
