@@ -549,9 +549,14 @@ def _retrieval_rates(vecs, ks):
     return ev.hit_rate(fr, ks).select("k", "n_queries", "hits", F.round("hit_rate", 6).alias("hit_rate"))
 
 
+def _spread(df):
+    """Over all cores: inference costs far more per document than moving it."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 @register("lda_topics")
 def lda_topics(spark, sf):
-    docs = _token_docs(spark, sf)
+    docs = _spread(_token_docs(spark, sf))
     tv = tp.topic_vectors(docs, tp.fit_lda(docs))
     return tv.select(F.col("id").alias("doc_id"), F.array_position(
         tv.vec, F.array_max("vec")).cast("int").alias("top_topic"))
@@ -564,7 +569,7 @@ def _held_out(c="id"):
 @register("lda_retrieval")
 def lda_retrieval(spark, sf):
     """Documents the model has not seen go through its dictionary and query those it has."""
-    docs = _token_docs(spark, sf)
+    docs = _spread(_token_docs(spark, sf))
     known, new = docs.where(~_held_out()), docs.where(_held_out())
     model = tp.fit_lda(known)
     store = tp.topic_vectors(known, model).select("id", "vec", F.col("truth").alias("s_truth"))
