@@ -488,6 +488,35 @@ def xml_publications(spark, sf):
                        join("disciplines"), join("flemishDisciplines"), join("organization"), "dataProvider")
 
 
+def _legacy_pages(spark, sf):
+    """CERIF pages: a project and a publication for each document, PAGE_SIZE a page."""
+    esc = lambda c: F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    el = lambda name, x: F.concat(F.lit(f"<{name}>"), x, F.lit(f"</{name}>"))
+    r = records(spark, sf)
+    i = F.col("id").cast("string")
+    link = lambda n: el("cfProj_ResPubl", el("cfProjId", (F.col("id") + n).cast("string")))
+    rec = F.concat(
+        el("cfProj", F.concat(el("cfProjId", i), el("cfAbstr", esc(F.col("abstract"))), F.lit('<cfEndDate xsi:nil="true"/>'),
+                              el("cfPers", F.concat(el("cfFirstNames", F.lit("Ann")), el("cfFamilyNames", esc(F.col("dataProvider"))))),
+                              el("cfPers", el("cfFirstNames", F.lit("Bo"))), el("cfPers", F.concat(el("cfFirstNames", F.lit("Bo")), el("cfFamilyNames", F.col("lang")))))),
+        el("cfResPubl", F.concat(el("cfPublId", i), F.when(F.col("id") % 3 == 0, F.lit("")).when(F.col("id") % 3 == 1, link(1)).otherwise(F.concat(link(1), link(2))))))
+    head = ('<CERIF xmlns="urn:xmlns:org:eurocris:cerif-1.5-1" xmlns:xsi="http://www.w3.org/2001/XMLSchema-instance">')
+    return (r.select(F.floor(F.col("id") / PAGE_SIZE).alias("page_no"), rec.alias("x"))
+             .groupBy("page_no").agg(F.array_join(F.collect_list("x"), "").alias("x"))
+             .select("page_no", F.concat(F.lit(head), "x", F.lit("</CERIF>")).alias("xml")))
+
+
+@register("legacy_projects")
+def legacy_projects(spark, sf):
+    p = xp.legacy_projects(_legacy_pages(spark, sf))
+    return p.select("projId", F.md5(tx.squash_ws("abstract")).alias("abstract_md5"), "participants")
+
+
+@register("legacy_publications")
+def legacy_publications(spark, sf):
+    return xp.legacy_publications(_legacy_pages(spark, sf))
+
+
 @register("csv_roundtrip")
 def csv_roundtrip(spark, sf):
     from reclink.sources import csv_io

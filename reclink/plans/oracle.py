@@ -401,6 +401,14 @@ SELECT CAST(id AS VARCHAR) AS id,
        'Alpha|Institute ' || lang || '|Org ' || dataProvider AS organization, dataProvider
 FROM p WHERE length(abstract) >= 50 AND length(title) >= 5"""
 
+ORACLE["legacy_projects"] = f"""WITH {RECS}, p AS (SELECT id, {_unicode('abstract')} AS a, dataProvider, lang FROM recs)
+SELECT CAST(id AS VARCHAR) AS projId, md5({squash_sql('a')}) AS abstract_md5, 'Ann ' || dataProvider || ',Bo ' || lang AS participants
+FROM p WHERE length(regexp_replace(a, '^[\\s]+|[\\s]+$', '', 'g')) >= 50"""
+
+ORACLE["legacy_publications"] = """SELECT CAST(doc_id AS VARCHAR) AS id,
+       CASE doc_id % 3 WHEN 0 THEN NULL WHEN 1 THEN CAST(doc_id + 1 AS VARCHAR) ELSE (doc_id + 1) || ',' || (doc_id + 2) END AS projId
+FROM documents"""
+
 ORACLE["csv_roundtrip"] = f"""WITH {RECS}
 SELECT CAST(id AS VARCHAR) AS projId, md5(title) AS title_md5, md5(abstract) AS abstract_md5,
        CAST(len(string_split({participants_raw_sql('title')}, ', ')) AS INTEGER) AS n_participants,

@@ -181,6 +181,27 @@ LEGACY_PROJECT = _struct(cfProjId=_S, cfAbstr=_S,
                          cfPers=_A(_struct(cfFirstNames=_S, cfFamilyNames=_S)))
 
 
+def legacy_projects(pages: DataFrame, min_abstract: int = 50) -> DataFrame:
+    """S3 over page rows (``xml``): sanitised (S4), namespaces stripped (S5), projects
+    of at least ``min_abstract`` characters of abstract (P1)."""
+    names = tx.full_names(F.col("r.cfPers"), "cfFirstNames", "cfFamilyNames")
+    return (_legacy(pages, cfProj=_A(LEGACY_PROJECT)).select(F.explode("p.cfProj").alias("r"))
+            .select(F.col("r.cfProjId").alias("projId"), F.col("r.cfAbstr").alias("abstract"), F.array_join(names, ",").alias("participants"))
+            .where(F.length("abstract") >= min_abstract))
+
+
+def legacy_publications(pages: DataFrame) -> DataFrame:
+    """S3 over page rows: ``id`` and linked ``projId``s joined by ',' (NULL when none)."""
+    ids = tx.project_ids(F.col("r.cfProj_ResPubl"), ("cfProjId",))
+    return (_legacy(pages, cfResPubl=_A(LEGACY_PUBLICATION)).select(F.explode("p.cfResPubl").alias("r"))
+            .select(F.col("r.cfPublId").alias("id"), F.when(F.size(ids) > 0, F.array_join(ids, ",")).alias("projId")))
+
+
+def _legacy(pages: DataFrame, **records) -> DataFrame:
+    x = F.regexp_replace(strip_namespaces(sanitize_xml("xml")), r"^\s*(<\?xml[^>]*\?>\s*)+", "")
+    return pages.select(F.from_xml(x, _struct(**records), {"ignoreNamespace": "true", "mode": "PERMISSIVE"}).alias("p"))
+
+
 def read_legacy(spark: SparkSession, path: str, row_tag: str = "cfProj") -> DataFrame:
     """S3: legacy CERIF records (record-level XML source).
 
