@@ -1,9 +1,10 @@
 r"""Benchmark decontamination by template canonicalisation.
 
-Texts become templates: every number is ``#``, every name (a capitalised word that
-does not begin a sentence) ``@``, every unit after a number ``&``; other words are
-lower-cased and punctuation goes.  Windows of ``window`` template tokens of all
-documents are hash-joined with those of the benchmark items.  Matches of one
+Texts become templates: every number is ``#``, every name (a capitalised word, wherever
+it stands) ``@``, every unit after a number ``&``; other words are lower-cased and
+punctuation, quotes and white space go.  Windows of ``window`` template tokens of all
+documents are hash-joined with those of the benchmark items, and so are windows of the
+plain lower-cased tokens, so that a verbatim copy in other case depends on no slot.  Matches of one
 (document, item) on one diagonal (document place minus item place) are counted;
 if they cover ``coverage`` of the item's windows, the values in the slots are
 compared: each value of the item must stand for one value in the document
@@ -32,16 +33,16 @@ from reclink.llm.common import let
 UNITS = ("km|kg|cm|mm|m|g|mg|l|ml|lb|lbs|oz|ft|in|mi|mph|kmh|hours?|minutes?|seconds?|days?|weeks?|months?|years?|"
          "miles?|meters?|metres?|liters?|litres?|grams?|pounds?|dollars?|euros?|cents?|percent|degrees?")
 _NUMBER = r"\p{N}+(?:[.,]\p{N}+)*"
-_NAME = r"(?<=[\p{L}\p{N},;)]\x20)(\p{Lu}\p{Ll}\p{L}*)"  # not words in capitals only
+_NAME = r"(?<![\p{L}\p{N}&])(\p{Lu}\p{Ll}\p{L}*)"  # not words in capitals only
 _SEPARATORS = r"(?:[^\p{L}\p{N}#@&.,]|(?<!\p{N})[.,]|[.,](?!\p{N}))+"
 
 
 def marked(text: Column) -> Column:
     """The lower-cased text with ``#``, ``@`` and ``&`` in front of numbers, names and units."""
-    c = F.translate(F.coalesce(text, F.lit("")), "#@&", "   ")
-    c = F.regexp_replace(c, _NAME, "@$1")
+    c = F.translate(F.coalesce(text, F.lit("")), "#@&\u00ad\u200b\ufeff", "   ")  # the marks, and letters that show nothing
     c = F.regexp_replace(c, f"({_NUMBER})", " #$1 ")
-    c = F.regexp_replace(c, rf"(?i)(#[\p{{N}}.,]*\p{{N}})\s{{1,3}}({UNITS})(?![\p{{L}}\p{{N}}])", "$1 &$2")
+    c = F.regexp_replace(c, rf"(?i)(#[\p{{N}}.,]*\p{{N}})[\s\p{{Z}}]+({UNITS})(?![\p{{L}}\p{{N}}])", "$1 &$2")
+    c = F.regexp_replace(c, _NAME, "@$1")
     return F.lower(c)
 
 
@@ -54,9 +55,18 @@ def slots_and_words(text: Column) -> Column:
     return _tokens(marked(text))
 
 
-def template(text: Column) -> Column:
-    """Tokens with the values left out: ``#``, ``@``, ``&``, ``word``."""
-    return _tokens(F.regexp_replace(marked(text), r"([#@&])[\p{L}\p{N}]+(?:[.,]\p{N}+)*", "$1"))
+def is_slot(token: Column) -> Column:
+    return F.substring(token, 1, 1).isin("#", "@", "&")
+
+
+def slot_or_word(token: Column) -> Column:
+    """A token of the template: the value is left out."""
+    return F.when(is_slot(token), F.substring(token, 1, 1)).otherwise(token)
+
+
+def plain(token: Column) -> Column:
+    """A token of the plain text: the mark is left out."""
+    return F.when(is_slot(token), F.substr(token, F.lit(2))).otherwise(token)
 
 
 def window_hashes(tokens: Column, window: int) -> Column:
@@ -71,6 +81,13 @@ def window_hashes(tokens: Column, window: int) -> Column:
     return let(F.transform(tokens, lambda t: F.xxhash64(t)), lambda runs: fold(runs, 1))
 
 
+def both_windows(tokens: Column, window: int) -> Column:
+    """struct<n, h>: hashes of the n template windows, then of the plain ones (null where they are the same)."""
+    return let(tokens, lambda v: let(window_hashes(F.transform(v, slot_or_word), window), lambda t: F.struct(
+        F.size(t).alias("n"),
+        F.concat(t, F.zip_with(window_hashes(F.transform(v, plain), window), t, lambda p, x: F.when(p != x, p))).alias("h"))))
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                item_col: str = "item_id", item_text: str = "text", window: int = 8, coverage: float = 0.5,
                broadcast_windows: int = 500_000) -> DataFrame:
@@ -80,24 +97,24 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     """
     if window & (window - 1):
         raise ValueError("window must be a power of two")
-    items = (benchmark.select(F.col(item_col).alias("item"), F.col(item_text).alias("t"))
-             .select("item", template(F.col("t")).alias("c"), slots_and_words(F.col("t")).alias("v"))
-             .where(F.size("c") >= window).distinct()
+    items = (benchmark.select(F.col(item_col).alias("item"), slots_and_words(F.col(item_text)).alias("v"))
+             .where(F.size("v") >= window).distinct()
              .withColumn("nr", F.xxhash64("item", "v"))
-             .withColumn("windows", F.size("c") - window + 1))
-    item_windows = items.select("nr", "windows", F.posexplode(window_hashes(F.col("c"), window)).alias("ipos", "h"))
+             .withColumn("windows", F.size("v") - window + 1))
+    exploded = lambda df, *keep: (df.select(*keep, F.col("b.n").alias("n"), F.posexplode("b.h").alias("at", "h"))
+                                  .where("h IS NOT NULL").withColumn("at", F.pmod("at", "n")).drop("n"))
+    item_windows = exploded(items.withColumn("b", both_windows(F.col("v"), window)), "nr", "windows").withColumnRenamed("at", "ipos")
     if item_windows.count() <= broadcast_windows:
         item_windows = F.broadcast(item_windows)
 
     doc_hash = F.xxhash64(F.col(text_col))  # with the id, it names a document and tells its text
-    doc_windows = docs.select(F.col(id_col).alias("id"), doc_hash.alias("dh"),
-                              F.posexplode(window_hashes(template(F.col(text_col)), window)).alias("pos", "h"))
+    doc_windows = exploded(docs.select(F.col(id_col).alias("id"), doc_hash.alias("dh"),
+                                       both_windows(slots_and_words(F.col(text_col)), window).alias("b")), "id", "dh").withColumnRenamed("at", "pos")
     hits = (doc_windows.join(item_windows, "h")
             .groupBy("id", "dh", "nr", "windows", (F.col("pos") - F.col("ipos")).alias("diagonal"))
             .agg(F.countDistinct("ipos").alias("matched"))
             .where(F.col("matched") >= F.col("windows") * coverage))
 
-    is_slot = lambda t: t.rlike("^[#@&]")
     item_slots = items.select("nr", "item", F.filter(
         F.transform("v", lambda t, i: F.struct(i.alias("at"), t.alias("t"))), lambda s: is_slot(s["t"])).alias("slots"))
     hits = hits.join(item_slots, "nr")

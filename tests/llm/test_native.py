@@ -187,6 +187,20 @@ def test_case_and_punctuation_do_not_hide_a_leak(spark):
     assert leaks(spark, texts, [(1, item)]) == {(1, 1), (2, 1), (3, 1)}
 
 
+STORY = "Tom has 3 apples. Tom buys 4 more. How many apples does Tom have?"
+
+
+def test_names_are_slots_wherever_they_stand(spark):
+    other = STORY.replace("Tom", "Ann").replace("3", "5").replace("4", "9")
+    texts = [(1, other), (2, "x y.\n" + other.replace(" ", "\n")), (3, "x y: \u201c" + other.replace(" Ann", "  \u201cAnn\u201d")), (4, other.replace("Ann buys", "Eve buys"))]
+    assert leaks(spark, texts, [(1, STORY)]) == {(1, 1), (2, 1), (3, 1)}  # 4: Tom is Ann and Eve
+
+
+def test_case_and_line_breaks_do_not_hide_names(spark):
+    texts = [(1, "x y. " + ITEM.lower()), (2, ITEM.upper()), (3, ITEM.replace(" Ann", "\nAnn").replace(" Bob", "\n\nBob")), (4, ITEM.title())]
+    assert leaks(spark, texts, [(1, ITEM)]) == {(1, 1), (2, 1), (3, 1), (4, 1)}
+
+
 def test_leaks_without_tables(spark):
     assert leaks(spark, [(1, ITEM)], []) == set()
     assert leaks(spark, [], [(1, ITEM)]) == set()
