@@ -6,8 +6,8 @@ punctuation, quotes and white space go.  Windows of ``window`` template tokens o
 documents are hash-joined with those of the benchmark items, and so are windows of the
 plain lower-cased tokens, so that a verbatim copy in other case depends on no slot.  Matches of one
 (document, item) on one diagonal (document place minus item place) are counted;
-if they cover ``coverage`` of the item's windows, the values in the slots are
-compared: each value of the item must stand for one value in the document
+if they cover ``coverage`` of the item's windows, the values in the slots of the matched
+windows are compared: each value of the item must stand for one value in the document
 (3 -> 7 everywhere, Ann -> Bob everywhere).  So a question with other numbers and
 names is caught, and a chance match of templates is not.
 
@@ -112,24 +112,25 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
                                        both_windows(slots_and_words(F.col(text_col)), window).alias("b")), "id", "dh").withColumnRenamed("at", "pos")
     hits = (doc_windows.join(item_windows, "h")
             .groupBy("id", "dh", "nr", "windows", (F.col("pos") - F.col("ipos")).alias("diagonal"))
-            .agg(F.countDistinct("ipos").alias("matched"))
+            .agg(F.collect_set("ipos").alias("at"))
+            .withColumn("matched", F.size("at"))
             .where(F.col("matched") >= F.col("windows") * coverage))
 
     item_slots = items.select("nr", "item", F.filter(
         F.transform("v", lambda t, i: F.struct(i.alias("at"), t.alias("t"))), lambda s: is_slot(s["t"])).alias("slots"))
     hits = hits.join(item_slots, "nr")
-    plain = hits.where(F.size("slots") == 0).select("id", "dh", "item", "matched", "windows", F.lit(0).alias("slots"))
+    fixed = hits.where(F.size("slots") == 0).select("id", "dh", "item", "matched", "windows", F.lit(0).alias("slots"))
     texts = docs.select(F.col(id_col).alias("tid"), doc_hash.alias("tdh"), F.col(text_col).alias("t")).dropDuplicates(["tid", "tdh"])
     compared = (hits.where(F.size("slots") > 0)
                 .join(texts, F.col("id").eqNullSafe(F.col("tid")) & (F.col("dh") == F.col("tdh")))
                 .withColumn("v", slots_and_words(F.col("t")))
-                .withColumn("pairs", F.filter(
-                    F.transform("slots", lambda s: F.struct(
-                        s["t"].alias("a"), F.when(s["at"] + F.col("diagonal") >= 0, F.get("v", s["at"] + F.col("diagonal"))).alias("b"))),
-                    lambda p: p["b"].isNotNull() & (F.substring(p["a"], 1, 1) == F.substring(p["b"], 1, 1))))
+                # only slots inside matched windows: what stands beyond them is the document's own
+                .withColumn("slots", F.filter("slots", lambda s: F.exists("at", lambda i: (i <= s["at"]) & (s["at"] < i + window))))
+                .withColumn("pairs", F.transform("slots", lambda s: F.struct(
+                    plain(s["t"]).alias("a"), plain(F.get("v", s["at"] + F.col("diagonal"))).alias("b"))))
                 .where(F.size(F.array_distinct("pairs")) == F.size(F.array_distinct(F.transform("pairs", lambda p: p["a"]))))
                 .select("id", "dh", "item", "matched", "windows", F.size("pairs").alias("slots")))
-    best = (plain.unionByName(compared)
+    best = (fixed.unionByName(compared)
             .groupBy("id", "item").agg(F.max(F.struct((F.col("matched") / F.col("windows")).alias("coverage"), "matched", "windows", "slots")).alias("b")))
     return best.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "b.matched", "b.windows", "b.coverage", "b.slots")
 

@@ -201,6 +201,13 @@ def test_case_and_line_breaks_do_not_hide_names(spark):
     assert leaks(spark, texts, [(1, ITEM)]) == {(1, 1), (2, 1), (3, 1), (4, 1)}
 
 
+def test_own_text_after_a_copied_part_does_not_hide_it(spark):
+    item = "Ann has 12 red apples and gives 5 of them to her friend before she walks 3 km to the old market with Ann and 12 of the others"
+    head = item[:item.index(" to the old")]
+    texts = [(1, head + " and so on until now Eve and 40 of the new cars there today"), (2, head + " up a hill where no one at all of Tim and 99 more")]
+    assert leaks(spark, texts, [(1, item)]) == {(1, 1), (2, 1)}
+
+
 def test_leaks_without_tables(spark):
     assert leaks(spark, [(1, ITEM)], []) == set()
     assert leaks(spark, [], [(1, ITEM)]) == set()
