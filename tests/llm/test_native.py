@@ -208,6 +208,27 @@ def test_own_text_after_a_copied_part_does_not_hide_it(spark):
     assert leaks(spark, texts, [(1, item)]) == {(1, 1), (2, 1)}
 
 
+def test_partial_split_and_short_items(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefghijklm", k=6))
+    say = lambda n: [word() for _ in range(n)]
+    long, mid, small = say(59), say(30), [say(n) for n in range(15, 23)]
+    items = [(1, " ".join(long)), (2, " ".join(mid)), (3, "Tom has 3 apples"), (4, "Paris"), (5, "why is it so")] + [(15 + i, " ".join(t)) for i, t in enumerate(small)]
+    pad = lambda t: " ".join(say(20) + t + say(20))
+    texts = [(1, pad(long[10:40])), (2, pad(mid[:15] + ["new"] + mid[15:])), (3, pad(["Ann", "has", "5", "apples"])), (4, "Paris!"), (5, "Why is it so?"),
+             (6, pad(["paris", "paris"])), (7, pad(long[10:20])), (8, pad("why is that so".split()))]
+    texts += [(100 * (15 + i) + k, pad(t[:k] + ["new"] + t[k + 1:])) for i, t in enumerate(small) for k in range(len(t))]
+    assert leaks(spark, texts, items) == {(i, i) for i in range(1, 6)} | {(100 * (15 + i) + k, 15 + i) for i, t in enumerate(small) for k in range(len(t))}
+
+
+def test_values_are_compared_across_an_insertion(spark):
+    item = "Ann has 12 red apples and gives 5 of them to her friend before she walks 3 km to the old market with Ann and 12 of the others"
+    other = item.replace("Ann", "Eve").replace("12", "40").replace("5 of", "6 of")
+    put = lambda t: t.replace("before she", "just a short while before she")
+    texts = [(1, put(other)), (2, put(other.replace("with Eve", "with Joe")))]
+    assert (1, 1) in leaks(spark, texts, [(1, item)])
+
+
 def test_leaks_without_tables(spark):
     assert leaks(spark, [(1, ITEM)], []) == set()
     assert leaks(spark, [], [(1, ITEM)]) == set()
