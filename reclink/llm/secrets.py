@@ -8,8 +8,8 @@ the token, and it is a span if the ratio exceeds ``threshold`` (prior odds).
 
 ``train`` fits both models from labelled samples: strings labelled 1 (random) or
 0 (ordinary).  ``labelled_samples`` takes them from a corpus: what the base
-detectors caught is random, tokens between them with no digit are ordinary.  The
-counts are one aggregation over (label, class, class) rows; the model is at most
+detectors caught is random; words, identifiers (also with up to four digits in a row),
+paths and drawn lines outside of that are ordinary, in all documents.  The counts are one aggregation over (label, class, class) rows; the model is at most
 68 x 68 numbers, so it is collected and goes into the plan as a constant.
 
 Only DataFrame functions are used; every text is read whole.  Offsets are code
@@ -35,6 +35,9 @@ KINDS = ("assign", "access", "hex", "markov")  # the order of equal starts
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{24,}"  # the maximal runs of at least 24
+# Runs of letters with up to four digits between or after them, and lines drawn with symbols
+ORDINARY = (r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_=-]{6})(?:[A-Za-z_/-]{2,}(?:[0-9]{1,4}[A-Za-z_/-]{2,})*[0-9]{0,4}|[+/_=-]+)"
+            r"(?![A-Za-z0-9+/_=-])")
 SPAN = "struct<start:bigint,kind:int,end:bigint,value:string>"
 
 _ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
@@ -75,13 +78,13 @@ def _outside(spans: Column, base: Column) -> Column:
 
 
 def labelled_samples(docs: DataFrame, text_col: str = "text", min_len: int = 20) -> DataFrame:
-    """(value, label) rows: base values of at least ``min_len`` characters are 1;
-    words of at least 6 letters, hyphens or underscores outside them are 0."""
-    text = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("t")).where(F.regexp_like("t", F.lit(f"{ASSIGN}|{ACCESS}|{HEX}")))
-    rows = text.select("t", base_spans(F.col("t")).alias("b"))
-    pos = rows.select(F.explode(F.transform("b", lambda s: s["value"])).alias("value"), F.lit(1).alias("label")).where(F.length("value") >= min_len)
-    words = F.regexp_extract_all(F.regexp_replace("t", f"{ASSIGN}|{ACCESS}|{HEX}", " "), F.lit(r"(?<![A-Za-z0-9+/_=-])[A-Za-z_-]{6,}(?![A-Za-z0-9+/_=-])"), F.lit(0))
-    neg = rows.select(F.explode(words).alias("value"), F.lit(0).alias("label"))
+    """(value, label) rows of all documents: base values of at least ``min_len`` characters are 1;
+    ordinary words, identifiers, paths and rules of at least 6 characters outside them are 0."""
+    text = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    base = f"{ASSIGN}|{ACCESS}|{HEX}"
+    pos = (text.where(F.regexp_like("t", F.lit(base))).select(F.explode(F.transform(base_spans(F.col("t")), lambda s: s["value"])).alias("value"), F.lit(1).alias("label"))
+           .where(F.length("value") >= min_len))
+    neg = text.select(F.explode(F.regexp_extract_all(F.regexp_replace("t", base, " "), F.lit(ORDINARY), F.lit(0))).alias("value"), F.lit(0).alias("label"))
     return pos.unionByName(neg)
 
 
@@ -97,9 +100,12 @@ def train(samples: DataFrame, alpha: float = 0.5) -> list[float]:
     ``samples``: (value, label).  Laplace smoothing by ``alpha``; both labels must
     occur, else the ratios are all 0.
     """
-    codes = samples.where("value IS NOT NULL AND value <> '' AND label IS NOT NULL").select("label", _codes(F.col("value")).alias("c"))
+    # equal values are counted first, so that each is taken apart once
+    codes = (samples.where("value IS NOT NULL AND value <> '' AND label IS NOT NULL").groupBy("label", "value").agg(F.count(F.lit(1)).alias("times"))
+             .select("label", "times", _codes(F.col("value")).alias("c")))
     steps = F.transform(F.sequence(F.lit(0), F.size("c") - 2), lambda i: F.get(F.col("c"), i) * _N + F.get(F.col("c"), i + 1))
-    counts = codes.where(F.size("c") > 1).select("label", F.explode(steps).alias("step")).groupBy("label", "step").count().collect()
+    counts = (codes.where(F.size("c") > 1).select("label", "times", F.explode(steps).alias("step"))
+              .groupBy("label", "step").agg(F.sum("times").alias("count")).collect())
     table = {0: [0.0] * (_N * _N), 1: [0.0] * (_N * _N)}
     for r in counts:  # at most 2 x 68 x 68 rows
         table[1 if r["label"] else 0][r["step"]] += r["count"]
@@ -123,13 +129,13 @@ def scan(docs: DataFrame, model: list[float], id_col: str = "doc_id", text_col:
          min_len: int = 20, threshold: float = math.log(1e4)) -> DataFrame:
     """(id_col, base, markov): span arrays of every whole text.
 
-    ``markov`` spans are tokens with a letter and a digit, outside every base span,
-    whose log-likelihood ratio exceeds ``threshold``.
+    ``markov`` spans are tokens outside every base span whose log-likelihood ratio
+    exceeds ``threshold``.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), text.alias("t"))
     token = _token(min_len)
-    looks = lambda s: F.regexp_like(s["value"], F.lit(r"[A-Za-z].*\d|\d.*[A-Za-z]")) & (llr(s["value"], model) > threshold)
+    looks = lambda s: llr(s["value"], model) > threshold
     found = rows.select("id", let(base_spans(F.col("t")), lambda b: F.struct(
         b.alias("base"), F.filter(_outside(_spans(F.col("t"), token, "markov"), b), looks).alias("markov"))).alias("s"))
     return found.select(F.col("id").alias(id_col), "s.base", "s.markov")

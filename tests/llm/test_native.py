@@ -106,6 +106,20 @@ def test_markov_tells_keys_from_names(spark):
     assert sum(found[1000 + i] for i in range(200)) == 0
 
 
+def test_all_documents_teach_and_the_ratio_alone_decides(spark):
+    rng = random.Random(4)
+    key = lambda n, c=62: "".join(rng.choices(secrets._ALPHABET[:c], k=n))
+    words = "get user name from the table and write every other value of this list into one more file before it ends".split()
+    name = lambda: "_".join(rng.choices(words, k=6)) + str(rng.randint(0, 99))
+    rows = [(i, f"token={key(40)} x") for i in range(300)] + [(1000 + i, " ".join(name() for _ in range(5)) + " " + "=" * 30 + " /usr/" + "/".join(words)) for i in range(300)]
+    samples = secrets.labelled_samples(docs(spark, rows))
+    plain = {r["value"] for r in samples.where("label = 0").collect()}
+    assert {t for _, x in rows[300:] for t in x.split() if "_" in t} <= plain and "=" * 30 in plain  # documents without any base match
+    tests = [(i, f"see {key(32, 52)} here") for i in range(100)] + [(1000 + i, f"see {name()} and {'=' * 25} or /usr/{'/'.join(rng.choices(words, k=6))}") for i in range(100)]
+    found = {r["doc_id"]: len(r["markov"]) for r in secrets.scan(docs(spark, tests), secrets.train(samples)).collect()}
+    assert sum(found[i] for i in range(100)) >= 97 and sum(found[1000 + i] for i in range(100)) == 0  # keys without a digit
+
+
 def test_secrets_empty_and_mask(spark):
     empty = docs(spark, [])
     model = secrets.train(secrets.labelled_samples(empty))
