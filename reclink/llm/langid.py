@@ -7,8 +7,9 @@ character 1- to 3-grams of the lower-cased text (square roots, unit length), tak
 over the whole text with numpy inside Arrow batches; long texts are counted in
 chunks, never cut.
 
-Training reads at most ``max_per_lang`` labelled rows per language and
-``max_rows`` in all (those of smallest hash; the bound is a parameter of ``train``)
+Training reads at most ``max_per_lang`` different labelled texts per language and
+``max_rows`` in all (those of smallest hash; the bound is a parameter of ``train``;
+copies count once, so a language of few texts in many copies is learned from all of them)
 and fits on the driver; the model is languages^2 x ``DIM`` numbers at most and is
 sent to the tasks once.  Prediction is one pass without a shuffle.
 
@@ -157,10 +158,10 @@ class Model:
 
 def train(rows: DataFrame, text_col: str = "text", lang_col: str = "lang",
           max_per_lang: int = 300, max_rows: int = 3000) -> Model:
-    """Fit on a bounded sample of labelled rows: per language those of smallest hash."""
+    """Fit on a bounded sample of different labelled texts: per language those of smallest hash."""
     base = rows.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(
         "lang IS NOT NULL AND lang <> 'und' AND text RLIKE '[\\\\p{L}]'").withColumn("h", F.xxhash64("text"))
-    counts = {r["lang"]: r["count"] for r in base.groupBy("lang").count().limit(max_rows + 1).collect()}
+    counts = {r["lang"]: r["count"] for r in base.select("lang", "h").distinct().groupBy("lang").count().limit(max_rows + 1).collect()}
     if len(counts) > max_rows:
         raise ValueError("more languages than max_rows")
     each = max(1, min(max_per_lang, max_rows // max(1, len(counts))))
@@ -169,7 +170,8 @@ def train(rows: DataFrame, text_col: str = "text", lang_col: str = "lang",
     for lang, n in counts.items():
         near = near | ((F.col("lang") == lang) & (F.pmod("h", F.lit(1 << 30)) <= int(min(1.0, 4 * each / n + 64 / n) * (1 << 30))))
     first = Window.partitionBy("lang").orderBy("h", F.length("text"))
-    sample = base.where(near).withColumn("k", F.row_number().over(first)).where(F.col("k") <= each)
+    texts = base.where(near).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    sample = texts.withColumn("k", F.row_number().over(first)).where(F.col("k") <= each)
 
     def vectors(batches):
         for b in batches:

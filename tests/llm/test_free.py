@@ -169,6 +169,15 @@ def test_language_odd_inputs(spark):
     assert {r["lang_pred"] for r in langid.predict(docs.where("doc_id = 1"), single).collect()} == {"fr"}
 
 
+def test_language_of_copies_is_learned(spark, monkeypatch):
+    text = {"en": lambda i: f"the cat and the dog number {i}", "de": lambda i: f"der hund und die katze nummer {i}"}
+    rows = [(text["en"](i), "en") for i in range(2000)] + [(text["de"](i % 5), "de") for i in range(20000)]
+    seen = []
+    monkeypatch.setattr(langid, "Model", lambda x, langs: seen.append(collections.Counter(langs)) or len({v.tobytes() for v in x}))
+    assert langid.train(spark.createDataFrame(rows, "text string, lang string"), max_per_lang=40) == 45
+    assert seen == [{"de": 5, "en": 40}]
+
+
 def test_language_features_by_chunks(monkeypatch):
     text = "".join(random.Random(1).choices("abcdé ", k=1000))
     whole = langid.features(text)
