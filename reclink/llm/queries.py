@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from reclink.llm import chat_windows, decontaminate, langid, mixing, near_dups, secrets, shards, token_files, url_rules, vector_tree
+from reclink.llm import chat_windows, decontaminate, langid, merkle, mixing, near_dups, secrets, shards, token_files, url_rules, vector_tree
 from reclink.llm.common import shared_path, table
 
 
@@ -78,7 +78,17 @@ def op10_byte_shards(spark, sf_dir):
                       F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_pfair_mix, op3_decontaminate, op5_vector_tree, op6_language, op7_chat_windows, op4_url_rules, op8_secret_scan, op9_near_duplicates, op10_byte_shards)}
+def op13_merkle_manifest(spark, sf_dir):
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    out = merkle.manifest(table(spark, sf_dir, "documents"), fields, where=tampered,
+                          claimed=[F.col(c) + 1 if c == "n_chars" else F.col(c) for c in fields])
+    folded = merkle.fold(F.col("claim"), F.col("path"))
+    return (out.select("doc_id", "leaf", "subroot", "root", merkle.proof(F.col("path")).alias("proof_sha256"), folded.alias("folded_root"))
+            .withColumn("verified", F.col("folded_root") == F.col("root")))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_pfair_mix, op3_decontaminate, op5_vector_tree, op6_language, op7_chat_windows, op4_url_rules, op8_secret_scan, op9_near_duplicates, op10_byte_shards, op13_merkle_manifest)}
 
 ORACLE = {
     "op4_url_rules": r"""
@@ -98,5 +108,40 @@ m AS (
                        ORDER BY length(r.rhost || r.rpath) DESC NULLS LAST, length(r.rhost) DESC) AS k
   FROM u LEFT JOIN r ON (u.host = r.rhost OR ends_with(u.host, '.' || r.rhost)) AND starts_with(u.path, r.rpath))
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM m WHERE k = 1
+""",
+    "op13_merkle_manifest": """
+WITH RECURSIVE f AS (
+  SELECT *, '+' || lang AS lg,
+    coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS a,
+    coalesce(strlen(text) || ':' || text, '-') AS z,
+    xor(4294967295, list_reduce(list_transform(range(1, len(doc_id::VARCHAR)::BIGINT + 1), lambda i: ord(substr(doc_id::VARCHAR, i::BIGINT, 1))::BIGINT),
+      lambda crc, b: list_reduce([1, 1, 1, 1, 1, 1, 1, 1], lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, xor(crc, b)), 4294967295)) % 7 = 0 AS tampered
+  FROM documents),
+d AS (
+  SELECT doc_id, coalesce(lg, '') AS g, sha256(a || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') || z) AS leaf,
+    CASE WHEN tampered THEN sha256(a || coalesce(strlen((n_chars + 1)::VARCHAR) || ':' || (n_chars + 1), '-') || z) END AS other FROM f),
+r AS (
+  SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM d),
+t AS (
+  SELECT 0 AS l, g, n, i, leaf AS h FROM r
+  UNION ALL SELECT l + 1, g, (n + 1) // 2, i // 2, sha256(string_agg(h, '' ORDER BY i)) FROM t WHERE n > 1 GROUP BY l, g, n, i // 2),
+s AS (
+  SELECT g, h AS subroot, row_number() OVER (ORDER BY encode(g)) - 1 AS i, count(*) OVER () AS n FROM t WHERE n = 1),
+u AS (
+  SELECT 0 AS l, n, i, subroot AS h FROM s
+  UNION ALL SELECT l + 1, (n + 1) // 2, i // 2, sha256(string_agg(h, '' ORDER BY i)) FROM u WHERE n > 1 GROUP BY l, n, i // 2),
+p AS (
+  SELECT doc_id, leaf, g, 0 AS l, n, i, coalesce(other, leaf) AS fold, '' AS proof FROM r
+  UNION ALL SELECT p.doc_id, p.leaf, p.g, p.l + 1, (p.n + 1) // 2, p.i // 2,
+    sha256(CASE WHEN t.h IS NULL THEN p.fold WHEN p.i % 2 = 0 THEN p.fold || t.h ELSE t.h || p.fold END), p.proof || coalesce(t.h, '')
+  FROM p LEFT JOIN t ON t.l = p.l AND t.g = p.g AND t.i = xor(p.i, 1) WHERE p.n > 1),
+q AS (
+  SELECT p.doc_id, p.leaf, s.subroot, 0 AS l, s.n, s.i, p.fold, p.proof FROM p JOIN s USING (g) WHERE p.n = 1
+  UNION ALL SELECT q.doc_id, q.leaf, q.subroot, q.l + 1, (q.n + 1) // 2, q.i // 2,
+    sha256(CASE WHEN u.h IS NULL THEN q.fold WHEN q.i % 2 = 0 THEN q.fold || u.h ELSE u.h || q.fold END), q.proof || coalesce(u.h, '')
+  FROM q LEFT JOIN u ON u.l = q.l AND u.i = xor(q.i, 1) WHERE q.n > 1)
+SELECT doc_id, leaf, subroot, (SELECT h FROM u WHERE n = 1) AS root, sha256(proof) AS proof_sha256, fold AS folded_root,
+  fold = (SELECT h FROM u WHERE n = 1) AS verified
+FROM q WHERE n = 1
 """,
 }
