@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from reclink.llm import chat_windows, decontaminate, langid, merkle, mixing, near_dups, secrets, shards, token_files, url_rules, vector_tree
+from reclink.llm import chat_windows, decontaminate, hard_negatives, langid, merkle, mixing, near_dups, secrets, shards, token_files, toxicity, url_rules, vector_tree
 from reclink.llm.common import shared_path, table
 
 
@@ -78,6 +78,19 @@ def op10_byte_shards(spark, sf_dir):
                       F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_hard_negatives(spark, sf_dir):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label=label)
+
+
+def op12_toxicity(spark, sf_dir):
+    docs, labels = (table(spark, sf_dir, t) for t in ("documents", "labels"))
+    learned = lambda df: df.where(~toxicity.held_out(F.col("doc_id")))
+    model = toxicity.train(learned(docs), learned(labels))
+    return toxicity.score(docs, model).select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op13_merkle_manifest(spark, sf_dir):
     fields = ["doc_id", "source", "lang", "n_chars", "text"]
     tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
@@ -88,7 +101,7 @@ def op13_merkle_manifest(spark, sf_dir):
             .withColumn("verified", F.col("folded_root") == F.col("root")))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_pfair_mix, op3_decontaminate, op5_vector_tree, op6_language, op7_chat_windows, op4_url_rules, op8_secret_scan, op9_near_duplicates, op10_byte_shards, op13_merkle_manifest)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_pfair_mix, op3_decontaminate, op5_vector_tree, op6_language, op7_chat_windows, op4_url_rules, op8_secret_scan, op9_near_duplicates, op10_byte_shards, op11_hard_negatives, op12_toxicity, op13_merkle_manifest)}
 
 ORACLE = {
     "op4_url_rules": r"""
@@ -143,5 +156,22 @@ q AS (
 SELECT doc_id, leaf, subroot, (SELECT h FROM u WHERE n = 1) AS root, sha256(proof) AS proof_sha256, fold AS folded_root,
   fold = (SELECT h FROM u WHERE n = 1) AS verified
 FROM q WHERE n = 1
+""",
+    "op11_hard_negatives": """
+WITH e AS (
+  SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id AS id, a.label = c.label AS same, list_dot_product(a.v, c.v)::BIGINT AS score
+  FROM e a JOIN e c ON a.vec_id <> c.vec_id AND len(a.v) = len(c.v) WHERE a.vec_id % 50 = 0),
+p AS (
+  SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+n AS (
+  SELECT p.anchor_id, p.id AS positive_id, s.id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+    row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY s.score DESC, s.id)::INT AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
 """,
 }
