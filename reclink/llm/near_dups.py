@@ -14,23 +14,26 @@ with c keys held by others posts itself only under its first c - least + 1 of th
 
 *Skip merge.*  A posting list of at most ``list_rows`` classes counts collisions of
 its members' signatures in one task and keeps a spanning forest of those with at
-least ``least``.  Longer lists, which only classes made mostly of very frequent
-passages reach, are skipped over: their members are tied to the least one.  Both
-only gather classes into families; that may bring too much together, never too
-little.
+least ``least``.  In a longer list every member counts its collisions with the list's
+least member; the merge then skips over pairs of members that are tied to it, and only
+the others meet the whole list, in groups of bounded size.  The pairs kept gather
+classes into families.
 
 *Confirmation.*  Inside a family the full shingle sets of all pairs not yet
-connected are intersected (a family of up to ``family_shingles`` in one task).  A
-larger family is cut into blocks: first each block by itself, then the classes
-outside the family's largest component so far meet every block of it, again in
-groups of bounded size.  So every link between different texts is found, or its
+connected are intersected (a family of up to ``family_shingles`` and ``family_rows``
+in one task).  A larger family is cut into blocks: first each block by itself, with the
+family's least member beside it, then the classes outside the family's largest
+component so far meet every block of it, again in groups of bounded size.  The texts
+of family members are read once more; a bitmap of their hashed ids (bounded: 16 MB)
+keeps the other texts out of the exchange.  So every link between different texts is found, or its
 ends are connected already, and a family emits a forest, never all its pairs.
 Components come from alternating stars.
 
 Defined cases: null and empty texts and texts of white space have no shingles and
 are linked with nothing; fewer words than ``shingle`` make one shingle of them all;
-rows of one id count as one document; null ids are linked with nothing, their
-component and ``kept`` are null; other columns are ignored.
+rows of one id are one document: what one of its texts is linked with, all are, while
+``n_shingles`` is each row's own and a row without words has its id as component; null
+ids are linked with nothing, their component and ``kept`` are null; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -180,8 +183,27 @@ def _edges_out(rows: list[tuple[int, int]]):
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], names=["u", "v"])
 
 
+def _members_only(texts: DataFrame, families: DataFrame, n: int, most_bits: int = 1 << 27) -> DataFrame:
+    """``texts`` without most rows whose node is in no family, before any exchange.
+
+    A bitmap of hashed nodes, 16 bits for each up to ``most_bits`` (16 MB), is
+    broadcast; it may let rows through that the join then drops, never the reverse.
+    """
+    bits = 1 << 15
+    while bits < min(16 * n, most_bits):
+        bits *= 2
+    place = F.pmod(F.xxhash64("node"), F.lit(bits))
+    bitmap = (families.select(place.alias("p")).groupBy(F.expr("p div 32768").alias("chunk"))
+              .agg(F.bitmap_construct_agg(F.col("p") % 32768).alias("bits")))
+    byte = F.conv(F.hex(F.expr("substring(bits, cast(p % 32768 div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    return (texts.withColumn("p", place).withColumn("at", F.expr("p div 32768"))
+            .join(F.broadcast(bitmap), F.col("at") == F.col("chunk"))
+            .where((byte / F.pow(F.lit(2), F.col("p") % 8)).cast("int") % 2 == 1).select(*texts.columns))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80,
-                    coords: int = 48, least: int = 24, list_rows: int = 400, family_shingles: int = 400_000) -> DataFrame:
+                    coords: int = 48, least: int = 24, list_rows: int = 400, family_shingles: int = 400_000,
+                    family_rows: int = 1000) -> DataFrame:
     """(id_col, n_shingles, component_id, kept) for every row of ``docs``."""
     spark = docs.sparkSession
     n_parts = shuffle_partitions(spark)
@@ -227,42 +249,74 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
               .select("rep", "k.key", "k.held"))
     lists = stored(prefix, "postings")
 
-    # 3. Families: spanning forests of the short lists, stars of the long ones.
+    # 3. Families: spanning forests of the pairs that collide often enough.
     def collide(batches):
         out = []
-        for t in _groups(batches, 1):
+        for t in _groups(batches, 3):
             if t.num_rows < 2:
                 continue
-            rep = t.column("rep").to_numpy()
+            rep, probe = t.column("rep").to_numpy(), np.asarray(t.column("probe"))
             sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(-1, coords)
             forest = _Forest(len(rep))
-            for i in range(len(rep) - 1):
-                same = (sig[i + 1:] == sig[i]).sum(1)
-                for j in (np.flatnonzero(same >= least) + i + 1).tolist():
-                    if forest.join(i, j):
+            for i in np.flatnonzero(probe).tolist():
+                same = (sig == sig[i]).sum(1)
+                for j in np.flatnonzero(same >= least).tolist():
+                    if j != i and forest.join(i, j):
                         out.append((rep[i], rep[j]))
             if len(out) > 50_000:
                 yield _edges_out(out)
                 out = []
         if out:
             yield _edges_out(out)
-    short = (lists.where(F.col("held") <= list_rows).join(classes.select("rep", "sig"), "rep")
-             .select("key", "rep", "sig").repartition(n_parts, "key").sortWithinPartitions("key", "rep"))
-    long = lists.where(F.col("held") > list_rows).select("key", "rep")
-    lead = long.groupBy("key").agg(F.min("rep").alias("lead"))
-    gathered = (short.mapInArrow(collide, "u long, v long")
-                .unionByName(long.join(lead, "key").where("rep <> lead").select(F.col("rep").alias("u"), F.col("lead").alias("v"))))
+
+    def collisions(members: DataFrame) -> DataFrame:
+        key = ["key", "block", "against"]
+        return (members.select(*key, "rep", "probe", "sig").repartition(n_parts, *key)
+                .sortWithinPartitions(*key, "rep").mapInArrow(collide, "u long, v long"))
+    signed = lists.join(classes.select(F.col("rep").alias("crep"), "sig"), F.col("rep") == F.col("crep")).drop("crep")
+    none = F.lit(0)
+    gathered = collisions(signed.where(F.col("held") <= list_rows).withColumn("block", none).withColumn("against", none).withColumn("probe", F.lit(True)))
+    if lists.where(F.col("held") > list_rows).limit(1).count():
+        # Long lists: who collides with the list's least member is tied to it; the others (probes) meet the whole list.
+        parts = F.ceil(F.col("held") / list_rows).cast("int")
+        long = (signed.where(F.col("held") > list_rows).withColumn("parts", parts)
+                .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")))
+        lead = (long.groupBy("key", "parts").agg(F.min(F.struct("rep", "sig")).alias("lead"))
+                .select(F.col("key").alias("lkey"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("lblock"), "lead"))
+
+        def tie(batches):
+            for b in batches:
+                if b.num_rows:
+                    sig, first = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint32).reshape(-1, coords) for c in ("sig", "lsig"))
+                    yield b.append_column("tied", pa.array((sig == first).sum(1) >= least)).drop_columns(["lsig"])
+        long = stored(long.join(lead, (F.col("key") == F.col("lkey")) & (F.col("block") == F.col("lblock")))
+                      .select("key", "block", "parts", "rep", F.col("lead.rep").alias("lrep"), "sig", F.col("lead.sig").alias("lsig"))
+                      .mapInArrow(tie, "key long, block int, parts int, rep long, lrep long, sig binary, tied boolean"), "long-lists")
+        loose = long.where("NOT tied").groupBy("key").agg(F.ceil(F.count("*") / list_rows).cast("int").alias("groups"))
+        long = long.join(loose.withColumnRenamed("key", "gkey"), F.col("key") == F.col("gkey"), "left")
+        again = long.where("groups IS NOT NULL")
+        targets = again.withColumn("against", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).withColumn("probe", F.lit(False))
+        probes = (again.where("NOT tied").withColumn("against", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("groups")).cast("int"))
+                  .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("probe", F.lit(True)))
+        cols = ["key", "block", "against", "rep", "probe", "sig"]
+        gathered = (gathered.unionByName(long.where("tied AND rep <> lrep").select(F.col("rep").alias("u"), F.col("lrep").alias("v")))
+                    .unionByName(collisions(targets.select(*cols).unionByName(probes.select(*cols)))))
     tied = components(gathered)
     members = tied.unionByName(tied.select(F.col("component").alias("node"), "component").distinct())
     members = members.join(classes.select(F.col("rep").alias("node"), "n"), "node")
-    size = members.groupBy("component").agg(F.sum("n").alias("shingles"))
-    families = stored(members.join(size, "component").withColumn("blocks", F.ceil(F.col("shingles") / family_shingles).cast("int"))
-                      .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).drop("shingles"), "families")
+    size = members.groupBy("component").agg(F.sum("n").alias("shingles"), F.count("*").alias("rows"))
+    blocks = F.ceil(F.greatest(F.col("shingles") / family_shingles, F.col("rows") / family_rows)).cast("int")
+    families = stored(members.join(size, "component").withColumn("blocks", blocks)
+                      .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).drop("shingles", "rows"), "families")
 
     # 4. Confirmation on full sets; the texts of family members are read once more.
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
-    many = bool(families.where("blocks > 1").limit(1).count())
-    family_texts = texts.join(families, "node")
+    n_members, many = families.agg(F.count("*"), F.max(F.col("blocks") > 1)).first()
+    repeated = rows.where("n > 0 AND id IS NOT NULL").groupBy("id").count().where("count > 1").select("id")
+    again = bool(repeated.limit(1).count())
+    family_texts = _members_only(texts.where("text <> ''"), families, n_members).join(families, "node")
+    if again:  # the same text twice under one id is read once
+        family_texts = family_texts.withColumn("th", F.xxhash64("text")).dropDuplicates(["node", "component", "th"]).drop("th")
     if many:
         family_texts = stored(family_texts, "family-texts")
 
@@ -273,6 +327,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             probe = np.asarray(t.column("probe"))
             comp = t.column("comp").to_numpy()
             sets = [shingles(x, shingle) for x in t.column("text").to_pylist()]
+            full = np.flatnonzero([len(x) > 0 for x in sets])  # an id of a member may also have a text without words
+            node, probe, comp, sets = node[full], probe[full], comp[full], [sets[i] for i in full]
             forest = _Forest(len(node))
             first = {}
             for i, c in enumerate(comp.tolist()):  # what is connected already
@@ -291,7 +347,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return (members.select(*key, "node", "probe", "comp", "text").repartition(n_parts, *key)
                 .sortWithinPartitions(*key, "node").mapInArrow(confirm, "u long, v long"))
 
-    edges = stored(confirmed(family_texts.select("*", F.lit(0).alias("against"), F.lit(True).alias("probe"), F.col("node").alias("comp"))), "links")
+    own = family_texts.drop("blocks")
+    if many:  # the least member of a family stands beside each of its blocks
+        own = own.unionByName(family_texts.where("blocks > 1 AND node = component").withColumn("own", F.col("block"))
+                              .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("block <> own").drop("own", "blocks"))
+    edges = stored(confirmed(own.select("*", F.lit(0).alias("against"), F.lit(True).alias("probe"), F.col("node").alias("comp"))), "links")
     if many:
         # Large families: whoever is outside the largest component so far (a probe) meets all blocks of the family.
         now = components(edges).select(F.col("node").alias("cnode"), F.col("component").alias("comp"))
@@ -310,10 +370,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                   .drop("block").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
                   .withColumn("probe", F.lit(True)).select(*cols))
         edges = edges.unionByName(confirmed(targets.unionByName(probes)))
-    repeated = rows.where("n > 0 AND id IS NOT NULL").groupBy("id").count().where("count > 1").select("id")
-    by_id = (rows.join(repeated, "id").join(classes.select("hi", "lo", "n", "rep"), ["hi", "lo", "n"]).select("id", "rep").distinct())
-    ids = (by_id.join(by_id.groupBy("id").agg(F.min("rep").alias("v")), "id").where("rep <> v").select(F.col("rep").alias("u"), "v"))
-    final = components(edges.unionByName(ids))
+    if again:
+        by_id = (rows.join(repeated, "id").join(classes.select("hi", "lo", "n", "rep"), ["hi", "lo", "n"]).select("id", "rep").distinct())
+        least_rep = by_id.groupBy(F.col("id").alias("lid")).agg(F.min("rep").alias("v"))
+        edges = edges.unionByName(by_id.join(least_rep, F.col("id") == F.col("lid")).where("rep <> v").select(F.col("rep").alias("u"), "v"))
+    final = components(edges)
 
     labelled = classes.join(final, F.col("rep") == F.col("node"), "left").select(
         F.col("hi").alias("chi"), F.col("lo").alias("clo"), F.col("n").alias("cn"), F.coalesce("component", "rep").alias("component_id"))

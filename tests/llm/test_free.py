@@ -291,7 +291,7 @@ def near_rows(seed):
     return rows
 
 
-@pytest.mark.parametrize("options", [{}, {"list_rows": 10, "family_shingles": 900}, {"list_rows": 1000, "family_shingles": 200}])
+@pytest.mark.parametrize("options", [{}, {"list_rows": 10, "family_shingles": 900}, {"list_rows": 1000, "family_shingles": 200}, {"list_rows": 3, "family_rows": 20}])
 def test_near_duplicates_match_brute_force(spark, options):
     rows = near_rows(3) + [(None, "one two three four five six"), (None, "one two three four five six"), (7, "Extra text of an id seen before, with some more words"),
                            (5000, "extra text of an id seen before, with some more words")]
@@ -309,6 +309,13 @@ def test_near_duplicates_on_the_documents(spark):
     assert got == set(plain_components(rows, 4))
 
 
+def test_near_duplicates_repeated_ids_with_empty_texts(spark):
+    t = "a text that comes back with one more word at its very end now"
+    rows = [(1, t), (2, t + " z"), (2, ""), (2, " "), (2, t + " z"), (2, None), (1, t)]
+    got = near_dups.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=4).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == [(1, 10, 1)] * 2 + [(2, 0, 2)] * 3 + [(2, 11, 1)] * 2
+
+
 def test_near_duplicates_empty(spark):
     assert near_dups.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
@@ -327,6 +334,21 @@ def test_components_of_a_long_path_and_a_star(spark):
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+@pytest.mark.parametrize("forest_edges", [1, 40])
+def test_components_beyond_one_task(spark, forest_edges):
+    rng = random.Random(2)
+    edges = [(rng.randint(0, 150), rng.randint(0, 150)) for _ in range(130)] + [(None, 3), (3, None)]
+    near_, want = {i: {i} for i in range(151)}, {}
+    for a, b in edges:
+        if a is not None and b is not None and near_[a] is not near_[b]:
+            near_[a] |= near_[b]
+            for x in near_[a]:
+                near_[x] = near_[a]
+    want = {i: min(g) for i, g in near_.items() if i != min(g)}
+    got = components(spark.createDataFrame(edges, "u long, v long"), forest_edges=forest_edges).collect()
+    assert {r["node"]: r["component"] for r in got} == want and len(got) == len(want)
+
+
 # --- pipeline
 
 
