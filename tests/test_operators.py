@@ -118,7 +118,7 @@ def test_where_predicate_and_convert(spark):
     assert set(x.sid for x in r.collect()) <= {1, 3, 5}
     d = tempfile.mkdtemp(prefix="reclink-conv-")
     store_mod.convert(df, d + "/s")
-    assert sorted(os.listdir(d + "/s"))[0].startswith("_") or any(x.startswith("dataProvider=") for x in os.listdir(d + "/s"))
+    assert sorted(os.listdir(d + "/s"))[0].startswith("_") or any(x.startswith("by_dataProvider=") for x in os.listdir(d + "/s"))
     back = spark.read.parquet(d + "/s").where(F.col("dataProvider") == "A")
     assert sorted(x.doc_id for x in back.collect()) == [1, 3, 5]
 
