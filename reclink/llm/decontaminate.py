@@ -41,14 +41,18 @@ from reclink.llm.common import let
 
 UNITS = ("km|kg|cm|mm|m|g|mg|l|ml|lb|lbs|oz|ft|in|mi|mph|kmh|hours?|minutes?|seconds?|days?|weeks?|months?|years?|"
          "miles?|meters?|metres?|liters?|litres?|grams?|pounds?|dollars?|euros?|cents?|percent|degrees?")
-_NUMBER = r"\p{N}+(?:[.,]\p{N}+)*"
+# Points and commas that part no digits go first, so that numbers and separators are runs of one
+# class of characters: a regular expression follows those without a stack, however long they are.
+_LOOSE_MARK = r"(?<!\p{N})[.,]|[.,](?!\p{N})"
+_NUMBER = r"\p{N}[\p{N}.,]*"
 _NAME = r"(?<![\p{L}\p{N}&])(\p{Lu}\p{Ll}\p{L}*)"  # not words in capitals only
-_SEPARATORS = r"(?:[^\p{L}\p{N}#@&.,]|(?<!\p{N})[.,]|[.,](?!\p{N}))+"
+_SEPARATORS = r"[^\p{L}\p{N}#@&.,]+"
 
 
 def marked(text: Column) -> Column:
     """The lower-cased text with ``#``, ``@`` and ``&`` in front of numbers, names and units."""
     c = F.translate(F.coalesce(text, F.lit("")), "#@&\u00ad\u200b\ufeff", "   ")  # the marks, and letters that show nothing
+    c = F.regexp_replace(c, _LOOSE_MARK, " ")
     c = F.regexp_replace(c, f"({_NUMBER})", " #$1 ")
     c = F.regexp_replace(c, rf"(?i)(#[\p{{N}}.,]*\p{{N}})[\s\p{{Z}}]+({UNITS})(?![\p{{L}}\p{{N}}])", "$1 &$2")
     c = F.regexp_replace(c, _NAME, "@$1")
