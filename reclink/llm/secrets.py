@@ -35,9 +35,9 @@ KINDS = ("assign", "access", "hex", "markov")  # the order of equal starts
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{24,}"  # the maximal runs of at least 24
-# Runs of letters with up to four digits between or after them, and lines drawn with symbols
-ORDINARY = (r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_=-]{6})(?:[A-Za-z_/-]{2,}(?:[0-9]{1,4}[A-Za-z_/-]{2,})*[0-9]{0,4}|[+/_=-]+)"
-            r"(?![A-Za-z0-9+/_=-])")
+# Whole runs of these characters; ``ordinary`` judges them by patterns that repeat single classes only,
+# which a regular expression follows without a stack, however long a run is.
+RUN = r"[A-Za-z0-9+/_=-]{6,}"
 SPAN = "struct<start:bigint,kind:int,end:bigint,value:string>"
 
 _ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
@@ -73,6 +73,12 @@ def base_spans(text: Column) -> Column:
                                  _spans(text, HEX, "hex")))
 
 
+def ordinary(run: Column) -> Column:
+    """Runs of at least two letters (or ``_/-``) with up to four digits between or after them, and lines drawn with symbols."""
+    likes = lambda p: F.regexp_like(run, F.lit(p))
+    return likes("^[+/_=-]+$") | ~(likes("[+=]") | likes("^[0-9]") | likes("[0-9]{5}") | likes("(?:^|[0-9])[A-Za-z_/-](?:[0-9]|$)"))
+
+
 def _outside(spans: Column, base: Column) -> Column:
     return F.filter(spans, lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
 
@@ -84,7 +90,7 @@ def labelled_samples(docs: DataFrame, text_col: str = "text", min_len: int = 20)
     base = f"{ASSIGN}|{ACCESS}|{HEX}"
     pos = (text.where(F.regexp_like("t", F.lit(base))).select(F.explode(F.transform(base_spans(F.col("t")), lambda s: s["value"])).alias("value"), F.lit(1).alias("label"))
            .where(F.length("value") >= min_len))
-    neg = text.select(F.explode(F.regexp_extract_all(F.regexp_replace("t", base, " "), F.lit(ORDINARY), F.lit(0))).alias("value"), F.lit(0).alias("label"))
+    neg = text.select(F.explode(F.filter(F.regexp_extract_all(F.regexp_replace("t", base, " "), F.lit(RUN), F.lit(0)), ordinary)).alias("value"), F.lit(0).alias("label"))
     return pos.unionByName(neg)
 
 
