@@ -27,7 +27,9 @@ from __future__ import annotations
 import json
 import os
 import re
+import unicodedata
 import uuid
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +41,13 @@ from reclink.llm.common import shuffle_partitions, stored
 
 _CHUNK = 1 << 18  # characters given to the encoder at once
 _CACHE = 800_000  # words remembered by a worker
-_STOP = re.compile(r"(?<=[^\W\d_])([.,])(?=[ \n]|$)")
+
+
+@lru_cache(maxsize=1)
+def _stop():
+    """A point or comma after a letter and before a space, unless the letter ends in a mark when normalised (NFC, lower case)."""
+    marked = "".join(c for c in map(chr, range(0x110000)) if c.isalpha() and not unicodedata.normalize("NFC", c).lower()[-1].isalpha())
+    return re.compile(rf"(?<=[^\W\d_{marked}])([.,])(?=[ \n]|$)")
 
 
 def filesystem(uri: str):
@@ -54,8 +62,8 @@ class Encoder:
     ``words=True`` is for vocabularies whose pre-tokenizer drops white space, keeps
     a run of letters together and parts it from punctuation, so that no token spans
     two of them.  Then words are encoded once and remembered (up to a bounded
-    number), which gives the same ids: a point or comma after a letter and before a
-    space is set apart; new words of letters only are encoded many in one string and
+    number), which gives the same ids: a point or comma after a letter (one that
+    stays a letter when normalised) and before a space is set apart; new words of letters only are encoded many in one string and
     told apart by the end-of-word mark of the vocabulary, if it has one.
     """
 
@@ -100,7 +108,8 @@ class Encoder:
                     out += self._encode(group)
                     group, size = [], 0
             return out + (self._encode(group) if group else [])
-        split = [_STOP.sub(r" \1", t).replace("\n", " ").split(" ") for t in texts]
+        stop = _stop()
+        split = [stop.sub(r" \1", t).replace("\n", " ").split(" ") for t in texts]
         if len(self.known) > _CACHE:
             self.known = {"": b""}
         self._learn(list(set().union(*split).difference(self.known)))
