@@ -15,10 +15,10 @@ double precision, so that equal vectors get equal scores; equal vectors are put
 together before the cut to k, which makes ties exact whatever their number.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite
-components take no part, nor do rows without an id or of another length than most;
-rows of one id count as one document, with the best of their scores; with fewer
-than k candidates all are returned; an empty table gives no rows; other columns
-are ignored.
+components take no part, nor do rows without an id; vectors of each length are
+searched by themselves; rows of one id count as one document, with the best of their
+scores, however many they are; with fewer than k candidates all are returned; an empty
+table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -135,26 +135,31 @@ def _best(ids: np.ndarray, x: np.ndarray, qid: np.ndarray, q: np.ndarray, k: int
     """(query position, id, score) of the k best per query among rows x, ties by id.
 
     ``keep``: which (row, query) pairs count.  Equal rows are one while scoring; of
-    their ids the k + 1 smallest are enough (one may be the query itself).
+    their ids the k + 1 smallest are enough (one may be the query itself).  An id
+    with several different rows counts once, so the cut leaves room for all of them.
     """
     order = np.argsort(ids, kind="stable")
     ids, x = ids[order], x[order]
     flat = np.ascontiguousarray(x).view([("", x.dtype)] * x.shape[1]).ravel()
     _, first, group = np.unique(flat, return_index=True, return_inverse=True)
-    members = np.argsort(group, kind="stable")
+    members = np.lexsort((ids, group))
+    members = members[np.concatenate([[True], (np.diff(group[members]) != 0) | (np.diff(ids[members]) != 0)])] if len(ids) else members
     starts = np.searchsorted(group[members], np.arange(len(first) + 1))
+    rows_of_id = int(np.unique(ids[members], return_counts=True)[1].max()) if len(members) else 1
     u = x[first]
     s = _unit(q) @ _unit(u).T
     for i in range(len(q)):
         row = s[i] if keep is None else np.where(keep[i][order][first], s[i], -np.inf)
-        n = min(len(row), k + 1)
+        n = min(len(row), (k + 1) * rows_of_id)
         cut = np.partition(row, len(row) - n)[len(row) - n] - _TOL
         cand = np.flatnonzero((row >= cut) & (row > -np.inf))
         exact = cosines(u[cand], np.repeat(q[i:i + 1], len(cand), 0))
-        found = []
+        found = {}
         for c, score in zip(cand, exact):
-            found += [(-score, ids[m]) for m in members[starts[c]:starts[c + 1]][:k + 1] if ids[m] != qid[i]]
-        for score, vid in sorted(found)[:k]:
+            for m in members[starts[c]:starts[c + 1]][:(k + 1) * rows_of_id]:
+                if ids[m] != qid[i]:
+                    found[ids[m]] = max(score, found.get(ids[m], -2.0))
+        for score, vid in sorted((-s, v) for v, s in found.items())[:k]:
             yield i, vid, -score
 
 
@@ -165,13 +170,25 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_
     spark = vectors.sparkSession
     base = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"),
                           F.coalesce(is_query, F.lit(False)).alias("q")).where(F.col("id").isNotNull()).where(usable(F.col("v")))
-    sizes = base.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    out_schema = "query_id long, rank int, vec_id long, score double"
-    if not sizes:
-        return spark.createDataFrame([], out_schema)
-    dim, n = sizes[0]["d"], sizes[0]["count"]
-    base = base.where(F.size("v") == dim)
+    sizes = (base.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.max("q").alias("asked")).where("asked")
+             .orderBy("d").collect())  # one row per vector length
+    found = [_search_length(base.where(F.size("v") == r["d"]), r["d"], r["n"], k, recall, leaf_rows, max_leaves, sample_rows, calibrate, cell_rows, block)
+             for r in sizes]
+    if not found:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    last = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return (out.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+            .withColumn("rank", F.row_number().over(last)).where(F.col("rank") <= k)
+            .select("query_id", "rank", "vec_id", "score"))
+
 
+def _search_length(base: DataFrame, dim: int, n: int, k: int, recall: float, leaf_rows: int, max_leaves: int, sample_rows: int,
+                   calibrate: int, cell_rows: int, block: int) -> DataFrame:
+    """(query_id, vec_id, score) of the nearest found in each cell, for vectors (id, v, q) of one length."""
+    spark = base.sparkSession
     # Fit on a bounded sample, by hash.
     leaves = int(min(max_leaves, max(1, n // leaf_rows)))
     want = min(n, sample_rows, 64 * leaves)
@@ -190,8 +207,6 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_
 
     # Calibration: exact neighbours of some queries, and how far down their lists the leaves lie.
     some = (indexed.where("q").orderBy(F.xxhash64("id"), "id").limit(calibrate).select("id", "v").toArrow())
-    if not some.num_rows:
-        return spark.createDataFrame([], out_schema)
     sq, sid = _matrix(some.column("v").combine_chunks(), dim), some.column("id").to_numpy()
 
     def exact(batches):
@@ -280,9 +295,5 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_
     salts = max(1, -(-n_queries // (16 * cell_rows)))
     asked = asked.withColumn("salt", F.pmod(F.xxhash64("qid"), F.lit(salts)).cast("int"))
     side = side.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    scored = side.groupBy("cell", "salt").cogroup(asked.groupBy("cell", "salt")).applyInArrow(
+    return side.groupBy("cell", "salt").cogroup(asked.groupBy("cell", "salt")).applyInArrow(
         lambda l, r: score(l, r), "query_id long, vec_id long, score double")
-    last = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return (scored.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-            .withColumn("rank", F.row_number().over(last)).where(F.col("rank") <= k)
-            .select("query_id", "rank", "vec_id", "score"))
