@@ -49,13 +49,17 @@ FAMILIES = {
     "koreanic": "ko",
 }
 _FAMILY = {code: name for name, codes in FAMILIES.items() for code in codes.split()}
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTERS = re.compile(r"[^\W\d_]+")  # also numerals such as a half, which are no letters
 
 
 def family(lang: str) -> str:
     return _FAMILY.get(lang.lower().split("-")[0].split("_")[0], lang)
 
 
+def has_letter(text: str | None) -> bool:
+    return any(any(map(str.isalpha, m[0])) for m in _LETTERS.finditer(text or ""))
+
+
 def features(text: str) -> np.ndarray:
     """Unit vector of square-rooted hashed n-gram counts; zero for an empty text."""
     counts = np.zeros(DIM)
@@ -192,7 +196,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             texts = batch.column(0).field(at_text).to_pylist()
             lang, score = ["und"] * len(texts), [0.0] * len(texts)
             for a in range(0, len(texts), 512):
-                at = [i for i in range(a, min(a + 512, len(texts))) if texts[i] and _LETTER.search(texts[i])]
+                at = [i for i in range(a, min(a + 512, len(texts))) if has_letter(texts[i])]
                 if at:
                     p, s = m.predict(np.stack([features(texts[i]) for i in at]))
                     for i, x, y in zip(at, p, s):
