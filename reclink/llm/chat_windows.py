@@ -13,7 +13,9 @@ task holds.  A window holds the conversation's system turn (if its first turn is
 one), as many of the last turns before it as fit ``history_tokens``, and the
 longest run of new turns that keeps it within ``budget``.  Only assistant texts of
 *new* turns are in the loss mask, so each is trained on once; repeated ones are
-masked.  A single turn over the budget gets a window of its own, whole.
+masked.  A single turn over the budget gets a window of its own, whole.  A system turn
+of more than ``system_share`` of the budget stands once, whole, with the first new turns
+if they fit, and is not repeated: later windows would hold little else.
 
 Defined cases: null role and text count as empty; null turns sort first, equal
 turns by role and text; repeated rows are turns each; null conversation ids form
@@ -65,9 +67,9 @@ WINDOW = ("conv_id long, segment long, window int, text string, n_tokens long, n
           "over_budget boolean, loss array<struct<start:int,end:int>>")
 
 
-def _pack(rows: list[dict], budget: int, history: int) -> list[dict]:
+def _pack(rows: list[dict], budget: int, history: int, system_share: float = 0.5) -> list[dict]:
     """Windows of one segment; rows (system copy, history, new turns) are in order."""
-    system = next((r for r in rows if r["kind"] == "system" or r["rank"] == 0 and r["role"] == "system"), None)
+    system = next((r for r in rows if (r["kind"] == "system" or r["rank"] == 0 and r["role"] == "system") and r["tokens"] <= system_share * budget), None)
     turns = [r for r in rows if r["kind"] != "system"]
     first = next((i for i, r in enumerate(turns) if r["kind"] == "new"), len(turns))
     sums = [0]
@@ -105,7 +107,7 @@ def _pack(rows: list[dict], budget: int, history: int) -> list[dict]:
 
 
 def format_windows(turns: DataFrame, tokenizer: str, budget: int = 1024, history_tokens: int = 256,
-                   segment_tokens: int | None = None, words: bool = False) -> DataFrame:
+                   segment_tokens: int | None = None, words: bool = False, system_share: float = 0.5) -> DataFrame:
     """conversations (conv_id, turn, role, text) -> one row per window (see WINDOW).
 
     ``new_at`` is the code point where new turns begin, ``loss`` the code point
@@ -127,7 +129,8 @@ def format_windows(turns: DataFrame, tokenizer: str, budget: int = 1024, history
     key = ["conv", "turn", "role", "th", "nth"]
     counted = (base.mapInArrow(count, "conv long, turn long, role string, text string, tokens long")
                .withColumn("th", F.xxhash64("text")).withColumn("nth", F.monotonically_increasing_id()))
-    placed = stored(counted.repartitionByRange(shuffle_partitions(spark), *key)
+    # The range partitioning samples its input first; from a table, that costs no second pass of the tokenizer.
+    placed = stored(stored(counted, "turn-tokens").repartitionByRange(shuffle_partitions(spark), *key)
                     .withColumn("part", F.spark_partition_id()), "turns")
     # Two-level prefix sums: inside (part, conversation), then over the parts of a conversation.
     inside = Window.partitionBy("part", "conv").orderBy("conv", "turn", "role", "th", "nth")
@@ -146,7 +149,7 @@ def format_windows(turns: DataFrame, tokenizer: str, budget: int = 1024, history
     # A row also goes to the next segment as history, a system turn to all later ones.
     copy = lambda kind, seg: F.struct(F.lit(kind).alias("kind"), seg.alias("segment"))
     last = F.expr(f"total div {segment}")
-    is_system = (F.col("rank") == 0) & (F.col("role") == "system")
+    is_system = (F.col("rank") == 0) & (F.col("role") == "system") & (F.col("tokens") <= system_share * budget)
     none = F.array().cast("array<struct<kind:string,segment:bigint>>")
     copies = F.concat(
         F.array(copy("new", F.col("segment"))),
@@ -164,7 +167,7 @@ def format_windows(turns: DataFrame, tokenizer: str, budget: int = 1024, history
                             ("loss", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
         held, size = [], 0
         for (conv, seg), group in grouped(batches, ["conv", "segment"]):
-            for w in _pack(group, budget, history_tokens):
+            for w in _pack(group, budget, history_tokens, system_share):
                 held.append({"conv_id": conv, "segment": seg} | w)
                 size += len(w["text"])
             if size > 1 << 22:
