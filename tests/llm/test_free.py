@@ -38,6 +38,16 @@ def test_token_files_round_trip(spark, tmp_path, words):
     assert collections.Counter((r["doc_id"], bytes(r["ids"])) for r in got) == want
 
 
+def test_words_encoded_alone_give_the_ids_of_whole_texts():
+    """Every code point before and after a point and a comma."""
+    with open(queries.tokenizer_file(), encoding="utf-8") as f:
+        spec = f.read()
+    fast, whole = token_files.Encoder(spec, True, "<u4"), token_files.Encoder(spec, False, "<u4")
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and chr(c).isprintable() or c in (9, 10, 0x307, 0x300)]
+    texts = ["".join(f"a{chr(c)}. b{chr(c)}, {chr(c)}.\n" for c in points[a:a + 500]) + f"z{chr(points[a])}." for a in range(0, len(points), 500)]
+    assert fast.encode(texts) == whole.encode(texts)
+
+
 def test_token_files_empty(spark, tmp_path):
     out = str(tmp_path / "none")
     token_files.write_tokens(spark.createDataFrame([], "doc_id long, text string"), out, queries.tokenizer_file())
@@ -53,16 +63,21 @@ def test_token_files_wide_ids(spark, tmp_path):
 # --- mixing
 
 
-def test_schedule_is_pfair():
-    weights = {"a": 0.5, "b": 0.31, "c": 0.1, None: 0.09}
-    parts = mixing.shares(weights, 1000)
-    assert sum(parts.values()) == 1000
-    seen = collections.Counter()
-    for s, k, slot, release, deadline in mixing.schedule(parts, 1000):
-        assert release <= slot < deadline and k == seen[s]
+def check_pfair(weights, slots):
+    total, seen = sum(weights.values()), collections.Counter()
+    for n, (s, k, slot, release, deadline) in enumerate(mixing.schedule(weights, slots)):
+        assert n == slot and release <= slot < deadline and k == seen[s]
         seen[s] += 1
-        assert all(abs(seen[x] - p * (slot + 1) / 1000) < 1 for x, p in parts.items())
-    assert seen == parts
+        if slot % 7 == 0 or slot > slots - 100:
+            assert all(abs(seen[x] - w / total * (slot + 1)) < 1 for x, w in weights.items())
+    assert sum(seen.values()) == slots
+
+
+def test_schedule_is_pfair_for_the_given_weights():
+    check_pfair({"a": 0.5, "b": 0.31, "c": 0.1, None: 0.09}, 3000)
+    check_pfair(mixing.temper({"a": 700_000, "b": 200_000, "c": 99_000, "d": 900, "e": 100}, 0.8), 1_000_000)
+    check_pfair(mixing.temper({i: random.Random(i).randint(1, 10 ** 6) for i in range(60)}, 0.7), 20_000)
+    assert list(mixing.schedule({}, 0)) == []
 
 
 def test_mix_places_every_row(spark):
@@ -70,15 +85,17 @@ def test_mix_places_every_row(spark):
     rows = [(i, f"t{i}", "hot" if i % 3 == 0 else rng.choice(["a", "b", None]), -1) for i in range(2000)] + [(None, None, "a", -1)] * 3
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, slot int")
     weights = mixing.temper(mixing.source_counts(df), 0.5)
-    got = mixing.mix(df, weights, block_docs=8, period=500, bucket_rows=100).collect()
+    got = mixing.mix(df, weights, max_blocks=700, bucket_rows=100).collect()
+    size = 1 + max(r["pos"] for r in got if r["slot"] == 0)  # documents a block, chosen for 700 blocks
+    assert size > 1
     assert sorted(r["pos"] for r in got) == list(range(len(got)))
     assert {(r["row"]["doc_id"], r["row"]["text"]) for r in got} == {(r[0], r[1]) for r in rows}
-    assert all(r["release"] <= r["slot"] < r["deadline"] and r["pos"] // 8 == r["slot"] for r in got)
+    assert all(r["release"] <= r["slot"] < r["deadline"] and r["pos"] // size == r["slot"] for r in got)
     by_slot = {r["slot"]: r["source"] for r in got}
-    seen, parts = collections.Counter(), mixing.shares(weights, 500)
+    seen = collections.Counter()
     for t in range(max(by_slot) + 1):
         seen[by_slot[t]] += 1
-        assert all(abs(seen[s] - p * (t + 1) / 500) < 1 for s, p in parts.items())
+        assert all(abs(seen[s] - w * (t + 1)) < 1 for s, w in weights.items())
     times = collections.Counter((r["source"], r["row"]["doc_id"], r["row"]["text"], r["epoch"]) for r in got)
     assert max(v for k, v in times.items() if k[1] is not None) == 1
 
@@ -88,6 +105,8 @@ def test_mix_empty_and_missing_weight(spark):
     assert mixing.mix(df.limit(0), {}).count() == 0
     with pytest.raises(ValueError):
         mixing.mix(df, {"other": 1.0})
+    with pytest.raises(ValueError):
+        mixing.mix(df.union(df.withColumn("source", F.lit("t"))), {"s": 1.0, "t": 1e-12})
 
 
 # --- vectors
@@ -126,6 +145,24 @@ def test_vectors_odd_rows_and_ties(spark):
         assert [x[0] for x in got[q]] == [x[0] for x in want[q]] and np.allclose([x[1] for x in got[q]], [x[1] for x in want[q]], atol=1e-15)
 
 
+def test_vectors_repeated_ids_and_lengths(spark):
+    rng = np.random.RandomState(1)
+    vec = lambda n=4: rng.randn(n).astype("float32").tolist()
+    same = vec()
+    rows = [(1, same)] * 8 + [(50, same)] + [(i, vec()) for i in range(2, 8)]  # equal rows of one id
+    rows += [(9, [x * (1 + 0.01 * j) for x in same[:3]] + [same[3] + 0.001 * j]) for j in range(9)]  # many different rows of one id
+    rows += [(100, vec(2)), (101, vec(2)), (102, vec(2)), (150, vec(3))]  # other lengths
+    got, want = run_search(spark, rows, recall=1.0), {q: w for q, w in plain_search_by_length(rows, 5).items() if w}
+    assert {q: [x[0] for x in r] for q, r in got.items()} == {q: [x[0] for x in r] for q, r in want.items()}
+
+
+def plain_search_by_length(rows, k):
+    out = {}
+    for n in {len(v) for _, v in rows}:
+        out |= plain_search([r for r in rows if len(r[1]) == n], k)
+    return out
+
+
 def test_vectors_few_rows(spark):
     assert run_search(spark, [(0, [1.0, 0.0])]) == {}
     got = run_search(spark, [(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [2.0, 2.0])])
@@ -178,6 +215,36 @@ def test_language_of_copies_is_learned(spark, monkeypatch):
     assert seen == [{"de": 5, "en": 40}]
 
 
+def test_numerals_are_no_letters(spark):
+    assert not any(map(langid.has_letter, [None, "", "½ ² Ⅷ ③ 12 _", "-" * 100_000])) and langid.has_letter("½é")
+    model = langid.Model(np.stack([langid.features("the cat")]), ["en"])
+    got = langid.predict(spark.createDataFrame([(1, "½ ² Ⅷ"), (2, "a")], "doc_id long, text string"), model).collect()
+    assert [(r["lang_pred"], r["score"] > 0) for r in got] == [("und", False), ("en", True)]
+
+
+def test_svm_and_votes_equal_plain_python():
+    """The weights meet the dual's optimality conditions, and a prediction is the vote over all pairs."""
+    rng = np.random.RandomState(0)
+    x, y = rng.randn(60, 5), np.where(rng.rand(60) < 0.4, 1, -1)
+    x[y > 0] += 1.0
+    w, c = langid.svm(x, y, passes=3000), 10.0
+    xb = np.hstack([x, np.ones((60, 1))])
+    cap = np.where(y > 0, c * 60 / (2 * (y > 0).sum()), c * 60 / (2 * (y < 0).sum()))
+    value = lambda v: 0.5 * v @ v + (cap * np.maximum(0, 1 - y * (xb @ v))).sum()
+    assert all(value(w) <= value(w + 0.02 * rng.randn(6)) + 1e-6 for _ in range(300))
+    langs = ["en", "de", "nl", "fr", "es"]
+    texts = [(lang, " ".join(random.Random(f"{lang}{i}").choices([lang * 2, lang + "x", "common"], k=12))) for lang in langs for i in range(6)]
+    f = np.stack([langid.features(t) for _, t in texts])
+    model = langid.Model(f, [lang for lang, _ in texts])
+    got, _ = model.predict(f)
+    for v, g in zip(np.hstack([f, np.ones((len(f), 1), f.dtype)]), got):
+        fam = max(model.over, key=lambda k: v @ model.over[k])
+        group = model.families[fam]
+        wins = {a: (sum((v @ model.pairs[a, b] > 0) if (a, b) in model.pairs else (v @ model.pairs[b, a] <= 0) for b in group if b != a),
+                    sum(v @ model.pairs[a, b] if (a, b) in model.pairs else -(v @ model.pairs[b, a]) for b in group if b != a)) for a in group}
+        assert g == max(wins, key=wins.get)
+
+
 def test_language_features_by_chunks(monkeypatch):
     text = "".join(random.Random(1).choices("abcdé ", k=1000))
     whole = langid.features(text)
@@ -229,10 +296,20 @@ def test_windows_read_back(spark, budget, history, segment):
         assert w["n_tokens"] <= budget or w["over_budget"]
         if w["over_budget"]:  # only a turn that doesn't fit by itself, with nothing but the system turn before it
             assert w["n_new"] == 1 and len(turns) <= 2
-        if w["conv_id"] and w["conv_id"] % 2 and w["conv_id"] < 8:
+        if w["conv_id"] and w["conv_id"] % 2 and w["conv_id"] < 8 and budget > 10:
             assert turns[0] == ("system", "be kind")
 
 
+def test_a_long_system_turn_stands_once(spark):
+    rows = [(1, 0, "system", "rule " * 3000)] + [(1, t, "user" if t % 2 else "assistant", f"turn {t}") for t in range(1, 41)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    windows = chat_windows.format_windows(df, queries.tokenizer_file(), budget=64, history_tokens=16, segment_tokens=200)
+    got = windows.collect()
+    assert sum(w["over_budget"] for w in got) == 1 and sum(len(w["text"]) for w in got) < 2 * sum(len(r[3]) for r in rows)
+    r = chat_windows.digests(windows).first()
+    assert (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) == plain_digests(rows)[1]
+
+
 def test_windows_repeats_and_empty(spark):
     rows = [(1, 0, "user", "same")] * 5 + [(1, 1, "assistant", "yes")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
@@ -313,7 +390,7 @@ def test_near_duplicates_repeated_ids_with_empty_texts(spark):
     t = "a text that comes back with one more word at its very end now"
     rows = [(1, t), (2, t + " z"), (2, ""), (2, " "), (2, t + " z"), (2, None), (1, t)]
     got = near_dups.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=4).collect()
-    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == [(1, 10, 1)] * 2 + [(2, 0, 2)] * 3 + [(2, 11, 1)] * 2
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == [(1, 11, 1)] * 2 + [(2, 0, 2)] * 3 + [(2, 12, 1)] * 2
 
 
 def test_near_duplicates_empty(spark):

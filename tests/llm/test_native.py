@@ -270,3 +270,30 @@ def test_window_hashes_name_windows(spark, window):
     got = spark.createDataFrame([(toks,)], "t array<string>").select(decontaminate.window_hashes(F.col("t"), window)).first()[0]
     runs = [tuple(toks[i:i + window]) for i in range(200 - window + 1)]
     assert len(got) == len(runs) and len(set(zip(runs, got))) == len(set(runs)) == len(set(got))
+
+
+# --- texts of one long run: a regular expression must not use the stack for them
+
+LONG = ["-" * 1_000_000, " " * 1_000_000, "1," * 500_000, "xy1" * 300_000, "1.,a" * 200_000, "a-" * 400_000, "ab1" * 13_000 + " Ab 1.5 km " * 3000, "é9" * 200_000]
+
+
+def test_long_runs_pass_through_decontamination(spark):
+    item = "Then Ann buys 3 apples and 4 pears at the old market near the river before noon"
+    rows = [(i, t) for i, t in enumerate(LONG)] + [(99, LONG[0] + " " + item + " " + LONG[2])]
+    got = decontaminate.find_leaks(docs(spark, rows), docs(spark, [(7, item)], "item_id long, text string")).collect()
+    assert [(r["doc_id"], r["item_id"]) for r in got] == [(99, 7)]
+
+
+def test_long_runs_pass_through_secret_scans(spark):
+    rows = [(i, t) for i, t in enumerate(LONG)] + [(99, LONG[1] + "password = hunter2hunter2" + LONG[1])]
+    df = docs(spark, rows)
+    got = {r["doc_id"]: r for r in secrets.scan(df, secrets.train(secrets.labelled_samples(df))).collect()}
+    assert len(got) == len(rows) and [(s["start"], s["end"]) for s in got[99]["base"]] == [(1_000_000, 1_000_025)]
+
+
+def test_ordinary_runs_are_those_of_one_pattern(spark):
+    rng = random.Random(3)
+    values = ["".join(rng.choices("ab1_-/+=9Z", k=rng.randint(6, 14))) for _ in range(4000)] + ["---===", "abc123", "a1b2c3", "ab12345", "ab1234", "1abcde", "abcdef+"]
+    one = re.compile(r"(?:[A-Za-z_/-]{2,}(?:[0-9]{1,4}[A-Za-z_/-]{2,})*[0-9]{0,4}|[+/_=-]+)")
+    got = spark.createDataFrame([(v,) for v in values], "v string").select("v", secrets.ordinary(F.col("v")).alias("o")).collect()
+    assert {r["v"]: r["o"] for r in got} == {v: one.fullmatch(v) is not None for v in values}
