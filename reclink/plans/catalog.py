@@ -551,6 +551,7 @@ def page_audit(spark, sf):
 # ---------------------------------------------------------------- approximate kNN and topic models
 # (no SQL oracle: iterative / randomised fits; covered by tests against brute force)
 
+from reclink.operators import lda  # noqa: E402
 from reclink.operators import topics as tp  # noqa: E402
 from reclink.operators.knn import knn_lsh  # noqa: E402
 
@@ -578,15 +579,10 @@ def _retrieval_rates(vecs, ks):
     return ev.hit_rate(fr, ks).select("k", "n_queries", "hits", F.round("hit_rate", 6).alias("hit_rate"))
 
 
-def _spread(df):
-    """Over all cores: inference costs far more per document than moving it."""
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
-
-
 @register("lda_topics")
 def lda_topics(spark, sf):
-    docs = _spread(_token_docs(spark, sf))
-    tv = tp.topic_vectors(docs, tp.fit_lda(docs))
+    docs = _token_docs(spark, sf)
+    tv = lda.topic_vectors(docs, lda.fit(docs, tp.dictionary(docs), tp.LDA_TOPICS, seed=tp.LDA_SEED))
     return tv.select(F.col("id").alias("doc_id"), F.array_position(
         tv.vec, F.array_max("vec")).cast("int").alias("top_topic"))
 
@@ -598,11 +594,11 @@ def _held_out(c="id"):
 @register("lda_retrieval")
 def lda_retrieval(spark, sf):
     """Documents the model has not seen go through its dictionary and query those it has."""
-    docs = _spread(_token_docs(spark, sf))
+    docs = _token_docs(spark, sf)
     known, new = docs.where(~_held_out()), docs.where(_held_out())
-    model = tp.fit_lda(known)
-    store = tp.topic_vectors(known, model).select("id", "vec", F.col("truth").alias("s_truth"))
-    qv = tp.topic_vectors(new, model, terms=tp.dictionary(known)).select("id", "vec", F.col("truth").alias("q_truth"))
+    model = lda.fit(known, tp.dictionary(known), tp.LDA_TOPICS, seed=tp.LDA_SEED)
+    store = lda.topic_vectors(known, model).select("id", "vec", F.col("truth").alias("s_truth"))
+    qv = lda.topic_vectors(new, model).select("id", "vec", F.col("truth").alias("q_truth"))
     r = knn_join(qv, store, max(ev.K_GRID_LONG), q_carry=("q_truth",), s_carry=("s_truth",))
     fr = ev.first_hit_rank(r, new.select(F.col("id").alias("qid")), F.col("q_truth") == F.col("s_truth"))
     return ev.hit_rate(fr, ev.K_GRID_LONG).select("k", "n_queries", "hits", F.round("hit_rate", 6).alias("hit_rate"))
