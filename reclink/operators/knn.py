@@ -361,3 +361,98 @@ def knn_lsh(queries: DataFrame, store: DataFrame, k: int, *, dim: int, q_id: str
     local = qg.groupBy(*keys).cogroup(sg.groupBy(*keys)).applyInPandas(fn, schema)
     # a pair can repeat across tables, so the merge always de-duplicates
     return merge_topk(local, k, decimals, dedup=True)
+
+
+def _by_margin(tables: list, vecs: pd.Series) -> tuple:
+    """Per row the buckets of all tables in the order they are probed: (table, bucket) arrays.
+
+    A bucket costs the squared margins of the signs it turns (zero for the row's
+    own), so the ones a near neighbour most likely fell into come first.
+    """
+    planes = np.array(tables, dtype=np.float64)
+    bits = planes.shape[1]
+    dots = np.einsum("nd,tbd->ntb", _stack(vecs), planes)
+    place = 1 << np.arange(bits)
+    codes = np.arange(1 << bits)
+    cost = np.empty((len(dots), len(planes), len(codes)))
+    for t in range(len(planes)):
+        own = ((dots[:, t] > 0) * place).sum(axis=1)
+        turned = ((own[:, None] ^ codes[None, :])[:, :, None] & place) > 0
+        cost[:, t] = np.einsum("ncb,nb->nc", turned, dots[:, t] ** 2)
+    order = np.argsort(cost.reshape(len(dots), -1), axis=1, kind="stable")
+    return order // len(codes), order % len(codes)
+
+
+# rows whose probing order is worked out at once (64 tables of buckets stay under 32 MiB)
+_PROBE_ROWS = 512
+
+
+def _probed(planes: list, probes: int):
+    """Column function: the first ``probes`` (table, bucket) pairs of a vector."""
+    @F.pandas_udf("array<struct<_table:int,_bucket:int>>")
+    def probe(vecs: pd.Series) -> pd.Series:
+        out = []
+        for a in range(0, len(vecs), _PROBE_ROWS):
+            table, bucket = _by_margin(planes, vecs.iloc[a:a + _PROBE_ROWS])
+            out += [[{"_table": int(x), "_bucket": int(y)} for x, y in zip(t[:probes], b[:probes])]
+                    for t, b in zip(table, bucket)]
+        return pd.Series(out, dtype=object)
+    return probe
+
+
+def calibrate_probes(queries: DataFrame, store: DataFrame, k: int, planes: list, *, q_id: str = "id", q_vec: str = "vec",
+                     s_id: str = "id", s_vec: str = "vec", exclude_self: bool = False, recall: float = 0.95,
+                     sample: int = 128) -> int:
+    """How many buckets a query must probe for ``recall``, measured on exact neighbours.
+
+    The exact k nearest stored vectors of ``sample`` queries (drawn by the hash of
+    the id) are found by ``knn_join``.  A neighbour is found at the first place of the
+    query's probing order that holds one of its buckets; the count is the
+    ``recall`` quantile of those places.  The driver gets ``sample * k`` small numbers.
+    """
+    some = queries.orderBy(F.xxhash64(q_id), q_id).limit(sample).select(F.col(q_id).alias("id"), F.col(q_vec).alias("vec"))
+    exact = knn_join(some, store.select(F.col(s_id).alias("id"), F.col(s_vec).alias("vec"),
+                                        lsh_buckets(F.col(s_vec), planes).alias("_buckets")), k,
+                     exclude_self=exclude_self, s_carry=("_buckets",), n_queries=sample)
+
+    @F.pandas_udf("int")
+    def place(vecs: pd.Series, buckets: pd.Series) -> pd.Series:
+        out = []
+        for a in range(0, len(vecs), _PROBE_ROWS):
+            table, bucket = _by_margin(planes, vecs.iloc[a:a + _PROBE_ROWS])
+            mine = np.stack(buckets.iloc[a:a + _PROBE_ROWS].to_numpy())
+            out.append((np.take_along_axis(mine, table, axis=1) == bucket).argmax(axis=1) + 1)
+        return pd.Series(np.concatenate(out) if out else [], dtype="int32")
+
+    places = sorted(r[0] for r in exact.join(F.broadcast(some.withColumnRenamed("id", "qid")), "qid")  # ``sample`` rows
+                    .select(place("vec", "_buckets")).collect())
+    return places[math.ceil(recall * len(places)) - 1] if places else 1
+
+
+def knn_multiprobe(queries: DataFrame, store: DataFrame, k: int, *, dim: int, q_id: str = "id", q_vec: str = "vec",
+                   s_id: str = "id", s_vec: str = "vec", tables: int = 1, bits: int = 6, seed: int = 42,
+                   probes: int | None = None, recall: float = 0.95, exclude_self: bool = False, q_carry: tuple = (),
+                   s_carry: tuple = (), q_block_rows: int = 8192, s_block_rows: int = 8192,
+                   decimals: int = 9) -> DataFrame:
+    """Approximate kNN join with calibrated recall (K5): queries probe several buckets of few tables.
+
+    A stored vector lies in one bucket a table; a query visits ``probes`` buckets in
+    order of how little its projections would have to move.  Unless given, that
+    number is measured (``calibrate_probes``).  Pairs are scored exactly, and each
+    probed bucket is a cell of the exact join.
+    """
+    planes = sign_planes(dim, tables, bits, seed)
+    if probes is None:
+        probes = calibrate_probes(queries, store, k, planes, q_id=q_id, q_vec=q_vec, s_id=s_id, s_vec=s_vec,
+                                  exclude_self=exclude_self, recall=recall)
+    q = (queries.select(F.col(q_id).alias("_qid"), F.col(q_vec).alias("_qvec"), *q_carry)
+                .withColumn("_p", F.explode(_probed(planes, probes)("_qvec"))).select("*", "_p.*").drop("_p"))
+    s = store.select(F.col(s_id).alias("_sid"), F.col(s_vec).alias("_svec"), *s_carry,
+                     F.posexplode(lsh_buckets(F.col(s_vec), planes)).alias("_table", "_bucket"))
+    schema = _out_schema(q, s, list(q_carry), list(s_carry))
+    qg, sg, _ = _grid_cells(queries.sparkSession, q, s, ["_table", "_bucket"], q_block_rows, s_block_rows, 1)
+    fn = partial(_cell_topk, k=k, metric="l2sq", exclude_self=exclude_self, decimals=decimals,
+                 q_carry=list(q_carry), s_carry=list(s_carry), out_cols=schema.fieldNames())
+    keys = ["_table", "_bucket", "_qb", "_sb"]
+    local = qg.groupBy(*keys).cogroup(sg.groupBy(*keys)).applyInPandas(fn, schema)
+    return merge_topk(local, k, decimals, dedup=tables > 1)
