@@ -94,6 +94,55 @@ def embed(df: DataFrame, text_col, embedder=None, out_col: str = "vec", batch_si
     return df.withColumn(out_col, _embed(c))
 
 
+def by_budget(sizes: list, most: int | None, budget: int | None) -> Iterator[tuple]:
+    """(start, end) runs of at most ``most`` texts and ``budget`` tokens; a text beyond the budget goes alone."""
+    start = total = 0
+    for i, n in enumerate(sizes):
+        if i > start and ((most and i - start >= most) or (budget and total + n > budget)):
+            yield start, i
+            start, total = i, 0
+        total += n
+    if start < len(sizes):
+        yield start, len(sizes)
+
+
+def count_words(text) -> int:
+    """Tokens of a text for a batch budget, where the model names no counter of its own."""
+    return len(text.split()) if text else 0
+
+
+def embed_distinct(df: DataFrame, text_col: str, embedder=None, out_col: str = "vec", batch_size: int = 1000,
+                   batch_tokens: int | None = None, count_tokens=count_words, partitions: int | None = None) -> DataFrame:
+    """E1 where texts repeat or a model limits tokens a request: every different text is embedded once.
+
+    Texts are told apart by md5, spread over ``partitions`` tasks (default: the larger of
+    the session's parallelism and its shuffle partitions) however the input is split, and
+    packed into requests of at most ``batch_size`` texts and ``batch_tokens`` tokens.  The
+    vectors are joined back to the rows; a text of many rows is a skewed join key, which
+    AQE splits.  Null is a text of its own and goes to the model as null.  An existing
+    ``out_col`` is replaced.
+    """
+    embedder = embedder or HashingEmbedder()
+    spark = df.sparkSession
+    n = partitions or max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+    @F.pandas_udf(T.ArrayType(T.FloatType()))
+    def _embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = embedder.load()
+        for s in batches:
+            texts, out = s.tolist(), []
+            for a, b in by_budget([count_tokens(t) for t in texts], batch_size, batch_tokens):
+                out.extend(model(texts[a:b]).astype(np.float32))
+            yield pd.Series(out, dtype=object)
+
+    key = F.coalesce(F.md5(F.col(text_col)), F.lit(""))
+    vecs = (df.select(key.alias("_text_key"), F.col(text_col).alias("_text")).repartition(n, "_text_key")
+              .dropDuplicates(["_text_key"]).select("_text_key", _embed("_text").alias("_vec")))
+    rows = df.drop(out_col).withColumn("_row_key", key)
+    return (rows.join(vecs, F.col("_row_key") == F.col("_text_key")).withColumnRenamed("_vec", out_col)
+                .drop("_row_key", "_text_key"))
+
+
 def embed_records(df: DataFrame, template, embedder=None, out_col: str = "vec", batch_size: int = 1000,
                   **cols) -> DataFrame:
     """Render each record with a template (e.g. an instruction prefix), then embed."""

@@ -4,6 +4,11 @@ A file-source stream remembers in its checkpoint which page files it has
 processed, so re-running picks up only new pages.  ``availableNow`` drains
 what is there and stops; each micro-batch is written as its own idempotent
 partition of the store's batch log.
+
+The stream's state holds a digest of every page it has seen, by export: a page that
+is delivered again under another name, in a later batch or after a restart, is left
+out.  Pages and records that give no store row (faults, broken pages, records without
+id, title or abstract) go to a table of rejects, written like the store.
 """
 
 from __future__ import annotations
@@ -37,46 +42,86 @@ def stream_id(spark: SparkSession, checkpoint: str) -> str:
         got.close()
 
 
-def page_stream(spark: SparkSession, src_dir: str, max_files: int | None = None) -> DataFrame:
-    """Streaming page rows ``export, path, page_no, xml`` from a folder of page files."""
+# the folder of a page is its export, the number before ".xml" its page number
+EXPORT_PATTERN = r"^(.*)/[^/]*$"
+PAGE_PATTERN = r"page(\d+)\.xml$"
+
+
+def page_stream(spark: SparkSession, src_dir: str, max_files: int | None = None, export_pattern: str = EXPORT_PATTERN,
+                page_pattern: str = PAGE_PATTERN) -> DataFrame:
+    """Streaming page rows ``export, path, page_no, xml`` from a folder of page files.
+
+    The patterns take export and page number (their first group) from the file's path.
+    """
     r = spark.readStream.format("text").option("wholetext", "true")
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
     raw = r.load(src_dir)
     fp = F.col("_metadata.file_path")
-    return raw.select(F.regexp_extract(fp, r"^(.*)/[^/]*$", 1).alias("export"), fp.alias("path"),
-                      F.regexp_extract(fp, r"page(\d+)\.xml$", 1).try_cast("int").alias("page_no"),
+    return raw.select(F.regexp_extract(fp, export_pattern, 1).alias("export"), fp.alias("path"),
+                      F.regexp_extract(fp, page_pattern, 1).try_cast("int").alias("page_no"),
                       F.col("value").alias("xml"))
 
 
-def curate_batch(pages: DataFrame, entity: str = "project", template: str = "plain", embedder=None) -> DataFrame:
-    """One micro-batch: parse, extract, length-filter, render, embed -> store rows."""
+def new_pages(pages: DataFrame) -> DataFrame:
+    """Pages of a stream that their export has not delivered before, by content.
+
+    The state keeps a 128-bit digest a page, spread by (export, digest).  Of equal
+    pages within a batch any one is taken; they hold the same records.
+    """
+    return pages.withColumn("_digest", F.md5("xml")).dropDuplicates(["export", "_digest"]).drop("_digest")
+
+
+def parse_batch(pages: DataFrame, entity: str = "project") -> DataFrame:
+    return xp.parse_pages(pages, entity, "ascii" if entity == "project" else "unicode")
+
+
+def curate_parsed(parsed: DataFrame, entity: str = "project", template: str = "plain", embedder=None,
+                  key: str | None = None) -> DataFrame:
+    """Extract, length-filter, render, embed -> store rows ``id, vec, doc, ...``; F20: ``key`` is
+    the record column that becomes the id."""
     if entity == "project":
-        recs = min_length(xp.extract_projects(xp.parse_pages(pages, "project", "ascii")), PROJECT_MIN)
-        recs = recs.withColumnRenamed("projId", "id")
+        recs = min_length(xp.extract_projects(parsed), PROJECT_MIN)
     else:
-        recs = min_length(xp.extract_publications(xp.parse_pages(pages, entity, "unicode"), entity),
-                          PUBLICATION_MIN)
+        recs = min_length(xp.extract_publications(parsed, entity), PUBLICATION_MIN)
+    key = key or ("projId" if entity == "project" else "id")
+    recs = recs if key == "id" else recs.drop("id").withColumnRenamed(key, "id")
     v = embed_records(recs, template, embedder, title="title", abstract="abstract")
     return v.select("id", "vec", "doc", "dataProvider", F.array_join("participants", ", ").alias("participants"))
 
 
+def curate_batch(pages: DataFrame, entity: str = "project", template: str = "plain", embedder=None,
+                 key: str | None = None) -> DataFrame:
+    """One micro-batch: parse, extract, length-filter, render, embed -> store rows."""
+    return curate_parsed(parse_batch(pages, entity), entity, template, embedder, key)
+
+
 def ingest(spark: SparkSession, src_dir: str, store_path: str, checkpoint: str | None = None,
-           entity: str = "project", template: str = "plain", embedder=None, max_files: int | None = None):
+           entity: str = "project", template: str = "plain", embedder=None, max_files: int | None = None,
+           rejects_path: str | None = None, key: str | None = None, export_pattern: str = EXPORT_PATTERN,
+           page_pattern: str = PAGE_PATTERN):
     """Run the ingest stream until the folder is drained (availableNow); returns the query.
 
     The default checkpoint is named by source, store (full paths) and entity.  The
     partitions a stream writes carry the name of its checkpoint, so several streams
     can feed one store, and a stream begun anew never overwrites an earlier one's.
+    With ``rejects_path`` what a batch leaves out is written there, one partition a batch.
     """
     name = hashlib.md5("\n".join([src_dir.rstrip("/"), store_path.rstrip("/"), entity]).encode()).hexdigest()
     checkpoint = checkpoint or scratch_path(spark, "ingest-" + name)
     stream = stream_id(spark, checkpoint)
 
     def write(batch: DataFrame, epoch_id: int):
-        st.append_batch(curate_batch(batch, entity, template, embedder), store_path, epoch_id, stream)
-
-    q = (page_stream(spark, src_dir, max_files).writeStream
+        batch = batch.persist()  # one pass over the stream's state feeds both tables
+        try:
+            parsed = parse_batch(batch, entity)
+            st.append_batch(curate_parsed(parsed, entity, template, embedder, key), store_path, epoch_id, stream)
+            if rejects_path:
+                st.append_batch(xp.rejects(parsed, entity), rejects_path, epoch_id, stream)
+        finally:
+            batch.unpersist()
+
+    q = (new_pages(page_stream(spark, src_dir, max_files, export_pattern, page_pattern)).writeStream
          .foreachBatch(write)
          .option("checkpointLocation", checkpoint)
          .trigger(availableNow=True)

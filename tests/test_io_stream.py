@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from reclink.sources import csv_io, store as st
 from reclink.streaming.ingest import ingest
-from tests.test_xml import ABS, P1, page, write_pages
+from tests.test_xml import ABS, BROKEN, FAULT, P1, P2, page, write_pages
 
 
 def test_csv_round_trip(spark):
@@ -98,3 +98,39 @@ def test_half_written_store_counts_as_absent(spark):
     os.remove(d + "/c/_SUCCESS")
     assert not st.exists(spark, d + "/c")
     assert sorted(r.id for r in st.cached(spark, d + "/c", lambda: spark.range(5)).collect()) == list(range(5))
+
+
+def test_repeated_pages_and_rejects_across_restarts(spark):
+    src, out = write_pages({0: page(P1 + P2), 1: FAULT, 2: BROKEN}), tempfile.mkdtemp(prefix="reclink-rejects-")
+
+    def run():
+        ingest(spark, src, out + "/store", out + "/ckpt", rejects_path=out + "/rejects")
+        return (sorted((r.id, int(r.batch_id)) for r in st.read(spark, out + "/store").collect()),
+                sorted((r.page_no, r.uuid or "", r.reason) for r in st.read(spark, out + "/rejects").collect()))
+    first = run()
+    assert first == ([("p1", 0)], [(0, "p2", "no title"), (1, "", "fault"), (2, "", "unparseable")])
+    for name, body in (("page3.xml", page(P1 + P2)), ("page4.xml", FAULT)):   # delivered again under other names
+        with open(os.path.join(src, name), "w") as f:
+            f.write(body)
+    assert run() == first
+
+
+def test_materialize_once_follows_content(spark):
+    d, seen = tempfile.mkdtemp(prefix="reclink-once-"), []
+
+    def compute(df):
+        seen.append(sorted(str(r.text) for r in df.collect()))
+        return df.select("_fp", "id", F.length("text").alias("n"))
+
+    def run(rows, **kw):
+        df = spark.createDataFrame(rows, "id long, text string")
+        return sorted(map(tuple, st.materialize_once(spark, d + "/c", compute, df, **kw).collect()))
+    assert set(run([(1, "a"), (2, "bb"), (3, "c"), (3, "c")])) == {(1, 1), (2, 2), (3, 1)}
+    assert run([(1, "a"), (2, "long")]) == [(1, 1), (2, 4)]                      # 2 changed, 3 is gone
+    assert run([(1, "a"), (2, "long"), (3, "c")]) == [(1, 1), (2, 4), (3, 1)]    # 3 is back, not computed again
+    assert seen == [["a", "bb", "c"], ["long"], []]
+    assert run([(1, "a")], params="other model") == [(1, 1)] and seen[-1] == ["a"]
+    assert run([(1, "a")]) == [(1, 1)] and seen[-1] == []
+    got = st.materialize_once(spark, d + "/n", compute, spark.createDataFrame([(None, "x"), (7, None), (8, "")], "id long, text string"))
+    assert {(r.id, r.n) for r in got.collect()} == {(None, 1), (7, None), (8, 0)}
+    assert run([]) == []

@@ -226,3 +226,46 @@ def test_normalising_is_linear_in_the_dimension(spark):
         df.select(l2_normalize("v")).write.format("noop").mode("overwrite").save()
         took.append(time.perf_counter() - t)
     assert took[2] < 4 * took[1] + 2
+
+
+def test_batches_keep_their_budget():
+    from reclink.operators.embed import by_budget
+    sizes = [3, 3, 3, 50, 1, 0, 0, 9]
+    runs = list(by_budget(sizes, 3, 10))
+    assert runs == [(0, 3), (3, 4), (4, 7), (7, 8)]
+    assert all(sum(sizes[a:b]) <= 10 or b - a == 1 for a, b in runs)
+    assert list(by_budget([], 3, 10)) == [] and list(by_budget([1, 1], None, None)) == [(0, 2)]
+
+
+class LoggingEmbedder:
+    """Writes the texts of each request to a file of its own."""
+
+    def __init__(self, folder):
+        self.folder = folder
+
+    def load(self):
+        return self
+
+    def __call__(self, texts):
+        import json
+        import uuid
+
+        import numpy as np
+        with open(f"{self.folder}/{uuid.uuid4().hex}", "w") as f:
+            json.dump(texts, f)
+        return np.array([[float(len(t or ""))] for t in texts])
+
+
+def test_equal_texts_are_embedded_once(spark):
+    import json
+
+    from reclink.operators.embed import embed_distinct
+    d = tempfile.mkdtemp(prefix="reclink-embed-")
+    rows = [(i, f"word {'x ' * (i % 7)}") for i in range(60)] + [(60, None), (61, None), (62, ""), (63, "y " * 90)]
+    df = spark.createDataFrame(rows, "id long, text string").coalesce(1).withColumn("vec", F.lit("old"))
+    got = {r.id: r.vec for r in embed_distinct(df, "text", LoggingEmbedder(d), batch_tokens=12, partitions=4).collect()}
+    assert got == {i: [float(len(t or ""))] for i, t in rows}
+    calls = [json.load(open(f"{d}/{f}")) for f in os.listdir(d)]
+    assert sorted((t for c in calls for t in c), key=str) == sorted({t for _, t in rows}, key=str)
+    assert all(sum(len((t or "").split()) for t in c) <= 12 or len(c) == 1 for c in calls)
+    assert embed_distinct(df.limit(0), "text").count() == 0
