@@ -693,3 +693,189 @@ def link_eval(spark, sf):
 @register("link_eval_provider")
 def link_eval_provider(spark, sf):
     return _link_eval(spark, sf, ["dataProvider"])
+
+
+# ---------------------------------------------------------------- pruned and probed kNN
+
+from reclink.operators import relational as rel  # noqa: E402
+from reclink.operators.embed import embed_distinct  # noqa: E402
+from reclink.operators.knn import knn_multiprobe  # noqa: E402
+from reclink.operators.pivots import knn_pruned  # noqa: E402
+
+
+@register("knn_pruned")
+def knn_pruned_q(spark, sf):
+    v = vectors(spark, sf)
+    return knn_pruned(v, v, 10, exclude_self=True).hits.select("qid", "sid", "rank", F.round("dist", 6).alias("dist"))
+
+
+MIN_RECALL = 0.9
+
+
+@register("knn_multiprobe")
+def knn_multiprobe_q(spark, sf):
+    """K5: the approximate join's share of the exact one's neighbours, over all vectors."""
+    v = vectors(spark, sf)
+    found = knn_multiprobe(v, v, 10, dim=VEC_DIM, exclude_self=True).select("qid", "sid", F.lit(1).alias("hit"))
+    exact = knn_join(v, v, 10, exclude_self=True).select("qid", "sid")
+    return exact.join(found, ["qid", "sid"], "left").agg(
+        F.count(F.lit(1)).alias("n_pairs"), (F.count("hit") >= MIN_RECALL * F.count(F.lit(1))).alias("recall_reached"))
+
+
+@register("knn_where")
+def knn_where(spark, sf):
+    """Only stored vectors of the lower half of the labels can be neighbours."""
+    v = vectors(spark, sf)
+    r = knn_join(v, v, 5, where=F.col("label") < 5, exclude_self=True)
+    return r.select("qid", "sid", "rank", F.round("dist", 6).alias("dist"))
+
+
+# ---------------------------------------------------------------- content cache, distinct embedding, ingest rejects
+
+@register("store_fingerprint")
+def store_fingerprint(spark, sf):
+    """A first run over other texts for every third id, odd ids missing and ids that go; the second over all documents."""
+    path = _fresh(spark, "fingerprint")
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+
+    def compute(run):
+        return lambda df: df.select("_fp", "id", F.md5("text").alias("digest"), F.lit(run).alias("computed_in"))
+    before = (docs.where("id % 2 = 0").withColumn("text", F.when(F.col("id") % 3 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+                  .unionByName(docs.where("id % 5 = 0").withColumn("id", -1 - F.col("id"))))
+    st.materialize_once(spark, path, compute(1), before)
+    return st.materialize_once(spark, path, compute(2), docs)
+
+
+@register("embed_distinct")
+def embed_distinct_q(spark, sf):
+    r = records(spark, sf).select("id", compose_text("plain", title="title", abstract="abstract").alias("doc"))
+    v = embed_distinct(r, "doc", HashingEmbedder(HASH_DIM), batch_tokens=20_000)
+    return v.select(F.col("id").alias("doc_id"), _nnz("vec").alias("nnz"), F.round(vx.checksum("vec"), 6).alias("checksum"))
+
+
+def _write_pages(pages, path):
+    pages.select("page_no", "xml").write.mode("append").partitionBy("page_no").text(path)
+
+
+def _ingest_derived(spark, base, **kw):
+    """Ingest pages written as ``base/in/page_no=N/part-...``; ``in`` is the export."""
+    from reclink.streaming.ingest import ingest
+    ingest(spark, f"{base}/in/*", f"{base}/vec", f"{base}/ckpt", embedder=HashingEmbedder(HASH_DIM), rejects_path=f"{base}/rejects",
+           export_pattern=r"^(.*)/page_no=[^/]*/[^/]*$", page_pattern=r"page_no=(\d+)/[^/]*$", **kw)
+
+
+@register("ingest_rejects")
+def ingest_rejects(spark, sf):
+    """ST1: rejects of a stream that is started again; the page delivered a second time is no news then."""
+    pages, base = materialize(_odd_pages(spark, sf)), _fresh(spark, "ingest")
+    last = table(spark, sf, "documents").agg(F.floor(F.max("doc_id") / PAGE_SIZE).cast("int")).first()[0]
+    for again in (False, True):
+        _write_pages(pages.where((F.col("page_no") == last + 1) == F.lit(again)), f"{base}/in")
+        _ingest_derived(spark, base)
+    return st.read(spark, f"{base}/rejects").select("page_no", "uuid", "reason")
+
+
+@register("ingest_publications")
+def ingest_publications(spark, sf):
+    """ST1 with another entity and F20 key."""
+    r = records(spark, sf).withColumn("page_no", F.floor(F.col("id") / PAGE_SIZE).cast("int"))
+    base = _fresh(spark, "ingest")
+    _write_pages(xp.records_to_pages(r, PAGE_SIZE, entity="journalContribution"), f"{base}/in")
+    _ingest_derived(spark, base, entity="journalContribution", key="id")
+    return st.current(spark, f"{base}/vec").select("id", F.md5("doc").alias("doc_md5"), "dataProvider")
+
+
+# ---------------------------------------------------------------- small operators on their own
+
+@register("store_flat")
+def store_flat(spark, sf):
+    path = _fresh(spark, "flat")
+    st.write(vectors(spark, sf), path)
+    return _store_out(st.read(spark, path))
+
+
+@register("one_hot_dense")
+def one_hot_dense(spark, sf):
+    """sparse source indicators as dense arrays."""
+    from pyspark.ml.feature import OneHotEncoder, StringIndexer
+    d = table(spark, sf, "documents").select("doc_id", F.concat(F.lit("s:"), F.coalesce("source", F.lit(""))).alias("source"))
+    d = StringIndexer(inputCol="source", outputCol="i", stringOrderType="alphabetAsc").fit(d).transform(d)
+    d = OneHotEncoder(inputCol="i", outputCol="v", dropLast=False).fit(d).transform(d)
+    dense = vx.sparse_to_dense("v")
+    return d.select("doc_id", F.size(dense).alias("n"), F.array_position(dense, F.lit(1.0)).alias("place"))
+
+
+@register("truncated_ids")
+def truncated_ids(spark, sf):
+    return table(spark, sf, "pages").select("page_id", tx.truncate_id("url", 20).alias("short_id"))
+
+
+@register("complete_rows")
+def complete_rows(spark, sf):
+    """Labelled documents only."""
+    lab = table(spark, sf, "labels").select("doc_id", "quality", "toxic")
+    d = table(spark, sf, "documents").select("doc_id", "source")
+    return cu.drop_any_null(d.join(lab, "doc_id", "left"))
+
+
+@register("record_lookup")
+def record_lookup(spark, sf):
+    from reclink.operators.search import lookup
+    return lookup(table(spark, sf, "documents"), QUERY_ID, "doc_id").select("doc_id", F.md5("text").alias("text_md5"))
+
+
+@register("title_search_regex")
+def title_search_regex(spark, sf):
+    from reclink.operators.search import title_search as ts
+    return ts(records(spark, sf), "^[A-M].*[aeiou]S", 10, literal=False).select(F.col("id").alias("doc_id"), "title")
+
+
+def _token_arrays(spark, sf):
+    r = records(spark, sf)
+    return r.select(F.col("id").alias("doc_id"), tx.tokens(compose_text("plain", title="title", abstract="abstract")).alias("terms"))
+
+
+@register("distinct_links")
+def distinct_links(spark, sf):
+    return rel.distinct_links(_token_arrays(spark, sf), "terms", "term")
+
+
+@register("sorted_distinct")
+def sorted_distinct(spark, sf):
+    return _token_arrays(spark, sf).select("doc_id", F.md5(F.array_join(rel.sorted_distinct("terms"), " ")).alias("terms_md5"))
+
+
+@register("step_counts")
+def step_counts(spark, sf):
+    n_in, n_out, _ = rel.step_counts(records(spark, sf), lambda d: cu.min_length(d, cu.PROJECT_MIN))
+    return spark.createDataFrame([(n_in, n_out)], "rows_in long, rows_out long")
+
+
+@register("head_orders")
+def head_orders(spark, sf):
+    o = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    return rel.head(o, 20, F.col("o_totalprice").desc(), F.col("o_orderkey"))
+
+
+@register("top_k_orders")
+def top_k_orders(spark, sf):
+    o = table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
+    return rel.top_k(o, "o_custkey", [F.col("o_totalprice").desc(), F.col("o_orderkey")], 3)
+
+
+@register("append_rows")
+def append_rows(spark, sf):
+    """Batches with different columns."""
+    return rel.append_batches(table(spark, sf, "documents").select("doc_id", "lang"), table(spark, sf, "labels").select("quality", "doc_id"))
+
+
+@register("saved_model")
+def saved_model(spark, sf):
+    """The document vectors of a model before it was saved and after it was loaded."""
+    from pyspark.ml.feature import Word2VecModel
+    docs = _token_docs(spark, sf)
+    model, path = tp.fit_doc2vec(docs, passes=1), _fresh(spark, "model")
+    tp.save_model(model, path)
+    a = tp.doc_vectors(docs, model).select("id", "vec")
+    b = tp.doc_vectors(docs, tp.load_model(Word2VecModel, path)).select("id", F.col("vec").alias("again"))
+    return a.join(b, "id").select(F.col("id").alias("doc_id"), (F.col("vec") == F.col("again")).alias("same"))

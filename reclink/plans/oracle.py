@@ -522,3 +522,70 @@ def _link_sql(same_provider: bool) -> str:
 
 ORACLE["link_eval"] = _link_sql(False)
 ORACLE["link_eval_provider"] = _link_sql(True)
+
+# ---------------------------------------------------------------- pruned and probed kNN, content cache, ingest
+
+ORACLE["knn_pruned"] = ORACLE["knn_exact"]
+
+# every vector has 10 neighbours, or as many as there are others
+ORACLE["knn_multiprobe"] = """SELECT CAST(count(*) * least(10, count(*) - 1) AS BIGINT) AS n_pairs, true AS recall_reached FROM embeddings"""
+
+ORACLE["knn_where"] = f"""WITH pairs AS (
+    SELECT q.vec_id AS qid, s.vec_id AS sid, {_L2SQ} AS d FROM embeddings q JOIN embeddings s ON q.vec_id <> s.vec_id AND s.label < 5)
+SELECT qid, sid, CAST(rnk AS INTEGER) AS rank, round(d, 6) AS dist
+FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(d, 9), sid) AS rnk FROM pairs) WHERE rnk <= 5"""
+
+ORACLE["store_fingerprint"] = """SELECT doc_id AS id, md5(text) AS digest,
+       CAST(CASE WHEN doc_id % 2 = 0 AND (doc_id % 3 <> 0 OR text IS NULL) THEN 1 ELSE 2 END AS INTEGER) AS computed_in FROM documents"""
+
+ORACLE["embed_distinct"] = ORACLE["embed_hash"]
+
+ORACLE["ingest_rejects"] = f"""WITH {_PAGES}
+SELECT CAST(doc_id // 50 AS INTEGER) AS page_no, CAST(doc_id AS VARCHAR) AS uuid, 'no title' AS reason FROM documents WHERE lang <> 'en'
+UNION ALL SELECT last + 2, NULL, 'fault' FROM n
+UNION ALL SELECT last + 4, NULL, 'unparseable' FROM n
+UNION ALL SELECT last + 5, NULL, 'no uuid' FROM n
+UNION ALL SELECT last + 5, 'no-title', 'no title' FROM n
+UNION ALL SELECT last + 5, 'no-abstract', 'no abstract' FROM n"""
+
+ORACLE["ingest_publications"] = f"""WITH {RECS},
+  p AS (SELECT id, {html_to_text_sql(_unicode('title'))} AS title, {html_to_text_sql(_unicode('abstract'))} AS abstract, dataProvider
+        FROM recs WHERE lang = 'en')
+SELECT CAST(id AS VARCHAR) AS id, md5(title || ' ' || abstract) AS doc_md5, dataProvider
+FROM p WHERE length(abstract) >= 50 AND length(title) >= 5"""
+
+# ---------------------------------------------------------------- small operators on their own
+
+ORACLE["store_flat"] = f"SELECT vec_id AS id, label, round({_CHECKSUM_E}, 6) AS checksum FROM embeddings"
+
+ORACLE["one_hot_dense"] = """WITH s AS (SELECT source, row_number() OVER (ORDER BY source) AS place, count(*) OVER () AS n
+           FROM (SELECT DISTINCT coalesce(source, '') AS source FROM documents))
+SELECT d.doc_id, CAST(s.n AS INTEGER) AS n, s.place FROM documents d JOIN s ON s.source = coalesce(d.source, '')"""
+
+ORACLE["truncated_ids"] = "SELECT page_id, substr(url, 1, 20) AS short_id FROM pages"
+
+ORACLE["complete_rows"] = """SELECT d.doc_id, d.source, l.quality, l.toxic FROM documents d JOIN labels l ON l.doc_id = d.doc_id
+WHERE d.source IS NOT NULL AND l.quality IS NOT NULL AND l.toxic IS NOT NULL"""
+
+ORACLE["record_lookup"] = "SELECT doc_id, md5(text) AS text_md5 FROM documents WHERE doc_id = 0"
+
+ORACLE["title_search_regex"] = f"""WITH {RECS}
+SELECT id AS doc_id, title FROM recs WHERE regexp_matches(lower(title), '^[a-m].*[aeiou]s') ORDER BY title, id LIMIT 10"""
+
+ORACLE["distinct_links"] = f"WITH {_TOKENS} SELECT DISTINCT term FROM tk"
+
+ORACLE["sorted_distinct"] = f"""WITH {_TOKENS}
+SELECT doc_id, md5(string_agg(term, ' ' ORDER BY term)) AS terms_md5 FROM (SELECT DISTINCT doc_id, term FROM tk) GROUP BY doc_id"""
+
+ORACLE["step_counts"] = f"""WITH {RECS}
+SELECT count(*) AS rows_in, count(*) FILTER (WHERE length(abstract) >= 150 AND length(title) >= 5) AS rows_out FROM recs"""
+
+ORACLE["head_orders"] = "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20"
+
+ORACLE["top_k_orders"] = """SELECT o_custkey, o_orderkey, o_totalprice, CAST(n AS INTEGER) AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS n FROM orders) WHERE n <= 3"""
+
+ORACLE["append_rows"] = """SELECT doc_id, lang, NULL AS quality FROM documents
+UNION ALL SELECT doc_id, NULL, quality FROM labels"""
+
+ORACLE["saved_model"] = "SELECT doc_id, true AS same FROM documents"
