@@ -401,12 +401,6 @@ def correlated_lookup(spark, sf):
 
 # ---------------------------------------------------------------- bag of words
 
-def _doc_tokens(spark, sf):
-    r = records(spark, sf)
-    return r.select(F.col("id").alias("doc_id"),
-                    F.explode(tx.tokens(compose_text("plain", title="title", abstract="abstract"))).alias("term"))
-
-
 @register("bow_counts")
 def bow_counts(spark, sf):
     # per-document bag-of-words size: row expressions only, no shuffle
@@ -418,9 +412,8 @@ def bow_counts(spark, sf):
 
 @register("dictionary")
 def dictionary(spark, sf):
-    t = _doc_tokens(spark, sf)
-    return (t.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("c"))
-             .groupBy("term").agg(F.count(F.lit(1)).alias("doc_freq"), F.sum("c").alias("n_tokens")))
+    from reclink.operators.topics import dictionary as terms
+    return terms(_token_docs(spark, sf))
 
 
 # ---------------------------------------------------------------- XML pages
@@ -879,3 +872,36 @@ def saved_model(spark, sf):
     a = tp.doc_vectors(docs, model).select("id", "vec")
     b = tp.doc_vectors(docs, tp.load_model(Word2VecModel, path)).select("id", F.col("vec").alias("again"))
     return a.join(b, "id").select(F.col("id").alias("doc_id"), (F.col("vec") == F.col("again")).alias("same"))
+
+
+# ---------------------------------------------------------------- bucketed store, title index
+
+@register("store_buckets")
+def store_buckets(spark, sf):
+    """S9 on the bucketed store: a batch, compaction, and part of the batch once more."""
+    from reclink.sources.buckets import BucketStore
+    store, batch = _store_and_batch(spark, sf)
+    b = BucketStore(spark, _fresh(spark, "buckets"), buckets=16)
+    b.upsert(store)
+    b.upsert(materialize(batch), order="nth")
+    b.compact()
+    b.upsert(b.current().where("id % 10 = 0"))
+    return _store_out(b.current())
+
+
+@register("store_buckets_append")
+def store_buckets_append(spark, sf):
+    from reclink.sources.buckets import BucketStore
+    store, batch = _store_and_batch(spark, sf)
+    b = BucketStore(spark, _fresh(spark, "buckets"), buckets=16)
+    b.append(store)
+    b.append(batch, order="nth")
+    return _store_out(b.current())
+
+
+@register("title_index")
+def title_index_q(spark, sf):
+    from reclink.operators import title_index
+    path = _fresh(spark, "titles")
+    title_index.build(records(spark, sf), path)
+    return title_index.search(spark, path, "The ", 10).select(F.col("id").alias("doc_id"), "title")

@@ -589,3 +589,9 @@ ORACLE["append_rows"] = """SELECT doc_id, lang, NULL AS quality FROM documents
 UNION ALL SELECT doc_id, NULL, quality FROM labels"""
 
 ORACLE["saved_model"] = "SELECT doc_id, true AS same FROM documents"
+
+ORACLE["store_buckets"] = ORACLE["store_upsert"]
+ORACLE["store_buckets_append"] = ORACLE["store_append"]
+
+ORACLE["title_index"] = f"""WITH {RECS}
+SELECT id AS doc_id, title FROM recs WHERE contains(lower(title), 'the ') ORDER BY title, id LIMIT 10"""
