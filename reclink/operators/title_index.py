@@ -26,10 +26,12 @@ PART_TITLES = 1_000_000
 
 
 def trigrams(title) -> Column:
-    """The distinct trigrams of a lower-cased title; none under three characters."""
+    """The distinct trigrams of a lower-cased title; none under three characters.
+
+    A look-ahead finds overlapping ones in a single pass, however long the title is.
+    """
     t = F.lower(F.col(title) if isinstance(title, str) else title)
-    return F.when(F.length(t) >= 3, F.array_distinct(F.transform(
-        F.sequence(F.lit(1), F.length(t) - 2), lambda i: F.substring(t, i, F.lit(3))))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.regexp_extract_all(t, F.lit("(?s)(?=(...))"), F.lit(1)))
 
 
 def _folder(c) -> Column:
