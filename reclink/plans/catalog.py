@@ -544,7 +544,7 @@ def page_audit(spark, sf):
 # ---------------------------------------------------------------- approximate kNN and topic models
 # (no SQL oracle: iterative / randomised fits; covered by tests against brute force)
 
-from reclink.operators import lda  # noqa: E402
+from reclink.operators import lda, wordvec  # noqa: E402
 from reclink.operators import topics as tp  # noqa: E402
 from reclink.operators.knn import knn_lsh  # noqa: E402
 
@@ -602,8 +602,8 @@ def doc2vec_query(spark, sf):
     """Unseen documents as free text -> nearest trained documents."""
     docs = _token_docs(spark, sf)
     known, new = docs.where(~_held_out()), docs.where(_held_out())
-    model = tp.fit_doc2vec(known)
-    r = tp.query_documents(model, tp.doc_vectors(known, model), new, max(ev.K_GRID_LONG))
+    model = wordvec.fit(known, tp.dictionary(known), min_count=tp.DOC2VEC_MIN_COUNT)
+    r = wordvec.query_documents(model, wordvec.doc_vectors(known, model), new, max(ev.K_GRID_LONG))
     truth = lambda d, a, b: d.select(F.col("id").alias(a), F.col("truth").alias(b))
     r = r.join(truth(new, "qid", "q_truth"), "qid").join(truth(known, "sid", "s_truth"), "sid")
     fr = ev.first_hit_rank(r, new.select(F.col("id").alias("qid")), F.col("q_truth") == F.col("s_truth"))
