@@ -510,8 +510,7 @@ def legacy_publications(spark, sf):
     return xp.legacy_publications(_legacy_pages(spark, sf))
 
 
-@register("csv_roundtrip")
-def csv_roundtrip(spark, sf):
+def _csv_back(spark, sf, ranges):
     from reclink.sources import csv_io
     r = records(spark, sf).select(
         F.col("id").cast("string").alias("projId"), "title", "abstract", F.split(participants_raw("title"), ", ", -1).alias("participants"),
@@ -519,11 +518,22 @@ def csv_roundtrip(spark, sf):
     path = _fresh(spark, "csv")
     csv_io.write_records_csv(r, path)
     schema = ", ".join(f"{c} string" for c in r.columns)
-    back = csv_io.read_records_csv(spark, path, schema=schema)
+    back = csv_io.read_records_csv(spark, path, schema=schema, ranges=ranges)
     return back.select("projId", F.md5(F.coalesce("title", F.lit(""))).alias("title_md5"), F.md5(F.coalesce("abstract", F.lit(""))).alias("abstract_md5"),
                        F.size("participants").alias("n_participants"), F.array_join("disciplines", "|").alias("disciplines"), "dataProvider")
 
 
+@register("csv_roundtrip")
+def csv_roundtrip(spark, sf):
+    return _csv_back(spark, sf, False)
+
+
+@register("csv_ranges")
+def csv_ranges(spark, sf):
+    """S7 by byte ranges: the same files, each read by as many tasks as it has splits."""
+    return _csv_back(spark, sf, True)
+
+
 @register("ingest_pages")
 def ingest_pages(spark, sf):
     """ST1: page files -> stream -> store; a second stream over other pages feeds the same store."""

@@ -415,6 +415,8 @@ SELECT CAST(id AS VARCHAR) AS projId, md5(title) AS title_md5, md5(abstract) AS
        lang || '|' || dataProvider AS disciplines, dataProvider
 FROM recs"""
 
+ORACLE["csv_ranges"] = ORACLE["csv_roundtrip"]
+
 ORACLE["ingest_pages"] = f"""WITH {RECS},
   p AS (SELECT id, {html_to_text_sql(_ascii('title'))} AS title, {html_to_text_sql(_ascii('abstract'))} AS abstract, dataProvider
         FROM recs WHERE lang = 'en'),
