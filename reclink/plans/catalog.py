@@ -624,7 +624,7 @@ def _kmeans_topics(spark, sf):
     docs = _token_docs(spark, sf)
     r = records(spark, sf).select("id", compose_text("plain", title="title", abstract="abstract").alias("doc"))
     emb = embed(r, "doc", HashingEmbedder(HASH_DIM)).select("id", "vec")
-    return tp.cluster_topics(docs.join(emb, "id"), k=8)
+    return tp.cluster_topics(docs.join(emb, "id"), k=None)
 
 
 @register("topics_kmeans")
