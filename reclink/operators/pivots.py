@@ -27,7 +27,6 @@ go by the smaller stored id.  An empty store or no queries give no rows.
 from __future__ import annotations
 
 from collections import Counter
-from functools import partial
 from typing import NamedTuple
 
 import numpy as np
@@ -35,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reclink.operators.knn import _cell_topk, _grid_cells, _out_schema, _stack, merge_topk
+from reclink.operators.knn import _grid_cells, _out_schema, _scored, _stack, merge_topk
 from reclink.session import materialize
 
 #: vectors the pivots are fitted on, and the most pivots there can be
@@ -158,13 +157,11 @@ def knn_pruned(queries: DataFrame, store: DataFrame, k: int, *, q_id: str = "id"
     s = s.drop("away")
 
     q = materialize(q.withColumn("_met", _first_cells(p, held, k + bool(exclude_self))("_qvec")))
-    fn = partial(_cell_topk, k=k, metric="l2sq", exclude_self=exclude_self, decimals=decimals, q_carry=q_carry,
-                 s_carry=s_carry, out_cols=schema.fieldNames())
 
     def search(asked):
         qg, sg, _ = _grid_cells(spark, asked, s, ["_cell"], q_block_rows, s_block_rows, 1)
-        keys = ["_cell", "_qb", "_sb"]
-        return qg.groupBy(*keys).cogroup(sg.groupBy(*keys)).applyInPandas(fn, schema)
+        return _scored(qg, sg, ["_cell", "_qb", "_sb"], k=k, metric="l2sq", exclude_self=exclude_self, decimals=decimals,
+                       q_carry=q_carry, s_carry=s_carry)
 
     cols = ["_qid", "_qvec", *q_carry]
     first = materialize(merge_topk(search(q.select(*cols, F.explode("_met").alias("_cell"))), k, decimals))

@@ -131,3 +131,53 @@ def test_cells_meet_in_every_partition(spark):
         spark.conf.set(key, "true")
     want = set((a, b) for a, b, _ in brute(v, v, 4, exclude_self=True))
     assert got == want and by_key == want
+
+
+def test_small_blocks_do_not_copy_tables_for_every_hundred_rows(spark):
+    from reclink.operators.knn import _blocks, _grid_cells
+    assert [_blocks(n, 100, 32_768) for n in (0, 100, 101, 1600, 100_000, 1_000_000)] == [1, 1, 2, 16, 16, 31]
+    side = spark.range(5000)
+    q, s, merge = _grid_cells(spark, side.withColumnRenamed("id", "_qid"), side.withColumnRenamed("id", "_sid"), [], 96, 120, 4, enough=32_768)
+    assert q.count() == s.count() == 16 * 5000 and merge
+
+
+@pytest.mark.parametrize("metric", ["l2sq", "cosine", "dot"])
+def test_tiles_of_a_cell_equal_bruteforce(monkeypatch, metric):
+    import pyarrow as pa
+    from reclink.operators import knn
+    monkeypatch.setattr(knn, "_TILE_QUERIES", 7)
+    monkeypatch.setattr(knn, "_TILE_STORE", 9)
+    rng = np.random.default_rng(2)
+    v = rng.integers(-2, 3, size=(60, 3)).astype(float) + [0.5, 0, 0]  # many ties
+    table = lambda side: pa.table({f"_{side}id": pa.array(range(60), pa.int64()), f"_{side}vec": pa.array(v.tolist())})
+    schema = pa.schema([("qid", pa.int64()), ("sid", pa.int64()), ("rank", pa.int32()), ("dist", pa.float64())])
+    for k in (1, 4, 70):
+        r = knn._cell_topk(table("q"), table("s"), k=k, metric=metric, exclude_self=True, decimals=9, q_carry=[], s_carry=[], schema=schema)
+        if k == 70:  # of equal vectors only k + 1 are kept, here all
+            assert r.num_rows == 60 * 59
+        assert sorted(zip(*(r[c].to_pylist() for c in ("qid", "sid", "rank")))) == brute(v, v, k, metric, exclude_self=True)
+
+
+def test_a_cell_makes_no_object_for_each_number_and_stays_small():
+    import tracemalloc
+    import pyarrow as pa
+    from reclink.operators import knn
+    n, dim = knn._SIDE_BYTES // (8 * 64) // 4, 64
+    v = np.random.default_rng(0).normal(size=(n, dim)).astype(np.float32)
+    table = lambda side: pa.table({f"_{side}id": pa.array(range(n), pa.int64()), f"_{side}vec": pa.FixedSizeListArray.from_arrays(
+        pa.array(v.ravel()), dim).cast(pa.list_(pa.float32()))})
+    schema = pa.schema([("qid", pa.int64()), ("sid", pa.int64()), ("rank", pa.int32()), ("dist", pa.float64())])
+    tracemalloc.start()
+    knn._cell_topk(table("q"), table("s"), k=5, metric="l2sq", exclude_self=True, decimals=9, q_carry=[], s_carry=[], schema=schema)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert knn._SIDE_BYTES <= 16 << 20 and peak < 64 << 20
+
+
+def test_probes_are_numbers_not_objects():
+    from reclink.operators.knn import _by_margin, _probed, sign_planes
+    planes = sign_planes(8, 2, 3)
+    vecs = pd.Series(list(np.random.default_rng(0).normal(size=(20, 8))))
+    got = _probed(planes, 5).func(vecs)
+    table, bucket = _by_margin(planes, vecs)
+    assert all(isinstance(r, np.ndarray) and (r // 8 == t[:5]).all() and (r % 8 == b[:5]).all() for r, t, b in zip(got, table, bucket))
