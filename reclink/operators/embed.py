@@ -23,6 +23,8 @@ from reclink.functions.vectors import blend, l2_normalize
 
 # token pattern shared with the SQL oracle: runs of letters and digits
 TOKEN_PATTERN = r"[\p{L}\p{N}]+"
+# tokens whose bucket a worker remembers (some 25 MB); the frequent ones come first
+_CACHED_TOKENS = 1 << 17
 
 
 class HashingEmbedder:
@@ -46,7 +48,7 @@ class HashingEmbedder:
 
     def _bucket(self, tok: str) -> int:
         b = int(hashlib.md5(tok.encode("utf-8")).hexdigest()[:8], 16) % self.dim
-        if len(self._cache) < 1_000_000:
+        if len(self._cache) < _CACHED_TOKENS:
             self._cache[tok] = b
         return b
 

@@ -269,3 +269,13 @@ def test_equal_texts_are_embedded_once(spark):
     assert sorted((t for c in calls for t in c), key=str) == sorted({t for _, t in rows}, key=str)
     assert all(sum(len((t or "").split()) for t in c) <= 12 or len(c) == 1 for c in calls)
     assert embed_distinct(df.limit(0), "text").count() == 0
+
+
+def test_embedder_remembers_a_bounded_number_of_tokens(monkeypatch):
+    from reclink.operators import embed as em
+    assert em._CACHED_TOKENS <= 1 << 17
+    text = " ".join(f"t{i}" for i in range(50))
+    whole = em.HashingEmbedder(16).load()([text])
+    monkeypatch.setattr(em, "_CACHED_TOKENS", 10)
+    model = em.HashingEmbedder(16).load()
+    assert (model([text]) == whole).all() and len(model._cache) == 10
