@@ -28,9 +28,14 @@ def col_(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# a run of white space that is not one space already: single spaces, most of a text, are left alone;
+# the look-ahead passes letters by one comparison
+WS_RUN = f"(?=[^!-~])(?:[{WS_CLASS[1:-1].replace(' ', '')}]{WS_CLASS}*| {WS_CLASS}+)"
+
+
 def squash_ws(c) -> Column:
     """Collapse every run of (Unicode) white space to one space and trim."""
-    return F.trim(F.regexp_replace(col_(c), WS_CLASS + "+", " "))
+    return F.trim(F.regexp_replace(col_(c), WS_RUN, " "))
 
 
 def html_to_text(c) -> Column:
@@ -42,13 +47,15 @@ def html_to_text(c) -> Column:
     decoded; white space collapsed; trimmed.
 
     Entities are decoded in Arrow batches, and only rows that hold ``&`` go there
-    with their text.
+    with their text; only rows that hold ``<`` are searched for markup.  Both are
+    asked of the fragment itself, so that its markup is removed once.
     """
-    x = F.coalesce(col_(c), F.lit(""))
+    raw = F.coalesce(col_(c), F.lit(""))
+    x = raw
     for pat in HTML_DROP:
         x = F.regexp_replace(x, pat, " ")
-    x = F.regexp_replace(x, HTML_TAG, " ")
-    decoded = _unescape(F.when(F.contains(x, F.lit("&")), x))
+    x = F.when(F.contains(raw, F.lit("<")), F.regexp_replace(x, HTML_TAG, " ")).otherwise(raw)
+    decoded = _unescape(F.when(F.contains(raw, F.lit("&")), x))
     return squash_ws(F.coalesce(decoded, x))
 
 

@@ -54,17 +54,16 @@ class HashingEmbedder:
 
     def __call__(self, texts: list) -> np.ndarray:
         out = np.zeros((len(texts), self.dim), dtype=np.float64)
-        rows: list = []
-        cols: list = []
-        cache, bucket, findall = self._cache, self._bucket, self._findall
+        known, bucket, findall = self._cache.get, self._bucket, self._findall
         for i, t in enumerate(texts):
             if t is None:
                 continue
-            b = [cache[x] if x in cache else bucket(x) for x in findall(t.lower())]
-            cols.extend(b)
-            rows.extend([i] * len(b))
-        if cols:
-            np.add.at(out, (np.asarray(rows, dtype=np.int64), np.asarray(cols, dtype=np.int64)), 1.0)
+            tokens = findall(t.lower())
+            b = list(map(known, tokens))
+            if None in b:
+                b = [bucket(x) if c is None else c for x, c in zip(tokens, b)]
+            if b:
+                out[i] = np.bincount(b, minlength=self.dim)
         n = np.linalg.norm(out, axis=1, keepdims=True)
         n[n == 0] = 1.0
         return out / n

@@ -135,29 +135,36 @@ def _localised_text(loc_col, locale="en"):
     return F.when(hit.isNotNull(), tx.html_to_text(hit["_VALUE"]))
 
 
+def _texts_of(entity: str) -> tuple[str, str]:
+    """Title and abstract element of an entity."""
+    return ("name", "projectAbstract") if entity == "project" else ("title", "researchAbstract")
+
+
+def _record_columns(entity: str, locale: str) -> list:
+    """The columns of a record ``r``: of a project (S1) or of a publication."""
+    r = F.col("r")
+    title, abstract = _texts_of(entity)
+    if entity == "project":
+        ids = [r.getField("_uuid").alias("projId")]
+    else:
+        ids = [r.getField("_uuid").alias("id"),
+               F.coalesce(tx.project_ids(r.getField("researchOutputProjects").getField("researchOutputProject")),
+                          F.array().cast("array<string>")).alias("projId")]
+    return [*ids, _localised_text(r.getField(title), locale).alias("title"),
+            _localised_text(r.getField(abstract), locale).alias("abstract"), *_common(r, locale)]
+
+
 def extract_projects(parsed: DataFrame, locale: str = "en") -> DataFrame:
     """S1 projection: id, title, abstract, participants[], disciplines[],
     flemishDisciplines[], organization[], dataProvider.  Records without an
     en title or abstract element, or without a uuid, are skipped."""
-    r = F.col("r")
-    out = _records_of(parsed, "project").select(
-        r.getField("_uuid").alias("projId"),
-        _localised_text(r.getField("name"), locale).alias("title"),
-        _localised_text(r.getField("projectAbstract"), locale).alias("abstract"),
-        *_common(r, locale))
+    out = _records_of(parsed, "project").select(*_record_columns("project", locale))
     return out.where(F.col("projId").isNotNull() & F.col("title").isNotNull() & F.col("abstract").isNotNull())
 
 
 def extract_publications(parsed: DataFrame, entity: str = "journalContribution", locale: str = "en") -> DataFrame:
     """S2 projection: id, projId[] (linked projects), title, abstract, ... as S1."""
-    r = F.col("r")
-    out = _records_of(parsed, entity).select(
-        r.getField("_uuid").alias("id"),
-        F.coalesce(tx.project_ids(r.getField("researchOutputProjects").getField("researchOutputProject")),
-                   F.array().cast("array<string>")).alias("projId"),
-        _localised_text(r.getField("title"), locale).alias("title"),
-        _localised_text(r.getField("researchAbstract"), locale).alias("abstract"),
-        *_common(r, locale))
+    out = _records_of(parsed, entity).select(*_record_columns(entity, locale))
     return out.where(F.col("id").isNotNull() & F.col("title").isNotNull() & F.col("abstract").isNotNull())
 
 
@@ -249,27 +256,41 @@ def audit_pages(parsed: DataFrame, entity: str = "project", page_size: int = 100
                 .withColumn("expected_pages", (F.floor(F.col("total") / page_size) + 1).cast("int")))
 
 
+def _outcome_rows(parsed: DataFrame, entity: str, locale: str) -> DataFrame:
+    """``export, page_no, reason, r``: a row for every rejected page, without r, and one for every record."""
+    response, record, rec_schema = ENTITIES[entity]
+    title, abstract = _texts_of(entity)
+    page = (F.when(F.col("p.Body.Fault").isNotNull(), "fault")
+             .when(F.col("p").isNull() | F.col("p._corrupt_record").isNotNull() | F.col("p.Body").isNull(), "unparseable"))
+    recs = F.col("p.Body").getField(response).getField("queryResult").getField(record)
+    of = lambda r: F.struct(F.when(r.getField("_uuid").isNull(), "no uuid")
+                             .when(F.get(_en(r.getField(title), locale), 0).isNull(), "no title")
+                             .when(F.get(_en(r.getField(abstract), locale), 0).isNull(), "no abstract").alias("reason"), r.alias("r"))
+    none = F.array().cast(_A(_struct(reason=_S, r=rec_schema)))
+    whole = F.when(page.isNotNull(), F.array(F.struct(page.alias("reason"), F.lit(None).cast(rec_schema).alias("r")))).otherwise(none)
+    items = F.concat(whole, F.coalesce(F.transform(recs, of), none))
+    return (parsed.select("export", "page_no", F.explode(items).alias("i"))
+                  .select("export", "page_no", F.col("i.reason").alias("reason"), F.col("i.r").alias("r")))
+
+
+def outcomes(parsed: DataFrame, entity: str = "project", locale: str = "en") -> DataFrame:
+    """What ``extract_*`` keeps and what ``rejects`` tells, in one pass over the pages.
+
+    ``export, page_no, uuid, reason`` and the columns of ``extract_*``; records that
+    are kept have no reason.
+    """
+    return _outcome_rows(parsed, entity, locale).select("export", "page_no", F.col("r._uuid").alias("uuid"), "reason",
+                                                        *_record_columns(entity, locale))
+
+
 def rejects(parsed: DataFrame, entity: str = "project", locale: str = "en") -> DataFrame:
     """What ``extract_*`` leaves out: (export, page_no, uuid, reason).
 
     A page is rejected as ``fault`` or ``unparseable``; a record for ``no uuid``,
     ``no title`` or ``no abstract`` (in the locale), the first that holds.
     """
-    response, record, _ = ENTITIES[entity]
-    title, abstract = ("name", "projectAbstract") if entity == "project" else ("title", "researchAbstract")
-    pages = parsed.select("export", "page_no", F.lit(None).cast("string").alias("uuid"),
-                          F.when(F.col("p.Body.Fault").isNotNull(), "fault")
-                           .when(F.col("p").isNull() | F.col("p._corrupt_record").isNotNull() | F.col("p.Body").isNull(), "unparseable")
-                           .alias("reason")).where(F.col("reason").isNotNull())
-    recs = F.col("p.Body").getField(response).getField("queryResult").getField(record)
-    r = F.col("r")
-    rows = (parsed.select("export", "page_no", F.explode(recs).alias("r"))
-                  .select("export", "page_no", r.getField("_uuid").alias("uuid"),
-                          F.when(r.getField("_uuid").isNull(), "no uuid")
-                           .when(F.get(_en(r.getField(title), locale), 0).isNull(), "no title")
-                           .when(F.get(_en(r.getField(abstract), locale), 0).isNull(), "no abstract").alias("reason"))
-                  .where(F.col("reason").isNotNull()))
-    return pages.unionByName(rows)
+    return (_outcome_rows(parsed, entity, locale).where(F.col("reason").isNotNull())
+            .select("export", "page_no", F.col("r._uuid").alias("uuid"), "reason"))
 
 
 def records_to_pages(records: DataFrame, page_size: int, *, entity: str = "project", id_col: str = "id",

@@ -279,3 +279,15 @@ def test_embedder_remembers_a_bounded_number_of_tokens(monkeypatch):
     monkeypatch.setattr(em, "_CACHED_TOKENS", 10)
     model = em.HashingEmbedder(16).load()
     assert (model([text]) == whole).all() and len(model._cache) == 10
+
+
+def test_white_space_is_squashed_as_by_plain_regex(spark):
+    from reclink.functions.text import html_to_text, squash_ws
+    rows = ["a b", " a  b ", "a\tb\n\nc", "a \n b", " a   b　", "x y", "", "  ", "\t", "a\x0b\x0c\r b", "é  ü \u0085 z"]
+    ws = "[\t\n\x0b\f\r \u0085   -     　]+"
+    import re
+    df = spark.createDataFrame([(r,) for r in rows], "h string")
+    assert [r[0] for r in df.select(squash_ws("h")).collect()] == [re.sub(ws, " ", r).strip(" ") for r in rows]
+    # markup is looked for where entities are decoded and in the result, not a third time to ask for "&"
+    plan = df.select(html_to_text("h"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("<!--") == 2

@@ -101,3 +101,19 @@ def test_organisations_of_the_record_itself(spark):
     src = write_pages({0: page(P1.replace("</project>", own + "</project>").replace("</fris:project>", own + "</fris:project>"))})
     parsed = xp.parse_pages(xp.read_raw_pages(spark, src), "project", "ascii")
     assert "Own Institute" in xp.extract_projects(parsed).first().organization
+
+
+def test_outcomes_are_the_extracted_records_and_the_rejects_in_one_pass(spark):
+    no_id = "<fris:project>" + loc("name", "T") + loc("projectAbstract", "A") + "</fris:project>"
+    d = write_pages({0: page(P1 + P2 + P3 + no_id), 1: FAULT, 2: BROKEN, 3: page(""), 4: page(P1.replace("bold&lt;/b&gt;", "caf&amp;eacute;  &lt; 3\n\n\tx"))})
+    parsed = xp.parse_pages(xp.read_raw_pages(spark, d), "project", "unicode")
+    got = xp.outcomes(parsed, "project")
+    kept = got.where("reason IS NULL").select(*xp.extract_projects(parsed).columns)
+    assert sorted(map(str, kept.collect())) == sorted(map(str, xp.extract_projects(parsed).collect()))
+    assert [r.title for r in kept.collect() if "caf" in r.title] == ["A café < 3 x title"]
+    told = sorted((r.page_no, r.uuid, r.reason) for r in got.where("reason IS NOT NULL").collect() if r.uuid)
+    assert told == [(0, "p2", "no title")]
+    assert sorted((r.page_no, r.reason) for r in xp.rejects(parsed, "project").where("uuid IS NULL").collect()) == [
+        (0, "no uuid"), (1, "fault"), (2, "unparseable")]
+    plan = xp.rejects(parsed, "project")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("from_xml(") == 1  # pages and records of one parse
