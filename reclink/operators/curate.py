@@ -84,21 +84,25 @@ def merge_by_title(pubs: DataFrame, order: str, *, title: str = "title", first_c
 
     ``first_cols``: first non-null value in ``order``; ``whole_cols``: sorted
     distinct values joined by ', '; ``split_cols``: values split on ', ' first,
-    then sorted distinct and joined.  NULL titles are dropped.  Values are
-    exploded and made distinct per (title, field) first, a hash aggregate with
-    map-side combine, so a title shared by a third of the rows gathers its distinct
-    values only, never its rows.
+    then sorted distinct and joined.  NULL titles are dropped.  Titles are told apart
+    by a 128-bit hash, which the values carry instead of the title (a title may be a whole
+    text).  Values are exploded and made distinct per (title, field) first, a hash
+    aggregate with map-side combine, so a title shared by a third of the rows gathers its
+    distinct values only, never its rows.
     """
-    rows = pubs.where(F.col(title).isNotNull())
-    firsts = rows.groupBy(title).agg(*[
+    digest = F.md5(F.col(title).cast("string"))
+    half = lambda at: F.conv(F.substring(digest, at, 16), 16, -10).cast("long")  # noqa: E731  its two signed halves
+    rows = pubs.where(F.col(title).isNotNull()).withColumn("_h1", half(1)).withColumn("_h2", half(17))
+    firsts = rows.groupBy("_h1", "_h2").agg(F.first(title).alias(title), *[
         F.min_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in first_cols])
-    fields = [F.struct(F.lit(c).alias("f"), F.array(F.col(c).cast("string")).alias("v")) for c in whole_cols]
-    fields += [F.struct(F.lit(c).alias("f"), F.split(F.col(c), re.escape(sep).replace("\\ ", " "), -1).alias("v")) for c in split_cols]
     names = [*whole_cols, *split_cols]
-    values = (rows.select(F.col(title).alias("_t"), F.explode(F.array(*fields)).alias("_f"))
-                  .select("_t", F.col("_f.f").alias("_f"), F.explode("_f.v").alias("_v"))
+    value = {c: F.array(F.col(c).cast("string")) for c in whole_cols}
+    value |= {c: F.split(F.col(c), re.escape(sep).replace("\\ ", " "), -1) for c in split_cols}
+    fields = [F.struct(F.lit(i).alias("f"), value[c].alias("v")) for i, c in enumerate(names)]
+    values = (rows.select("_h1", "_h2", F.explode(F.array(*fields)).alias("_f"))
+                  .select("_h1", "_h2", F.col("_f.f").alias("_f"), F.explode("_f.v").alias("_v"))
                   .where(F.col("_v").isNotNull()).distinct())
-    lists = (values.groupBy("_t").agg(*[
-        F.array_join(F.array_sort(F.collect_list(F.when(F.col("_f") == c, F.col("_v")))), sep).alias(c) for c in names]))
-    joined = firsts.join(lists, F.col(title) == F.col("_t"), "left")
+    lists = (values.groupBy("_h1", "_h2").agg(*[
+        F.array_join(F.array_sort(F.collect_list(F.when(F.col("_f") == i, F.col("_v")))), sep).alias(c) for i, c in enumerate(names)]))
+    joined = firsts.join(lists, ["_h1", "_h2"], "left")
     return joined.select(title, *first_cols, *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in names])

@@ -291,3 +291,11 @@ def test_white_space_is_squashed_as_by_plain_regex(spark):
     # markup is looked for where entities are decoded and in the result, not a third time to ask for "&"
     plan = df.select(html_to_text("h"))._jdf.queryExecution().analyzed().toString()
     assert plan.count("<!--") == 4  # twice a text (6 before)
+
+
+def test_merge_by_title_of_null_orders_and_long_titles(spark):
+    long = "x" * 5000
+    df = spark.createDataFrame([(None, long, "a", "B, A"), (None, long, "b", "A"), (2, "T", None, None), (1, "T", "c", "Q"), (None, "T", "d", "Z")],
+                               "o int, title string, id string, participants string")
+    r = {x.title: (x.id, x.participants) for x in cu.merge_by_title(df, "o", first_cols=("id",), split_cols=("participants",), whole_cols=()).collect()}
+    assert r == {long: (None, "A, B"), "T": ("c", "Q, Z")}
