@@ -21,8 +21,9 @@ from reclink.sources import store as st
 
 #: folders of each table
 FOLDERS = 32
-#: titles a part of a folder: one trigram may be in a third of all titles, so a folder is written by many tasks
-PART_TITLES = 1_000_000
+#: characters of titles a part of a folder, about as many postings: a folder is written by as many tasks as it has
+#: parts, each of which sorts one part, so the memory of a task does not grow with the table
+PART_CHARS = 4_000_000
 
 
 def trigrams(title) -> Column:
@@ -40,12 +41,16 @@ def _folder(c) -> Column:
 
 def build(records: DataFrame, path: str, title: str = "title", key: str = "id") -> None:
     rows = records.where(F.col(title).isNotNull()).select(F.col(key).alias("id"), F.col(title).alias("title"))
-    part = F.pmod(F.xxhash64("id", F.lit("part")), F.lit(1 + rows.count() // PART_TITLES))
-    (rows.withColumn("folder", _folder("id")).repartition("folder", part).sortWithinPartitions("folder", "id")
-         .write.mode("overwrite").partitionBy("folder").parquet(f"{path}/titles"))
-    (rows.select("id", F.explode(trigrams("title")).alias("gram")).withColumn("folder", _folder("gram"))
-         .repartition("folder", part).sortWithinPartitions("folder", "gram")
-         .write.mode("overwrite").partitionBy("folder").parquet(f"{path}/postings"))
+    chars = rows.agg(F.sum(F.length("title"))).first()[0] or 0
+    parts = 1 + chars // (FOLDERS * PART_CHARS)
+    part = F.pmod(F.xxhash64("id", "title", F.lit("part")), F.lit(parts)).cast("int")
+
+    def write(df: DataFrame, by: str, name: str) -> None:
+        (df.withColumn("folder", _folder(by)).repartitionById(FOLDERS * parts, F.col("folder") * parts + F.col("_part")).drop("_part")
+           .sortWithinPartitions("folder", by).write.mode("overwrite").partitionBy("folder").parquet(f"{path}/{name}"))
+    rows = rows.withColumn("_part", part)
+    write(rows, "id", "titles")
+    write(rows.select("id", "_part", F.explode(trigrams("title")).alias("gram")), "gram", "postings")
 
 
 def candidates(spark: SparkSession, path: str, q: str) -> DataFrame:

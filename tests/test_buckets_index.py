@@ -101,3 +101,19 @@ def test_only_candidates_are_tested(spark, index):
     assert {r.id for r in title_index.candidates(spark, path, "theory").collect()} == {1, 2, 8, None}
     assert title_index.candidates(spark, path, "sisthe").count() == 0
     assert title_index.search(spark, path, "zzz").count() == 0
+
+
+def test_parts_of_the_title_index_are_bounded_by_characters(spark, monkeypatch, tmp_path):
+    from pyspark.sql import functions as F
+
+    from reclink.operators import title_index
+    monkeypatch.setattr(title_index, "PART_CHARS", 50)
+    df = spark.range(400).selectExpr("CASE WHEN id % 4 = 0 THEN NULL ELSE id END AS id", "concat('the title ', id, ' of all') AS title")
+    title_index.build(df, str(tmp_path))
+    post = spark.read.parquet(f"{tmp_path}/postings")
+    rows = post.groupBy(F.input_file_name()).count().agg(F.max("count"), F.sum("count")).first()
+    assert rows[1] == df.select(F.explode(title_index.trigrams("title"))).count()
+    assert rows[0] <= 400  # a folder of trigrams that all titles have lies in several files
+    got = title_index.search(spark, str(tmp_path), "the title 3", 500)
+    want = df.where("title LIKE 'the title 3%'")
+    assert sorted(r.title for r in got.collect()) == sorted(r.title for r in want.collect())
