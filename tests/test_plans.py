@@ -74,3 +74,18 @@ def test_scans_are_pruned_and_filters_pushed(spark):
 def test_single_query_knn_is_unshuffled_top_k(spark):
     p = plan(E.queries()["knn_single"](spark, SF001))
     assert "TakeOrderedAndProject" in p and "FlatMapCoGroupsInPandas" not in p
+
+
+def test_merge_exchanges_hashes_of_titles(spark):
+    p = plan(E.queries()["merge_by_title"](spark, SF001))
+    parts = [x for x in p.splitlines() if "hashpartitioning(" in x]
+    assert parts and all("hashpartitioning(_h1#" in x for x in parts)  # values don't carry the title
+
+
+def test_topic_words_count_texts_once_and_embed_once(spark):
+    from reclink.plans import catalog
+    _, words, _ = catalog._kmeans_topics(spark, SF001)
+    words.collect()
+    p = words._jdf.queryExecution().executedPlan().toString()
+    assert "ReusedExchange" in p.split("Initial Plan")[0]  # tf is made once for terms and topics
+    assert "ArrowEvalPython" not in p  # vectors are read, not computed again
