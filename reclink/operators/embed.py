@@ -44,21 +44,31 @@ class HashingEmbedder:
         # letters and digits: [^\W_] is the same class as [\p{L}\p{N}]
         self._findall = re.compile(r"[^\W_]+").findall
         self._cache: dict = {}
+        # of the first 256 characters, those that are in no token become spaces
+        self._apart = bytes(i if self._findall(chr(i)) else 32 for i in range(256))
         return self
 
-    def _bucket(self, tok: str) -> int:
-        b = int(hashlib.md5(tok.encode("utf-8")).hexdigest()[:8], 16) % self.dim
+    def _tokens(self, text: str) -> list:
+        """Tokens of a lower-cased text; as Latin-1 bytes where they are all of those characters, which is faster."""
+        try:
+            return text.encode("latin-1").translate(self._apart).split()
+        except UnicodeEncodeError:
+            return self._findall(text)
+
+    def _bucket(self, tok) -> int:
+        text = tok.decode("latin-1") if isinstance(tok, bytes) else tok
+        b = int(hashlib.md5(text.encode("utf-8")).hexdigest()[:8], 16) % self.dim
         if len(self._cache) < _CACHED_TOKENS:
             self._cache[tok] = b
         return b
 
     def __call__(self, texts: list) -> np.ndarray:
         out = np.zeros((len(texts), self.dim), dtype=np.float64)
-        known, bucket, findall = self._cache.get, self._bucket, self._findall
+        known, bucket = self._cache.get, self._bucket
         for i, t in enumerate(texts):
             if t is None:
                 continue
-            tokens = findall(t.lower())
+            tokens = self._tokens(t.lower())
             b = list(map(known, tokens))
             if None in b:
                 b = [bucket(x) if c is None else c for x, c in zip(tokens, b)]

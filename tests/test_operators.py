@@ -299,3 +299,16 @@ def test_merge_by_title_of_null_orders_and_long_titles(spark):
                                "o int, title string, id string, participants string")
     r = {x.title: (x.id, x.participants) for x in cu.merge_by_title(df, "o", first_cols=("id",), split_cols=("participants",), whole_cols=()).collect()}
     assert r == {long: (None, "A, B"), "T": ("c", "Q, Z")}
+
+
+def test_tokens_of_latin_1_texts_are_those_of_the_pattern():
+    import re
+
+    from reclink.operators.embed import HashingEmbedder
+    model = HashingEmbedder(16).load()
+    texts = ["", "a_b  c\x1cd\x85e\xa0f", "".join(map(chr, range(256))), "ª²³µ¹º¼ Àÿß", "“q” café ǆ"]
+    for t in texts:
+        got = [x.decode("latin-1") if isinstance(x, bytes) else x for x in model._tokens(t)]
+        assert got == re.findall(r"[^\W_]+", t)
+    assert (model(["café x", "café “x”"])[0] == model(["x café"])[0]).all()  # bytes and text share buckets
+    assert (model(["café x"]) == model(["café “x”"])).all()
